@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from xml.parsers import expat
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +55,15 @@ def _no_constant(name):
     raise BadPayload(f"json: invalid literal {name}")
 
 
-_DECODER = json.JSONDecoder(object_pairs_hook=_Members, parse_float=_Literal, parse_int=_Literal,
-                            parse_constant=_no_constant)
-
-
 def json_nodes(raw: bytes):
+    decoder = json.JSONDecoder(object_pairs_hook=_Members, parse_float=_Literal, parse_int=_Literal,
+                               parse_constant=_no_constant)
     text = raw.decode("utf-8", "replace")
     body = text.strip(" \t\r\n")
     if not body:
         raise BadPayload("json: empty message")
     try:
-        doc, end = _DECODER.raw_decode(body)
+        doc, end = decoder.raw_decode(body)
     except RecursionError:
         raise BadPayload(f"json: nesting deeper than {MAX_DEPTH} levels") from None
     except json.JSONDecodeError as e:
@@ -267,6 +267,11 @@ def csv_nodes(raw: bytes):
 _PARSERS = {"json": json_nodes, "xml": xml_nodes, "csv": csv_nodes}
 
 
+# The parsers travel with the task, so executors need no installed package.
+for _module in (__name__, json_key_text.__module__):
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
+
+
 def _arrow_parser(fmt: str):
     parse = _PARSERS[fmt]
 
