@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,15 @@ def text_or_empty(value) -> Column:
 def or_default(value: Column, default) -> Column:
     """``value || default``: empty and missing both take the default."""
     return F.coalesce(F.nullif(value, F.lit("")), as_col(default))
+
+
+def materialise(df: DataFrame, name: str, value: Column, keep: list[str] | None = None) -> DataFrame:
+    """Add a column that later filters and projections take as given.
+
+    The optimizer pushes a filter through a projection by repeating the
+    projected expression inside it; for a parsed message that would parse
+    again, below.  Emitted by a generator, the value is computed once per row
+    and filters on it stay above, while filters on other columns still reach
+    the scan."""
+    keep = [c for c in (df.columns if keep is None else keep) if c != name]
+    return df.select(*keep, F.explode(F.array(value)).alias(name))

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import as_col, let, text_or_empty
+from .columns import as_col, let, materialise, text_or_empty
 
 CONTROL = r"[\x00-\x1f]"
 
@@ -161,21 +161,27 @@ def unescape(text: Column, d: Column, spec: DelimitedSpec, bytewise: Column | No
     (esc,) = _quoted(d, ["esc"])
     pattern = _text("(", esc, "[^", esc, *_quoted(d, inside), "]*", esc, "|[^", esc, "]+|", esc, ")")
 
+    letters = "".join(spec.escapes)
+
     def decoded(tok):
         raw = F.unhex(F.call_function("substring", tok, F.lit(3), F.length(tok) - 3))
         as_text = raw.cast("string")
         if bytewise is not None:
             as_text = F.when(bytewise, F.decode(raw, "ISO-8859-1")).otherwise(as_text)
-        expr = F
-        for body, role in spec.escapes.items():
-            expr = expr.when(tok == F.concat(d["esc"], F.lit(body), d["esc"]), d[role])
-        is_hex = (F.startswith(tok, F.concat(d["esc"], F.lit("X"))) & F.endswith(tok, d["esc"])
-                  & F.substring(tok, 2, 1 << 30).rlike(r"^X([0-9A-Fa-f]{2})+.$"))
-        return expr.when(is_hex, as_text).otherwise(tok)
+        return (F.when(~F.startswith(tok, d["esc"]), tok)
+                .when(tok.rlike(rf"(?s)^.[{letters}].$"),
+                      F.call_function("translate", F.substring(tok, 2, 1), F.lit(letters), _delims(d, spec)))
+                .when(tok.rlike(r"(?s)^.X([0-9A-Fa-f]{2})+.$"), as_text)
+                .otherwise(tok))
 
     return F.array_join(F.transform(_tokens(text, pattern), decoded), "")
 
 
+def _delims(d: Column, spec: DelimitedSpec) -> Column:
+    """The delimiters as one string, in the order of the escape letters."""
+    return F.concat(*(d[r] for r in spec.escapes.values()))
+
+
 def _needs_encoding(text: Column, d: Column, spec: DelimitedSpec) -> Column:
     tests = [F.contains(text, d[r]) for r in spec.escapes.values()]
     return reduce(lambda a, b: a | b, tests, text.rlike(CONTROL))
@@ -195,15 +201,15 @@ def escape(text: Column, d: Column, spec: DelimitedSpec, keep: tuple[str, ...] =
     pattern = _text("(", esc, f"(?!(?:{known}|X(?:[0-9A-Fa-f]{{2}})+)", esc, ")[^", *special, "]*", esc,
                     "|[^", *special, "]+|[", *special, "])")
 
+    letters = "".join(spec.escapes)
+
     def encoded(tok):
-        expr = F
-        for role in keep:
-            expr = expr.when(tok == d[role], tok)
-        for body, role in spec.escapes.items():
-            if role not in keep:
-                expr = expr.when(tok == d[role], F.concat(d["esc"], F.lit(body), d["esc"]))
-        return expr.when(tok.rlike(r"^[\x00-\x1f]$"),
-                         F.concat(d["esc"], F.lit("X"), F.hex(tok), d["esc"])).otherwise(tok)
+        coded = (F.when(F.contains(_delims(d, spec), tok), F.call_function("translate", tok, _delims(d, spec), F.lit(letters)))
+                 .when(tok < " ", F.concat(F.lit("X"), F.hex(tok))))
+        kept = F.length(tok) != 1
+        if keep:
+            kept = kept | tok.isin(*(d[r] for r in keep))
+        return F.when(kept, tok).otherwise(F.coalesce(F.concat(d["esc"], coded, d["esc"]), tok))
 
     return F.array_join(F.transform(_tokens(text, pattern), encoded), "")
 
@@ -239,8 +245,8 @@ def _header_delims(head: Column, spec: DelimitedSpec) -> Column:
 def parse_delimited(df: DataFrame, spec: DelimitedSpec, raw: str = "raw", out: str = "msg") -> DataFrame:
     """Add the parsed struct column ``out``; narrow, one pass, never raises."""
     n = spec.name_len
-    tmp = [f"__{out}_{k}" for k in ("bw", "lines", "head", "d", "segs")]
-    bw, lines, head, dl, segs = tmp
+    bw, lines, dl, dx, segs = (f"__{out}_{k}" for k in ("bw", "lines", "dl", "d", "segs"))
+    given = [c for c in df.columns if c != out]
     col = F.col(raw)
     is_binary = df.schema[raw].dataType.typeName() == "binary"
     text = col.cast("string")
@@ -253,16 +259,16 @@ def parse_delimited(df: DataFrame, spec: DelimitedSpec, raw: str = "raw", out: s
     text = F.when(F.col(bw), latin).otherwise(text)
     df = df.withColumn(lines, F.filter(
         F.split(replace_all(F.coalesce(text, F.lit("")), "\n", "\r"), "\r"), lambda x: x != ""))
-    df = df.withColumn(head, F.coalesce(F.get(F.col(lines), F.lit(0)), F.lit("")))
     is_head = lambda line: F.substring(line, 1, n).isin(*spec.headers)
-    h, ln = F.col(head), F.col(lines)
+    ln = F.col(lines)
+    h = F.coalesce(F.get(ln, F.lit(0)), F.lit(""))
     got = _header_delims(h, spec)
-    df = df.withColumn(dl, F.struct(got.alias("d"), _delims_error(got, spec).alias("e")))
-    derr = F.col(dl)["e"]
-    ok_head = is_head(h) & (F.length(h) > n) & derr.isNull()
-    d = F.when(ok_head, F.col(dl)["d"]).otherwise(delims_lit(spec))
-    df = df.withColumn(f"{dl}x", d)
-    sep = F.col(f"{dl}x")["field"]
+    df = df.withColumns({dl: got})
+    derr = _delims_error(F.col(dl), spec)
+    headed = is_head(h) & (F.length(h) > n)
+    df = df.withColumn(dx, F.struct(
+        F.when(headed & derr.isNull(), F.col(dl)).otherwise(delims_lit(spec)).alias("d"), derr.alias("e")))
+    sep, derr = F.col(dx)["d"]["field"], F.col(dx)["e"]
 
     def fields(line):
         return F.when(is_head(line), F.concat(F.array(F.substring(line, 1, n), sep),
@@ -286,13 +292,12 @@ def parse_delimited(df: DataFrame, spec: DelimitedSpec, raw: str = "raw", out: s
                .when(bad_at > 0, F.concat(where, F.lit("expected "), quoted(sep),
                                           F.lit(" after segment name "), bad_name)))
     error = (F.when(F.size(ln) == 0, F.lit(f"{spec.name}: empty message"))
-             .when(~(is_head(h) & (F.length(h) > n)),
+             .when(~headed,
                    F.lit(f"{spec.name}: message must start with a header segment ({spec.header_hint})"))
              .when(derr.isNotNull(), derr)
              .otherwise(seg_err))
-    df = df.withColumn(f"{out}", F.struct(error.alias("error"), F.col(bw).alias("bytewise"),
-                                          F.col(f"{dl}x").alias("d"), F.col(segs).alias("segs")))
-    return df.drop(*tmp, f"{dl}x")
+    return materialise(df, out, F.struct(error.alias("error"), F.col(bw).alias("bytewise"), F.col(dx)["d"].alias("d"),
+                                         F.col(segs).alias("segs")), given)
 
 
 # ---- reading --------------------------------------------------------------
@@ -330,11 +335,10 @@ class Parsed:
         """One wire piece as the reader sees it: leaves decoded, separators kept."""
 
         def decoded(t):
-            return unescape(t, self.d, self.spec, self.bytewise, self._below(level))
+            return let(unescape(t, self.d, self.spec, self.bytewise, self._below(level)), lambda x: F.make_valid_utf8(
+                F.when(self.bytewise, F.encode(x, "ISO-8859-1").cast("string")).otherwise(x)))
 
-        return (F.when(self.bytewise, F.make_valid_utf8(F.encode(decoded(text), "ISO-8859-1").cast("string")))
-                .when(F.contains(text, self.d["esc"]), F.make_valid_utf8(decoded(text)))
-                .otherwise(text))
+        return let(text, lambda t: F.when(self.bytewise | F.contains(t, self.d["esc"]), decoded(t)).otherwise(t))
 
     def _segment_text(self, seg: Column) -> Column:
         sep = self.d["field"]
@@ -352,74 +356,69 @@ class Parsed:
         base = self.segments(p.seg) if base is None else base
         return F.slice(base, p.occ, 1) if p.occ else base
 
-    def get_all(self, path: str | Path, base: Column | None = None) -> Column:
-        p = compile_path(self.spec, path) if isinstance(path, str) else path
+    def _found(self, p: Path, base: Column | None) -> tuple[Column, str]:
+        """(wire pieces matching p, their level)."""
         segs = self._candidates(p, base)
-        if not p.field:
-            return F.transform(segs, self._segment_text)
         fields = F.transform(F.filter(segs, lambda s: F.size(s) > p.field), lambda s: s[p.field])
         if p.field <= self.spec.raw_fields(p.seg):
-            if p.rep > 1 or p.comp > 1 or p.sub > 1:
-                return F.filter(fields, lambda f: F.lit(False))
-            return fields
+            hidden = p.rep > 1 or p.comp > 1 or p.sub > 1
+            return (F.filter(fields, lambda f: F.lit(False)) if hidden else fields), "raw"
         if p.rep:
             found = F.transform(fields, lambda f: F.get(split_on(f, self.d["rep"]), F.lit(p.rep - 1)))
         else:
             found = F.flatten(F.transform(fields, lambda f: split_on(f, self.d["rep"])))
         level = "rep"
-        for idx, sep, name in ((p.comp, "comp", "comp"), (p.sub, "sub", "sub")):
+        for idx, name in ((p.comp, "comp"), (p.sub, "sub")):
             if idx:
-                found = F.transform(found, self._nth(sep, idx))
+                found = F.transform(found, self._nth(name, idx))
                 level = name
-        found = F.filter(found, lambda t: t.isNotNull())
-        return F.transform(found, lambda t: self._show(t, level))
+        return F.filter(found, lambda t: t.isNotNull()), level
 
     def _nth(self, sep: str, idx: int):
         return lambda t: F.get(split_on(t, self.d[sep]), F.lit(idx - 1))
 
+    def get_all(self, path: str | Path, base: Column | None = None) -> Column:
+        p = compile_path(self.spec, path) if isinstance(path, str) else path
+        if not p.field:
+            return F.transform(self._candidates(p, base), self._segment_text)
+        found, level = self._found(p, base)
+        return found if level == "raw" else F.transform(found, lambda t: self._show(t, level))
+
     def get(self, path: str | Path, base: Column | None = None) -> Column:
         p = compile_path(self.spec, path) if isinstance(path, str) else path
-        if not p.field or p.field <= self.spec.raw_fields(p.seg):
+        if not p.field:
             return F.get(self.get_all(p, base), F.lit(0))
-        # Straight to the piece that is the first match in nearly every
-        # message; only when it is absent are the other candidates searched.
-        name_is = (lambda s: s[0] == p.seg)
-        if base is not None:
-            segs = base
-        else:
-            segs = self.segs
-        if p.occ:
-            seg = F.get(F.filter(segs, name_is), F.lit(p.occ - 1))
-        else:
-            seg = F.get(F.filter(segs, lambda s: name_is(s) & (F.size(s) > p.field)), F.lit(0))
-        value = F.get(seg, F.lit(p.field))
-        value = F.get(split_on(value, self.d["rep"]), F.lit(max(p.rep, 1) - 1))
+        if p.field <= self.spec.raw_fields(p.seg):
+            return F.get(self._found(p, base)[0], F.lit(0))
+        if (p.comp <= 1 and p.sub <= 1 and p.rep <= 1) or (p.occ and p.rep):
+            # the first segment that has the field decides
+            name_is = lambda s: s[0] == p.seg
+            segs = self.segs if base is None else base
+            if p.occ:
+                seg = F.get(F.filter(segs, name_is), F.lit(p.occ - 1))
+            else:
+                seg = F.get(F.filter(segs, lambda s: name_is(s) & (F.size(s) > p.field)), F.lit(0))
+            return self._piece(F.get(seg, F.lit(p.field)), p)
+        found, level = self._found(p, base)
+        return self._show(F.get(found, F.lit(0)), level)
+
+    def _piece(self, field: Column, p: Path) -> Column:
+        value = self._nth("rep", max(p.rep, 1))(field)
         level = "rep"
         for idx, sep in ((p.comp, "comp"), (p.sub, "sub")):
             if idx:
-                value = F.get(split_on(value, self.d[sep]), F.lit(idx - 1))
-                level = sep
-        direct = self._show(value, level)
-        certain = (p.comp <= 1 and p.sub <= 1 and p.rep <= 1) or (p.occ and p.rep)
-        if certain:
-            return direct
-        return F.coalesce(direct, F.get(self.get_all(p, base), F.lit(0)))
+                value, level = self._nth(sep, idx)(value), sep
+        return self._show(value, level)
 
     def at(self, seg: Column, name: str, rel: str) -> Column:
         """A path relative to one segment, e.g. ``at(obx, 'OBX', '5.1')``."""
         p = compile_path(self.spec, f"{name}-{rel}")
         if p.field <= self.spec.raw_fields(name):
             return F.get(self.get_all(p, F.array(seg)), F.lit(0))
-        value = F.get(split_on(F.get(seg, F.lit(p.field)), self.d["rep"]), F.lit(max(p.rep, 1) - 1))
-        level = "rep"
-        for idx, sep in ((p.comp, "comp"), (p.sub, "sub")):
-            if idx:
-                value = F.get(split_on(value, self.d[sep]), F.lit(idx - 1))
-                level = sep
-        direct = self._show(value, level)
         if p.rep or (p.comp <= 1 and p.sub <= 1):
-            return direct
-        return F.coalesce(direct, F.get(self.get_all(p, F.array(seg)), F.lit(0)))
+            return self._piece(F.get(seg, F.lit(p.field)), p)
+        found, level = self._found(p, F.array(seg))
+        return self._show(F.get(found, F.lit(0)), level)
 
     def has_segment(self, name: str) -> Column:
         return F.exists(self.segs, lambda s: s[0] == name)

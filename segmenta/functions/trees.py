@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..paths import csv_path, json_key_text, json_pattern, json_string, xml_pattern
-from .columns import let
+from .columns import let, materialise
 from .scalars import csv_row
 
 MAX_DEPTH = 512
@@ -294,10 +294,11 @@ def parse_tree(df: DataFrame, fmt: str, raw: str = "raw", out: str = "msg") -> D
     """Add the parsed struct column of a json, xml or csv payload."""
     payload = F.col(raw).cast("binary")
     if fmt != "csv":
-        return df.withColumn(out, _arrow_parser(fmt)(payload))
+        return materialise(df.withColumn(f"__{out}", _arrow_parser(fmt)(payload)), out, F.col(f"__{out}"), df.columns)
     text = F.col(raw).cast("string")
     simple = ~F.contains(text, F.lit('"')) & F.is_valid_utf8(text)
     # the Python side sees NULL for rows the native branch covers
+    given = df.columns
     df = df.withColumn(f"__{out}_py", _arrow_parser("csv")(F.when(simple, F.lit(None)).otherwise(payload)))
     lines = F.filter(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: x != "")
     cells = lambda line: F.split(F.replace(line, F.lit("\r"), F.lit("\n")), ",")
@@ -305,9 +306,9 @@ def parse_tree(df: DataFrame, fmt: str, raw: str = "raw", out: str = "msg") -> D
         F.concat(F.when(r == 0, F.lit("R.")).otherwise(F.concat(F.lit("R["), (r + 1).cast("string"), F.lit("]."))),
                  (c + 1).cast("string")).alias("path"), v.alias("value"), F.lit("cell").alias("kind")))))
     py = F.col(f"__{out}_py")
-    return df.withColumn(out, F.when(simple, F.struct(
+    return materialise(df, out, F.when(simple, F.struct(
         F.when(F.size(lines) == 0, F.lit("csv: empty message")).alias("error"),
-        F.lit(None).cast("string").alias("canon"), native.alias("nodes"))).otherwise(py)).drop(f"__{out}_py")
+        F.lit(None).cast("string").alias("canon"), native.alias("nodes"))).otherwise(py), given)
 
 
 class Tree:
