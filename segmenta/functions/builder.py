@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..paths import json_steps, xml_steps
-from .columns import as_col, text_or_empty
-from .delimited import SPECS, DelimitedSpec, compile_path, delims_lit, escape
+from .columns import each, let, sql_text, text_or_empty
+from .delimited import SPECS, DelimitedSpec, compile_path, escape_sql
 from .scalars import csv_row, json_quote, xml_attr, xml_text
 
 
@@ -32,9 +32,10 @@ class SegmentBuilder:
         level = "sub" if p.sub else "comp" if p.comp else "rep"
         below = ("comp", "sub") if level == "rep" else ("sub",) if level == "comp" else ()
         keep = tuple(r for r in below if r in self.spec.escapes.values())
-        text = text_or_empty(value)
-        if p.field > raw:
-            text = _wire(text, self.spec, keep)
+        if isinstance(value, str) and self.spec.defaults["esc"] not in value:
+            text = _literal(value, self.spec, keep)
+        else:
+            text = _Leaf(text_or_empty(value), keep)
         rep = self.fields.setdefault(p.field, {}).setdefault(max(p.rep, 1), {})
         comp = rep.setdefault(p.comp or 1, {})
         if not p.comp:
@@ -45,40 +46,81 @@ class SegmentBuilder:
         comp[p.sub or 1] = text
         return self
 
-    def render(self) -> Column:
+    def parts(self) -> list:
+        """The segment's text as constants and leaves."""
         dl = self.spec.defaults
         nested = lambda d, sep, inner: _padded({k: inner(v) for k, v in d.items()}, sep)
-        comp = lambda c: nested(c, dl["sub"], lambda t: t)
+        comp = lambda c: nested(c, dl["sub"], lambda t: [t])
         rep = lambda r: nested(r, dl["comp"], comp)
         field = lambda f: nested(f, dl["rep"], rep)
         raw = self.spec.raw_fields(self.name)
-        sep = F.lit(dl["field"])
-        done = {n: field(f) for n, f in self.fields.items()}
-        parts = [F.lit(self.name)]
+        out = [self.name]
         if raw:
-            parts += [sep, F.lit(_encoding_chars(self.spec))]
-        for n in range(raw + 1, max(done, default=0) + 1):
-            parts += [sep] + ([done[n]] if n in done else [])
-        return _concat(parts)
+            out += [dl["field"], _encoding_chars(self.spec)]
+        for n in range(raw + 1, max(self.fields, default=0) + 1):
+            out += [dl["field"], *(field(self.fields[n]) if n in self.fields else [])]
+        return out
 
 
 def _concat(parts: list[Column]) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def _padded(items: dict[int, Column], sep: str) -> Column:
-    parts = []
+def _padded(items: dict[int, list], sep: str) -> list:
+    out = []
     for n in range(1, max(items) + 1):
-        if n > 1:
-            parts.append(F.lit(sep))
-        if n in items:
-            parts.append(items[n])
-    return _concat(parts)
-
+        out += [sep] * (n > 1) + items.get(n, [])
+    return out
+
+
+class _Leaf:
+    """A value column still to be encoded, with the separators it may keep."""
+
+    def __init__(self, text: Column, keep: tuple[str, ...]):
+        self.text, self.keep = text, keep
+
+
+def _literal(text: str, spec: DelimitedSpec, keep: tuple[str, ...]) -> str:
+    """Wire form of a constant, encoded on the driver; constants holding an
+    escape character go through the column form instead."""
+    codes = {spec.defaults[r]: b for b, r in spec.escapes.items() if r not in keep}
+    esc = spec.defaults["esc"]
+    return "".join(f"{esc}{codes[c]}{esc}" if c in codes else f"{esc}X{ord(c):02X}{esc}" if c < " " else c for c in text)
+
+
+def _encode_leaves(parts: list, spec: DelimitedSpec) -> Column:
+    """Concatenate constants and leaves; all leaves with the same rule are
+    encoded by one expression over their array."""
+    groups: dict[tuple, list[Column]] = {}
+    slots = []
+    for p in parts:
+        if isinstance(p, _Leaf):
+            group = groups.setdefault(p.keep, [])
+            slots.append((p.keep, len(group)))
+            group.append(p.text)
+        else:
+            slots.append(p)
+    if not groups:
+        return F.lit("".join(slots))
+
+    def encoded(keep):
+        special = "".join("\\" + spec.defaults[r] for r in spec.escapes.values() if r not in keep)
+        test = sql_text(rf"[{special}\x00-\x1f]")
+        return each(F.array(*groups[keep]), f"t -> CASE WHEN t RLIKE {test} THEN {escape_sql('t', spec, keep)} ELSE t END")
+
+    def joined(done: Column) -> Column:
+        out, run = [], ""
+        for s in slots:
+            if isinstance(s, str):
+                run += s
+                continue
+            if run:
+                out.append(F.lit(run))
+                run = ""
+            out.append(F.get(done[f"g{list(groups).index(s[0])}"], F.lit(s[1])))
+        return F.concat(*out, F.lit(run))
 
-def _wire(text: Column, spec: DelimitedSpec, keep: tuple[str, ...]) -> Column:
-    special = "".join("\\" + spec.defaults[r] for r in spec.escapes.values() if r not in keep)
-    return F.when(text.rlike(rf"[{special}\x00-\x1f]"), escape(text, delims_lit(spec), spec, keep)).otherwise(text)
+    return let(F.struct(*(encoded(k).alias(f"g{i}") for i, k in enumerate(groups))), joined)
 
 
 def _encoding_chars(spec: DelimitedSpec) -> str:
@@ -117,16 +159,19 @@ class DelimitedBuilder:
         def row(x, i):
             seg = SegmentBuilder(self.spec, name)
             fill(seg, x, i)
-            return F.concat(seg.render(), F.lit("\r"))
+            return _encode_leaves([*seg.parts(), "\r"], self.spec)
 
         self.order.append(F.array_join(F.transform(over, row), ""))
         return self
 
     def text(self) -> Column:
-        parts = []
+        runs = [[]]
         for s in self.order:
-            parts += [s.render(), F.lit("\r")] if isinstance(s, SegmentBuilder) else [s]
-        return _concat(parts)
+            if isinstance(s, SegmentBuilder):
+                runs[-1] += [*s.parts(), "\r"]
+            else:
+                runs += [s, []]
+        return _concat([_encode_leaves(r, self.spec) if isinstance(r, list) else r for r in runs if not isinstance(r, list) or r])
 
 
 class CsvBuilder:

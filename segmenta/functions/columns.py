@@ -17,6 +17,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def each(arr: Column, body: str) -> Column:
+    """``transform`` with the function given as SQL text, e.g. ``t -> upper(t)``:
+    one parsed expression where the Column form needs a call per operator."""
+    return F.call_function("transform", arr, F.expr(body))
+
+
+def bind(value: Column, body: str) -> Column:
+    """``let`` with an SQL function text."""
+    return F.get(each(F.array(value), body), F.lit(0))
+
+
+def sql_text(s: str) -> str:
+    """An SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r") + "'"
+
+
 def as_col(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 

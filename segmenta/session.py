@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "segmenta", **conf) -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC") \
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()

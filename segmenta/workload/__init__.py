@@ -1,0 +1,6 @@
+"""The registered queries."""
+
+from . import messages  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

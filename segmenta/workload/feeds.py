@@ -23,7 +23,20 @@ BEDS = 50
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rendering and parsing are far more work than reading, so a scan with
+    fewer splits than cores is dealt out first; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def numbered_lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Line items with a row number taken at the scan, where it is repeatable."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return spread(li.select(*(columns or li.columns), F.monotonically_increasing_id().alias("uid")))
 
 
 def mapped(col: Column, table: dict[str, str], default: str | None = None) -> Column:
@@ -44,8 +57,7 @@ def orders_hl7(spark: SparkSession, sf: str) -> DataFrame:
     An order with more lines is sent as several messages, so that no order,
     however many lines it has, has to meet in one task."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate",
-                                             F.monotonically_increasing_id().alias("uid"))
+    li = numbered_lines(spark, sf, "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
     per = li.groupBy("l_orderkey").agg(F.ceil(F.count("*") / LINES_PER_MESSAGE).alias("parts"))
     head = o.join(per, o.o_orderkey == per.l_orderkey, "left").drop("l_orderkey").join(
         c.select("c_custkey", "c_name"), o.o_custkey == c.c_custkey, "left")
@@ -84,7 +96,7 @@ def composite_id(prefix: str) -> Column:
 
 def results_oru(spark: SparkSession, sf: str) -> DataFrame:
     """msg_id, raw: one ORU^R01 per line item row with two observations."""
-    li = table(spark, sf, "lineitem").withColumn("msg_id", F.monotonically_increasing_id())
+    li = numbered_lines(spark, sf).withColumnRenamed("uid", "msg_id")
     out = new_message("hl7v2")
     for path, v in {"MSH-3": "LAB", "MSH-7": hl7_time(F.col("l_shipdate")), "MSH-9.1": "ORU", "MSH-9.2": "R01",
                     "MSH-10": F.concat(F.lit("R"), F.col("msg_id").cast("string")), "MSH-11": "P", "MSH-12": "2.5.1",
