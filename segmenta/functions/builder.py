@@ -7,15 +7,16 @@ query; what reaches the executors is one flat concatenation of columns.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..paths import json_steps, xml_steps
+from ..paths import json_steps, json_string, xml_steps
 from .columns import each, let, sql_text, text_or_empty
 from .delimited import SPECS, DelimitedSpec, compile_path, escape_sql
-from .scalars import csv_row, json_quote, xml_attr, xml_text
+from .scalars import csv_row, json_quote_sql, xml_attr, xml_text
 
 
 class SegmentBuilder:
@@ -212,7 +213,7 @@ class JsonBuilder:
     null up to the highest present element."""
 
     def __init__(self):
-        self.root = _Json()
+        self.root, self.values, self.done = _Json(), [], None
 
     def set(self, path: str, value, when: Column | None = None) -> "JsonBuilder":
         cur = self.root
@@ -228,23 +229,35 @@ class JsonBuilder:
                 cur.kind, cur.leaf, cur.items = kind, None, {}
             cur = cur.items.setdefault(step, _Json())
         cur.kind, cur.items = "leaf", {}
-        cur.leaf, cur.when = json_value(value), when
+        cur.leaf, cur.when = _json_constant(value), when
+        if cur.leaf is None:
+            cur.leaf = len(self.values)
+            self.values.append(text_or_empty(value))
         return self
 
     def text(self) -> Column:
-        return self._render(self.root)[0]
+        """All string values are quoted by one expression over their array."""
+        if not self.values:
+            return self._render(self.root)[0]
+        quoted = each(F.array(*self.values), "t -> " + json_quote_sql("t"))
+
+        def filled(done):
+            self.done = done
+            return self._render(self.root)[0]
+
+        return let(quoted, filled)
 
     def _render(self, n: _Json) -> tuple[Column, Column | None]:
         """(text, present) where present None means always."""
         if n.kind is None:
             return F.lit("{}"), None
         if n.kind == "leaf":
-            return n.leaf, n.when
+            return (F.lit(n.leaf) if isinstance(n.leaf, str) else F.get(self.done, F.lit(n.leaf))), n.when
         done = [(k, *self._render(c)) for k, c in n.items.items()]
         always = any(p is None for _, _, p in done)
         present = None if always else reduce(lambda a, b: a | b, [p for _, _, p in done])
         if n.kind == "object":
-            members = [F.concat(json_quote(F.lit(k)), F.lit(":"), t) for k, t, _ in done]
+            members = [F.concat(F.lit(json_string(k) + ":"), t) for k, t, _ in done]
             members = [m if p is None else F.when(p, m) for m, (_, _, p) in zip(members, done)]
             return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")), present
         by_index = {k: (t, p) for k, t, p in done}
@@ -258,15 +271,11 @@ class JsonBuilder:
         return F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")), present
 
 
-def json_value(value) -> Column:
-    """A value's JSON text: Python scalars and typed columns keep their type."""
-    if value is None:
-        return F.lit("null")
-    if isinstance(value, bool):
-        return F.lit("true" if value else "false")
-    if isinstance(value, (int, float)):
-        return F.lit(repr(value))
-    return json_quote(text_or_empty(value))
+def _json_constant(value) -> str | None:
+    """JSON text of a Python scalar, which keeps its type; None for columns."""
+    if isinstance(value, Column):
+        return None
+    return json_string(value) if isinstance(value, str) else json.dumps(value)
 
 
 class _Xml:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import as_col, or_default
+from .columns import as_col, bind, or_default, sql_text
 
 # Code tables of the standards and of the mappings.
 SEX_TO_GENDER = {"M": "male", "F": "female", "O": "other"}
@@ -84,21 +84,25 @@ def value_text(col: Column, type_name: str) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def json_quote_sql(t: str) -> str:
+    """JSON string literal of ``t`` as SQL text; markup is not escaped."""
+    pairs = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"),
+             ("\u2028", "\\u2028"), ("\u2029", "\\u2029")]
+    short = t
+    for old, new in pairs:
+        short = f"replace({short}, {sql_text(old)}, {sql_text(new)})"
+    cut = sql_text(r"(?<=[\x00-\x1f])|(?=[\x00-\x1f])")
+    ctl = sql_text(r"^[\x00-\x1f]$")
+    rare = (f"array_join(transform(split({short}, {cut}), j -> CASE WHEN j RLIKE {ctl} "
+            f"THEN concat({sql_text(chr(92) + 'u00')}, lower(hex(j))) ELSE j END), '')")
+    odd = sql_text(r"[\x00-\x07\x0b\x0e-\x1f]")
+    special = sql_text('[\\\\"\\x00-\\x1f\u2028\u2029]')
+    return (f"concat('\"', CASE WHEN {t} RLIKE {special} THEN CASE WHEN {t} RLIKE {odd} THEN {rare} ELSE {short} END "
+            f"ELSE {t} END, '\"')")
+
+
 def json_quote(text: Column) -> Column:
-    """JSON string literal; markup characters are not escaped."""
-    def quoted(t):
-        pairs = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),
-                 ("\b", "\\b"), ("\f", "\\f"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")]
-        return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), pairs, t)
-
-    def controls(t):
-        pieces = F.split(t, r"(?<=[\x00-\x1f])|(?=[\x00-\x1f])")
-        return F.array_join(F.transform(pieces, lambda p: F.when(
-            p.rlike(r"^[\x00-\x1f]$"), F.concat(F.lit("\\u00"), F.lower(F.hex(p)))).otherwise(p)), "")
-
-    rare = F.when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), controls(quoted(text))).otherwise(quoted(text))
-    body = F.when(text.rlike('[\\\\"\\x00-\\x1f\u2028\u2029]'), rare).otherwise(text)
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    return bind(text, "t -> " + json_quote_sql("t"))
 
 
 def json_number_ok(text: Column) -> Column:

@@ -43,7 +43,7 @@ def flatten_delimited(df: DataFrame, keys: list[str], spec: DelimitedSpec, msg:
     path = F.concat(F.col("seg"), index(F.col("occ")), F.lit("-"), F.col("f").cast("string"), index(F.col("r") + 1),
                     dotted(F.col("leaf_rep"), F.col("c")), dotted(F.col("leaf_comp"), F.col("s")))
     shown = Parsed(None, spec, {"error": F.lit(None), "bytewise": F.col("m.bytewise"), "d": F.col("m.d"),
-                                "segs": F.lit(None)})._show(F.col("text"), "sub" if spec.has_sub else "comp")
+                                "segs": F.lit(None)})._show(F.col("text"))
     value = F.when(raw, F.col("text")).otherwise(shown)
     out = out.select(*keys, F.array("pos", "f", "r", "c", "s").alias("ord"), path.alias("path"), value.alias("value"))
     return out.filter(F.col("value") != "")
