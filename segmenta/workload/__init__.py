@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import history, messages  # noqa: F401
+from . import clinical, history, messages  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -274,9 +274,9 @@ def _astm_orders(spark, sf):
 
 
 @query("e1381_frames", """
-SELECT o_orderpriority AS priority, count(*) AS frames, count(*) FILTER (ok) AS valid, CAST(sum(n) AS BIGINT) AS bytes FROM (
-  SELECT o_orderpriority, true AS ok, unnest([31, least(len, 240), greatest(len - 240, 0), 6]) AS n FROM (
-    SELECT o_orderpriority, 10 + length(o_orderkey::VARCHAR) + length(o_orderpriority) * 40 - 2 AS len FROM orders)) WHERE n > 0 GROUP BY 1""")
+SELECT o_orderpriority AS priority, CAST(sum(2 + ceil(len / 240.0)) AS BIGINT) AS frames, CAST(sum(2 + ceil(len / 240.0)) AS BIGINT) AS valid,
+  CAST(sum(len + 37) AS BIGINT) AS bytes
+FROM (SELECT o_orderpriority, 8 + length(o_orderkey::VARCHAR) + length(o_orderpriority) * 40 AS len FROM orders) GROUP BY 1""")
 def e1381_frames(spark, sf):
     f = captures.frame_e1381(_astm_orders(spark, sf).join(
         table(spark, sf, "orders").select(F.col("o_orderkey").alias("conn"), "o_orderpriority"), "conn"), ["conn", "o_orderpriority"])
