@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import materialise
 from ..functions.delimited import SPECS, Parsed, parse_delimited
 from ..functions.outcome import ack_decision
 from ..functions.scalars import DURATION_UNITS
@@ -203,11 +204,17 @@ _REJ = "struct<code:string,text:string>"
 class _Run:
     """Columns of one chain while it is being planned."""
 
-    def __init__(self, df: DataFrame, data_type: str, prefix: str):
+    def __init__(self, df: DataFrame, data_type: str, prefix: str, msg: str | None = None):
         self.df, self.data_type, self.p = df, data_type, prefix
+        self.msg = msg or f"{prefix}msg"
+        self.built = None  # text column of a built message that was not read back yet
 
     def message(self) -> Message:
-        return Message(reader(self.data_type, f"{self.p}msg"), self.data_type, F.col(f"{self.p}meta"))
+        if self.built:
+            self.msg = f"{self.p}msg"
+            self.df = parse_messages(self.df, self.data_type, self.built, self.msg)
+            self.built = None
+        return Message(reader(self.data_type, self.msg), self.data_type, F.col(f"{self.p}meta"))
 
     def fail(self, cond: Column, text: Column, rej: Column | None = None) -> None:
         err, r = F.col(f"{self.p}error"), F.col(f"{self.p}rej")
@@ -242,16 +249,19 @@ class _Run:
             m, got = self.step(fn, f"translator {i}")
             if got is None or isinstance(got, (Message, Parsed)):
                 view = got.view if isinstance(got, Message) else got if got is not None else m.view
-                if isinstance(view, Parsed):
-                    self.df = self.df.withColumn(f"{self.p}msg", view.col)
+                if isinstance(view, Parsed) and view.name is None:
+                    self.msg = f"{self.p}msg"
+                    self.df = materialise(self.df, self.msg, view.col)
                 continue
             # a built message replaces the tree and the data type
             self.data_type = _type_of(got)
-            self.df = self.df.withColumn(f"{self.p}text", F.when(F.col(f"{self.p}error").isNull(), got.text()))
-            self.df = parse_messages(self.df.drop(f"{self.p}msg"), self.data_type, f"{self.p}text", f"{self.p}msg")
+            self.built = f"{self.p}text"
+            self.df = self.df.withColumn(self.built, F.when(F.col(f"{self.p}error").isNull(), got.text()))
 
     def payload(self) -> Column:
-        view = reader(self.data_type, f"{self.p}msg")
+        if self.built:
+            return F.col(self.built).cast("binary")
+        view = reader(self.data_type, self.msg)
         text = view.serialize_bytes() if isinstance(view, Parsed) else view.serialize().cast("binary")
         return F.when(F.col(f"{self.p}error").isNull(), text)
 
@@ -293,37 +303,42 @@ def run_channel(channel: Channel, messages: DataFrame) -> tuple[DataFrame, DataF
     outer = [c for c in outer if c not in ("state", "error_text", "transformed", "transformed_data_type", "meta")]
     out = run.df.select(*outer, F.col("c_meta").alias("meta"), "state", "error_text", "transformed",
                         "transformed_data_type", "ack_code")
-    branches = [_branch(channel, d, run) for d in channel.destinations]
-    dest = branches[0]
-    for b in branches[1:]:
-        dest = dest.unionByName(b)
-    return out, dest
-
-
-def _branch(channel: Channel, d: Destination, base: _Run) -> DataFrame:
-    """One destination's chain over the messages that passed the channel."""
-    df = base.df.filter(F.col("state") == TRANSFORMED).select(
-        "msg_id", F.col("c_msg").alias("d_msg"), F.col("c_meta").alias("d_meta"),
-        F.lit(None).cast("string").alias("d_ack"), F.lit(None).cast("string").alias("d_acktext"),
-        F.lit(None).cast(_REJ).alias("d_rej"), F.lit(None).cast("string").alias("d_error"))
-    run = _Run(df, base.data_type, "d_")
-    keep = F.lit(True)
-    if d.filter is not None:
-        _, keep = run.step(d.filter, "filter")
-    run.df = run.df.withColumn("d_pass", F.coalesce(keep, F.lit(False)))
-    run.translate(d.transformers)
-    if run.data_type != d.data_type:
-        run.fail(F.col("d_pass"), F.lit(f"serialize ({d.data_type}): message is {run.data_type}"))
-    ok = F.col("d_error").isNull()
-    sent = ok & F.col("d_pass")
-    return run.df.select(
-        "msg_id", F.lit(d.id).alias("destination_id"),
-        F.when(~ok, ERROR).when(~F.col("d_pass"), FILTERED).otherwise(QUEUED).alias("state"),
-        F.when(sent, run.payload()).alias("payload"), F.lit(d.data_type).alias("data_type"),
-        F.when(sent, stamp_delivery(F.col("d_meta"), channel.id, d.id)).alias("meta"),
-        F.coalesce("d_error", F.lit("")).alias("last_error"), F.lit(0).alias("attempts"),
-        F.coalesce(~ok, F.lit(False)).alias("dead_letter"), F.col("d_rej.code").alias("reject_code"),
-        F.col("d_ack").alias("ack_override"))
+    return out, _fan_out(channel, run)
+
+
+def _fan_out(channel: Channel, base: _Run) -> DataFrame:
+    """Each passed message times each destination.
+
+    All chains are planned over the same rows and the outcomes are exploded,
+    so a message is read and parsed once however many destinations it has."""
+    base.message()  # read back what the channel's last translator built
+    df = base.df.filter(F.col("state") == TRANSFORMED).select("msg_id", base.msg, "c_meta")
+    rows = []
+    for i, d in enumerate(channel.destinations):
+        p = f"d{i}_"
+        df = df.withColumns({
+            f"{p}meta": F.col("c_meta"), f"{p}ack": F.lit(None).cast("string"), f"{p}acktext": F.lit(None).cast("string"),
+            f"{p}rej": F.lit(None).cast(_REJ), f"{p}error": F.lit(None).cast("string")})
+        run = _Run(df, base.data_type, p, base.msg)
+        keep = F.lit(True)
+        if d.filter is not None:
+            _, keep = run.step(d.filter, "filter")
+        run.df = run.df.withColumn(f"{p}pass", F.coalesce(keep, F.lit(False)))
+        run.translate(d.transformers)
+        if run.data_type != d.data_type:
+            run.fail(F.col(f"{p}pass"), F.lit(f"serialize ({d.data_type}): message is {run.data_type}"))
+        ok = F.col(f"{p}error").isNull()
+        sent = ok & F.col(f"{p}pass")
+        df = materialise(run.df, f"{p}out", F.struct(
+            F.lit(d.id).alias("destination_id"),
+            F.when(~ok, ERROR).when(~F.col(f"{p}pass"), FILTERED).otherwise(QUEUED).alias("state"),
+            F.when(sent, run.payload()).alias("payload"), F.lit(d.data_type).alias("data_type"),
+            F.when(sent, stamp_delivery(F.col(f"{p}meta"), channel.id, d.id)).alias("meta"),
+            F.coalesce(f"{p}error", F.lit("")).alias("last_error"), F.lit(0).alias("attempts"),
+            F.coalesce(~ok, F.lit(False)).alias("dead_letter"), F.col(f"{p}rej.code").alias("reject_code"),
+            F.col(f"{p}ack").alias("ack_override")), ["msg_id", base.msg, "c_meta", *rows])
+        rows.append(f"{p}out")
+    return df.select("msg_id", F.explode(F.array(*rows)).alias("x")).select("msg_id", "x.*")
 
 
 def stamp_delivery(meta: Column, channel_id: str, destination_id: str) -> Column:

@@ -26,7 +26,7 @@ EV = f"""WITH e AS (SELECT event_id AS seq, 'V' || lpad(user_id::VARCHAR, 9, '0'
   WINDOW w AS (PARTITION BY visit ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT visit, seq, trigger, unnest(list_filter([CASE WHEN trigger = 'A01' AND admits > 0 THEN 'admitted twice' END,
   CASE WHEN trigger <> 'A01' AND admits = 0 THEN 'before admission' END, CASE WHEN trigger IN ('A02', 'A08') AND closes > 0 THEN 'after close' END,
-  CASE WHEN trigger IN ('A03', 'A11') AND closes > 0 THEN 'closed twice' END], x -> x IS NOT NULL)) AS breach FROM b""")
+  CASE WHEN trigger IN ('A03', 'A11') AND closes > 0 THEN 'closed twice' END], lambda x: x IS NOT NULL)) AS breach FROM b""")
 def lifecycle_breaches(spark, sf):
     return ops.lifecycle_breaches(feeds.visits(spark, sf))
 
@@ -199,7 +199,7 @@ def file_name_collisions(spark, sf):
 
 
 @query("corpus_offsets", """SELECT c_custkey AS msg_id, CAST(coalesce(sum(len) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, len AS length
-  FROM (SELECT c_custkey, 59 + 2 * length(c_custkey::VARCHAR) + length(c_name) + length(c_mktsegment) AS len FROM customer)""")
+  FROM (SELECT c_custkey, 56 + 2 * length(c_custkey::VARCHAR) + length(c_name) + length(c_mktsegment) AS len FROM customer)""")
 def corpus_offsets(spark, sf):
     from ..sources.files import corpus_manifest
     c = feeds.customers_hl7(spark, sf)
