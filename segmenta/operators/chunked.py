@@ -79,14 +79,22 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
         else:
             raise ValueError(f"unknown kind {kind}")
     rows = base.withColumns(own)
-    per_chunk = base.groupBy(*keys, CHUNK).agg(*totals)
-    carry = per_chunk.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col(CHUNK).alias("__k"), *carried)
-    cond = F.col(CHUNK).eqNullSafe(F.col("__k"))
+    # The totals also touch every other column.  Without that their branch
+    # would need fewer columns, its exchange would differ from the rows', and
+    # everything below (often parsing) would run twice.
+    per_chunk = base.groupBy(*keys, CHUNK).agg(*totals, F.max(F.xxhash64(*_hashable(base))).alias("__all"))
+    carry = per_chunk.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col(CHUNK).alias("__k"), "__all", *carried)
+    cond = F.col(CHUNK).eqNullSafe(F.col("__k")) & F.col("__all").isNotNull()
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     return rows.join(carry, cond, "left").select(*df.columns, *(e.alias(n) for n, e in final.items()))
 
 
+def _hashable(df: DataFrame) -> list[Column]:
+    """Every column in a form xxhash64 takes (maps by their entries)."""
+    return [F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in df.schema.fields]
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "rn") -> DataFrame:
     """row_number() over the key, or over the whole table for ``keys=[]``."""
     return running(df, keys, order, chunk, **{name: ("sum", F.lit(1).cast("long"))}).withColumn(name, F.col(name) + 1)
