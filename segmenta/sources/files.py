@@ -85,8 +85,11 @@ def corpus_manifest(df: DataFrame, order: str = "msg_id", chunk_rows: int = 1 <<
 
 def write_corpus(df: DataFrame, path: str, order: str = "msg_id") -> None:
     """Messages and manifest, both range-partitioned by the order."""
-    m = corpus_manifest(df, order)
-    ranged = m.repartitionByRange(order).sortWithinPartitions(order)
-    ranged.select("raw").write.mode("overwrite").option("lineSep", "").text(f"{path}/messages")
+    text = F.col("raw").cast("string")
+    ended = df.withColumn("raw", F.when(text.endswith("\r"), text).otherwise(F.concat(text, F.lit("\r"))))
+    ranged = corpus_manifest(ended, order).repartitionByRange(order).sortWithinPartitions(order)
+    # the writer's separator is the CR that ends every message
+    body = F.substring("raw", F.lit(1), F.length("raw") - 1)
+    ranged.select(body.alias("value")).write.mode("overwrite").option("lineSep", "\r").text(f"{path}/messages")
     ranged.select("seq", "feed", "trigger", F.col("control_id").alias("controlId"), F.col("ts").alias("at"),
                   F.lit("").alias("event"), "offset", "length").write.mode("overwrite").json(f"{path}/manifest")
