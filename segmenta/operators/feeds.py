@@ -154,10 +154,15 @@ def identity_crosswalk(messages: DataFrame, identifiers: Column) -> DataFrame:
         F.col("mr.authority").alias("facility"), F.col("mr.id").alias("mrn"), F.col("pi.id").alias("enterprise_id")).distinct()
 
 
-def match_acks(messages: DataFrame, acks: DataFrame) -> DataFrame:
+def match_acks(messages: DataFrame, acks: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Messages (control_id) with the code of their acknowledgement (refers_to);
-    unanswered messages keep NULL."""
-    return messages.join(acks.select(F.col("refers_to").alias("control_id"), "code"), "control_id", "left")
+    unanswered messages keep NULL.
+
+    Several answers to one message are reduced to the first by ``order``
+    before the join, so resent pairs never multiply."""
+    first = F.min_by("code", F.struct(*order)) if order else F.min("code")
+    one = acks.groupBy(F.col("refers_to").alias("control_id")).agg(first.alias("code"))
+    return messages.join(one, "control_id", "left")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

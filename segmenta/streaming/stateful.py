@@ -1,7 +1,9 @@
 """Operators with their own state per key.
 
-State is a few scalars per key and a key's rows arrive as a stream of pandas
-batches, so neither a busy delivery nor a busy visit is held in memory.
+State is a few scalars per key.  Rows of one key within a micro-batch come
+from many tasks and are sorted where they meet; how many that can be is
+bounded by the size of the micro-batch (``maxFilesPerTrigger`` or
+``maxBytesPerTrigger`` of the source), not by the history of the key.
 """
 
 from __future__ import annotations
@@ -59,24 +61,23 @@ def lifecycle_alerts(events: DataFrame) -> DataFrame:
 
     def check(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         admitted, closed, last = state.get if state.exists else (False, False, None)
-        for rows in frames:
-            out = []
-            for seq, at, t in rows.sort_values("seq")[["seq", "ts", "trigger"]].itertuples(index=False):
-                if t == "A01":
-                    if admitted:
-                        out.append((seq, t, "admitted twice"))
-                    admitted = True
-                elif t in ("A02", "A08", "A03", "A11"):
-                    if not admitted:
-                        out.append((seq, t, "before admission"))
-                    if closed:
-                        out.append((seq, t, "closed twice" if t in ("A03", "A11") else "after close"))
-                    closed = closed or t in ("A03", "A11")
-                if last is not None and at.value < last:
-                    out.append((seq, t, "backwards in time"))
-                last = at.value
-            yield pd.DataFrame([(key[0], *o) for o in out], columns=["visit", "seq", "trigger", "breach"])
+        rows, out = pd.concat(list(frames)).sort_values("seq"), []
+        for seq, at, t in zip(rows["seq"], rows["ts"], rows["trigger"]):
+            if t == "A01":
+                if admitted:
+                    out.append((seq, t, "admitted twice"))
+                admitted = True
+            elif t in ("A02", "A08", "A03", "A11"):
+                if not admitted:
+                    out.append((seq, t, "before admission"))
+                if closed:
+                    out.append((seq, t, "closed twice" if t in ("A03", "A11") else "after close"))
+                closed = closed or t in ("A03", "A11")
+            if last is not None and at.value < last:
+                out.append((seq, t, "backwards in time"))
+            last = at.value
         state.update((admitted, closed, last))
+        yield pd.DataFrame([(key[0], *o) for o in out], columns=["visit", "seq", "trigger", "breach"])
 
     return events.select("visit", "seq", "ts", "trigger").groupBy("visit").applyInPandasWithState(
         check, _ALERT, "admitted boolean, closed boolean, last long", "append", GroupStateTimeout.NoTimeout)

@@ -342,3 +342,66 @@ def http_requests(spark, sf):
     return got.groupBy(F.coalesce("refused", F.lit(0)).alias("status")).agg(
         F.count("*").alias("n"), F.count_if(meta["source.http.query.t"] != "second").alias("with_query"),
         F.sum(meta["source.http.query.k"].cast("long")).alias("k_sum"))
+
+
+@query("recorded_messages", """
+SELECT count(*) AS n, count(*) AS distinct_ids, CAST(min(1) AS BIGINT) AS first_id, count(*) AS last_id, count(*) AS received,
+  count(DISTINCT md5('crm' || chr(31) || c_custkey)) AS correlations FROM customer""")
+def recorded_messages(spark, sf):
+    """Fresh messages stamped and numbered 1..n without a global sort."""
+    c = feeds.customers_hl7(spark, sf).withColumnRenamed("msg_id", "key").withColumns({
+        "source": F.lit("crm"), "at": F.lit("2024-01-01").cast("timestamp")})
+    r = store.record(c, "crm", "hl7v2", ["source", "key"], "at")
+    return r.agg(F.count("*").alias("n"), F.count_distinct("msg_id").alias("distinct_ids"), F.min("msg_id").alias("first_id"),
+                 F.max("msg_id").alias("last_id"), F.count_if(F.col("state") == "RECEIVED").alias("received"),
+                 F.count_distinct("correlation_id").alias("correlations"))
+
+
+@query("stage_payloads", STORE + """
+SELECT 'received' AS stage, count(*) AS n FROM m UNION ALL SELECT 'dest:csv', count(*) FROM d WHERE destination_id = 'csv' AND msg_id % 13 <> 0""")
+def stage_payloads(spark, sf):
+    """Payloads of two stages, parsed to trees."""
+    m, d, _ = _store(spark, sf)
+    out = None
+    for stage in ("received", "dest:csv"):
+        df, p = parsed_hl7(store.stage_payload(m, d, stage).withColumnRenamed("payload", "raw"))
+        one = df.filter(p.get("PID-3") != "").agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("manifest_messages", """
+SELECT c_custkey AS seq, 'C' || c_custkey AS control_id, c_name AS family FROM customer""")
+def manifest_messages(spark, sf):
+    """Corpus manifest joined to its messages on the control id."""
+    from ..sources.files import corpus_manifest
+    c = feeds.customers_hl7(spark, sf)
+    df, m = parsed_hl7(c)
+    man = corpus_manifest(c, "msg_id").select((F.col("seq") - 1).alias("seq"), F.concat(F.lit("C"), F.col("msg_id").cast("string")).alias("control_id"))
+    return man.join(df.select(m.get("MSH-10").alias("control_id"), m.get("PID-5.1").alias("family")), "control_id").select(
+        "seq", "control_id", "family")
+
+
+@query("state_change_feed", """
+SELECT 'message' AS type, count(*) AS n FROM events WHERE event_id % 2 = 0 AND event_id >= 100 UNION ALL SELECT 'resync', 1""")
+def state_change_feed(spark, sf):
+    """A consumer far behind a trimmed log: one resync row, then the changes."""
+    from ..streaming.intake import changes_since
+    v = feeds.visits(spark, sf).filter("seq >= 100")
+    log = v.select(F.col("seq").alias("event_seq"), F.when(F.col("seq") % 2 == 0, "even").otherwise("odd").alias("channel_id"),
+                   F.col("seq").alias("msg_id"), F.lit("SENT").alias("state"))
+    return changes_since(log, 10, "even").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("legacy_charsets", """
+SELECT c_custkey AS msg_id, c_name || ' é' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '€' END AS text FROM customer""")
+def legacy_charsets(spark, sf):
+    """XML declared ISO-8859-1 or Windows-1252, read as text and re-declared."""
+    from ..functions.trees import Tree, parse_tree
+    c = table(spark, sf, "customer")
+    odd = F.col("c_custkey") % 2 == 1
+    label = F.when(odd, "windows-1252").otherwise("ISO-8859-1")
+    raw = F.concat(F.concat(F.lit('<?xml version="1.0" encoding="'), label, F.lit('"?><a>'), F.col("c_name"), F.lit(" ")).cast("binary"),
+                   F.unhex(F.lit("E9")), F.when(odd, F.unhex(F.lit("80"))).otherwise(F.unhex(F.lit(""))), F.lit("</a>").cast("binary"))
+    df, t = parse_tree(c.select(F.col("c_custkey").alias("msg_id"), raw.alias("raw")), "xml"), Tree("msg", "xml")
+    return df.filter(F.contains(t.serialize(), F.lit('encoding="UTF-8"'))).select("msg_id", t.get("a").alias("text"))
