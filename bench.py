@@ -17,7 +17,7 @@ from segmenta.workload import QUERIES  # noqa: E402
 
 HEADLINE = ["orders_by_customer", "orders_to_instrument", "results_round_trip", "rebuilt_messages", "correction_diff", "customer_leaves",
             "document_escapes", "fhir_json_leaves", "lifecycle_breaches", "bed_conflicts", "delivery_replay", "counts_by_channel",
-            "retained_messages", "queue_heads", "e1381_frames"]
+            "retained_messages", "queue_heads"]
 
 
 def main():

@@ -72,14 +72,15 @@ def frame_mllp(payload: Column) -> Column:
 
 def deframe_e1381(frames: DataFrame, col: str = "frame", max_text: int = FRAME_SIZE) -> DataFrame:
     """Add number, text, last, error for each captured transfer frame."""
-    t = F.col("__t")
-    df = frames.withColumn("__t", _latin(F.col(col)))
-    body = F.substring(t, 3, 1 << 30)
-    before = F.regexp_extract(body, "^([^\x03\x17]*)", 1)
-    term = F.call_function("substring", body, F.length(before) + 1, F.lit(1))
-    tail = F.call_function("substring", body, F.length(before) + 2, F.lit(4))
+    t, before, term, tail, want = (F.col(f"__{n}") for n in ("t", "before", "term", "tail", "want"))
     number = F.substring(t, 2, 1)
-    want = checksum(number, before, term)
+    body = F.substring(t, 3, 1 << 30)
+    # one stage per level, so that no piece is computed once per use
+    df = frames.withColumn("__t", _latin(F.col(col)))
+    df = df.withColumn("__before", F.regexp_extract(body, "^([^\x03\x17]*)", 1))
+    df = df.withColumns({"__term": F.call_function("substring", body, F.length(before) + 1, F.lit(1)),
+                         "__tail": F.call_function("substring", body, F.length(before) + 2, F.lit(4))})
+    df = df.withColumn("__want", checksum(number, before, term))
     error = (F.when(t == "", "unexpected EOF")
              .when(~t.startswith(STX), F.concat(F.lit("astm1381: expected STX, got 0x"), F.hex(_bytes(F.substring(t, 1, 1)))))
              .when(F.length(t) < 2, "unexpected EOF")
@@ -89,9 +90,10 @@ def deframe_e1381(frames: DataFrame, col: str = "frame", max_text: int = FRAME_S
              .when(F.substring(tail, 1, 2) != want, F.concat(
                  F.lit("astm1381: checksum mismatch (got "), F.substring(tail, 1, 2), F.lit(", want "), want, F.lit(")")))
              .when(F.substring(tail, 3, 2) != CR + LF, "astm1381: frame not terminated by CR LF"))
-    ok = error.isNull()
-    return df.withColumns({"number": F.when(ok, number), "text": F.when(ok, before),
-                           "last": F.when(ok, term == ETX), "error": error}).drop("__t")
+    df = df.withColumn("error", error)
+    ok = F.col("error").isNull()
+    return df.withColumns({"number": F.when(ok, number), "text": F.when(ok, before), "last": F.when(ok, term == ETX)}).drop(
+        "__t", "__before", "__term", "__tail", "__want")
 
 
 def frame_e1381(df: DataFrame, key: list[str], col: str = "raw", frame_size: int = FRAME_SIZE) -> DataFrame:
