@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import as_col, bind, or_default, sql_text
+from .columns import as_col, bind, sql_text
 
 # Code tables of the standards and of the mappings.
 SEX_TO_GENDER = {"M": "male", "F": "female", "O": "other"}
@@ -226,6 +226,3 @@ def summary_line(**attrs: Column) -> Column:
     """Operator-readable summary of a message as compact JSON; absent
     attributes are left out."""
     return F.to_json(F.struct(*(F.nullif(c, F.lit("")).alias(k) for k, c in attrs.items())))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["or_default"]

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.builder import new_message
 from ..functions.delimited import HL7V2, Parsed, parse_delimited
 from ..functions.scalars import composite, hl7_time, parse_hl7_time
-from ..functions.trees import Tree, parse_tree
 from ..plans.translators import render_adt
 
 LINES_PER_MESSAGE = 50
