@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing
+from ..session import checkpoint_dir
+from . import decontaminate, language, mixing, quality, spotsigs, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,11 +24,31 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op4_token_binary")
+def op4(spark, sf):
+    return tokens.token_digest(table(spark, sf, "documents"), f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}")
+
+
 @query("op5_temperature_mixing", mixing.SQL)
 def op5(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
 
 
+@query("op6_document_fingerprints")
+def op6(spark, sf):
+    return spotsigs.fingerprints_and_edits(table(spark, sf, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op8_language_id")
+def op8(spark, sf):
+    return language.identify(table(spark, sf, "documents"))
+
+
 @query("op10_benchmark_decontamination", decontaminate.SQL)
 def op10(spark, sf):
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
