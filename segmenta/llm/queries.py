@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
-from . import decontaminate, language, mixing, quality, spotsigs, tokens
+from . import decontaminate, language, mixing, pii, quality, spotsigs, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op8(spark, sf):
     return language.identify(table(spark, sf, "documents"))
 
 
+@query("op9_pii_surrogates")
+def op9(spark, sf):
+    return pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op10_benchmark_decontamination", decontaminate.SQL)
 def op10(spark, sf):
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
