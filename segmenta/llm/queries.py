@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
-from . import decontaminate, language, mixing, pii, quality, spotsigs, tokens
+from . import decontaminate, language, mixing, pages, pii, quality, spotsigs, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_html_extraction")
+def op3(spark, sf):
+    return pages.main_text(table(spark, sf, "pages"))
+
+
 @query("op4_token_binary")
 def op4(spark, sf):
     return tokens.token_digest(table(spark, sf, "documents"), f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}")
