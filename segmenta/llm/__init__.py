@@ -6,3 +6,10 @@ not name are ignored (or passed through untouched where rows are passed through)
 are one document in operators that group, and separate rows in operators that work row by row; an empty table gives an
 empty result.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run on executors travel by value, so executors need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,20 +11,28 @@ import pyarrow as pa
 #: Bytes looked at together; a longer text is taken alone.
 PIECE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
+
+
+def per_process(name, make: Callable):
+    """What make() gives, made once in a worker and kept for its later tasks (their code is unpickled anew each time)."""
+    kept = sys.__dict__.setdefault("_segmenta_per_process", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, PIECE_BYTES)
+    """Powers of the base and of its inverse modulo 2^64, n at least."""
+    def make(size):
         both = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, base, np.uint64)
+            p = np.full(size, base, np.uint64)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
+        return both[0], both[1]
+
+    # what a longer text needs is not kept
+    return per_process("powers", lambda: make(PIECE_BYTES + 1)) if n <= PIECE_BYTES + 1 else make(n)
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
