@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
-from . import decontaminate, language, mixing, neardup, pages, pii, quality, spotsigs, tokens
+from . import decontaminate, language, mixing, neardup, pages, pii, quality, spotsigs, substrings, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_suffix_array_dedup")
+def op1(spark, sf):
+    return substrings.repeated_bytes(table(spark, sf, "documents"))
+
+
 @query("op2_minhash_near_dup")
 def op2(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents"), threshold=0.8, words=2)
