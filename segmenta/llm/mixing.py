@@ -66,6 +66,12 @@ def mix(docs: DataFrame, target_entropy: float = 0.98, max_epochs: float = 4.0,
     Reading by (block, perm) gives the mixed order; token_offset counts the source's tokens before the copy.
     """
     counted = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"))
+    return mix_counted(counted, target_entropy, max_epochs, budget_share, block_tokens, seed)
+
+
+def mix_counted(counted: DataFrame, target_entropy: float = 0.98, max_epochs: float = 4.0, budget_share: float = 0.5,
+                block_tokens: int = 100_000, seed: int = 7) -> DataFrame:
+    """The same from (doc_id, source, n_tokens)."""
     plan = source_plan(counted, target_entropy, max_epochs, budget_share, block_tokens).filter("quota > 0") \
         .withColumn("slices", F.expr(f"greatest(1L, (n_docs + {SLICE_ROWS - 1}) div {SLICE_ROWS})"))
     # one short row a source, and source_plan has checked how many there are
@@ -88,9 +94,16 @@ def mix(docs: DataFrame, target_entropy: float = 0.98, max_epochs: float = 4.0,
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The documents of the mix with all their columns, one row per copy; texts move once, to meet their copies."""
-    share = mix(docs.dropDuplicates(["doc_id"]), **params).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).cast("int").alias("__copies"))
-    return docs.dropDuplicates(["doc_id"]).join(share, F.col("doc_id").eqNullSafe(F.col("__id"))) \
+    """The documents of the mix with all their columns, one row per copy; texts move once, to meet their copies.
+
+    Of several rows with one doc_id the one whose text has the smallest hash is mixed.
+    """
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__x", F.xxhash64("text"))
+    one = keyed.groupBy("__id").agg(F.min(F.struct("__x", "source", n_tokens(F.col("text")).alias("n"))).alias("m")) \
+        .select(F.concat_ws("|", "__id", F.col("m.__x").cast("string")).alias("doc_id"), "m.source", F.col("m.n").alias("n_tokens"))
+    copies = mix_counted(one, **params).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("__copies")) \
+        .select(F.substring_index("doc_id", "|", 1).alias("__id"), F.substring_index("doc_id", "|", -1).cast("long").alias("__x"), "__copies")
+    return keyed.join(copies, ["__id", "__x"]).dropDuplicates(["__id", "__x"]) \
         .withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
 
 

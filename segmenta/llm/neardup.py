@@ -295,6 +295,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, mis
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, words: int = 5, miss: float = MISS) -> DataFrame:
-    """The documents, all columns kept, of which each group of near-duplicates keeps one, the one with the smallest doc_id."""
+    """The documents, all columns kept, of which each group of near-duplicates keeps one, the one with the smallest doc_id.
+
+    Of rows that share a doc_id one is kept; rows without a doc_id all stay.
+    """
     kept = near_duplicates(docs, threshold, words, miss).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    return named.union(docs.filter("doc_id is null"))
