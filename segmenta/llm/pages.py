@@ -11,8 +11,8 @@ aggregates of 64-bit text hashes; only distinct skeletons meet in a task, at mos
 with more page structures gets several wrappers); the wrappers' decisions go back to the pages by an equality join.
 
 Defined cases: NULL or empty html gives the empty text; text without any element is content; broken markup is read as far
-as it goes (an open comment, script or style hides the rest); a host seen with fewer than ``DISTINCT`` different pages has
-no constant nodes and goes by elements alone; NULL urls share one host; pages that repeat are separate rows; elements
+as it goes (an open comment, script or style hides the rest); a text counts as constant from ``DISTINCT`` different pages
+on, so a host with fewer goes by elements alone; NULL urls share one host; pages that repeat are separate rows; elements
 deeper than ``DEPTH`` belong to their ancestor there; other columns are ignored.
 """
 
@@ -220,15 +220,18 @@ def simple_tree_matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]
 
 
 class Wrapper:
-    """One tree for all pages of a host; texts: the hashes seen at a node, None once they differ."""
+    """One tree for all pages of a host; texts: the hash seen at a node, None once they differ; pages: how many had one."""
 
     def __init__(self):
         self.root = Node("")
         self.texts: dict[int, int | None] = {}
-        self.keep = []  # nodes live as long as their ids are used
+        self.pages: dict[int, int] = {}
 
-    def add(self, nodes: list[Node], texts: dict[int, int | None]) -> list[Node]:
-        """Align a skeleton; the wrapper's node of each of its nodes."""
+    def add(self, nodes: list[Node], texts: dict[int, tuple[int | None, int]]) -> list[Node]:
+        """Align a skeleton (texts: by number, the hash if all pages have the same, and how many different pages have one).
+
+        Gives the wrapper's node of each of its nodes.
+        """
         pairs = {id(s): t for t, s in simple_tree_matching(self.root, nodes[0])[1]}
         place: list[Node] = []
         for s in nodes:
@@ -245,11 +248,15 @@ class Wrapper:
                 else:
                     t.children.insert(after, own)
                     after += 1
-        for number, text in texts.items():
-            t = place[number]
-            self.texts[id(t)] = text if self.texts.get(id(t), text) == text else None
+        for number, (text, pages) in texts.items():
+            t = id(place[number])
+            self.texts[t] = text if self.texts.get(t, text) == text else None
+            self.pages[t] = self.pages.get(t, 0) + pages
         return place
 
+    def is_constant(self, node: Node) -> bool:
+        return self.texts.get(id(node)) is not None and self.pages[id(node)] >= DISTINCT
+
     def roles(self, constants: bool) -> dict[int, bool]:
         """By id of a node: whether its text is content."""
         content: dict[int, bool] = {}
@@ -265,7 +272,7 @@ class Wrapper:
             is_main = tag in MAIN
             outside |= (tag in OUTSIDE and not (tag == "header" and inside and has_main)) or (not is_main and not OUTSIDE_WORDS.isdisjoint(words))
             inside |= is_main
-            content[id(t)] = inside and not outside and not (constants and self.texts.get(id(t)) is not None)
+            content[id(t)] = inside and not outside and not (constants and self.is_constant(t))
             walk.extend((c, inside, outside) for c in t.children)
         return content
 
@@ -275,12 +282,9 @@ def induce(pdf: pd.DataFrame) -> pd.DataFrame:
     wrapper, places = Wrapper(), []
     pdf = pdf.sort_values(["pages", "skeleton_key"], ascending=[False, True])
     for row in pdf.itertuples():
-        texts = dict(zip(row.numbers, (h if same else None for h, same in zip(row.hashes, row.same))))
+        texts = dict(zip(row.numbers, ((h if same else None, n) for h, same, n in zip(row.hashes, row.same, row.seen))))
         places.append(wrapper.add(read_skeleton(row.skeleton), texts))
-    roles = wrapper.roles(bool(pdf["distinct_pages"].iloc[0] >= DISTINCT))
-    # a wrapper whose every slot is constant has seen one page many times
-    if not any(roles.values()):
-        roles = wrapper.roles(False)
+    roles = wrapper.roles(True)
     return pd.DataFrame({"host": pdf["host"].values, "skeleton_key": pdf["skeleton_key"].values,
                          "roles": ["".join("1" if roles[id(t)] else "0" for t in place) for place in places]})
 
@@ -320,16 +324,18 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 def wrappers(page_trees: DataFrame) -> DataFrame:
     """(host, skeleton_key, roles) of all page structures."""
-    hosts = page_trees.groupBy("host").agg(F.countDistinct("page_hash").alias("distinct_pages"), F.countDistinct("skeleton_key").alias("structures"))
-    shapes = page_trees.groupBy("host", "skeleton_key").agg(F.min("skeleton").alias("skeleton"), F.count(F.lit(1)).alias("pages"))
-    texts = page_trees.select("host", "skeleton_key", F.inline("nodes")).groupBy("host", "skeleton_key", "node") \
+    hosts = page_trees.groupBy("host").agg(F.countDistinct("skeleton_key").alias("structures"))
+    shapes = page_trees.groupBy("host", "skeleton_key").agg(F.min("skeleton").alias("skeleton"), F.countDistinct("page_hash").alias("pages"))
+    # copies of a page say nothing new; first each different page of a node, then the node
+    texts = page_trees.select("host", "skeleton_key", "page_hash", F.inline("nodes")).groupBy("host", "skeleton_key", "node", "page_hash").agg(F.min("hash").alias("hash")) \
+        .groupBy("host", "skeleton_key", "node") \
         .agg(F.min("hash").alias("h"), (F.min("hash") == F.max("hash")).alias("one"), F.count(F.lit(1)).alias("n")) \
         .groupBy("host", "skeleton_key").agg(F.collect_list(F.struct("node", "h", "one", "n")).alias("t"))
     rows = shapes.join(hosts, "host").join(texts, ["host", "skeleton_key"], "left") \
-        .select("host", "skeleton_key", "skeleton", "pages", "distinct_pages",
+        .select("host", "skeleton_key", "skeleton", "pages",
                 F.expr("coalesce(t.node, array())").alias("numbers"), F.expr("coalesce(t.h, array())").alias("hashes"),
                 # constant only if every page of the shape has it
-                F.expr("coalesce(transform(t, x -> x.one and x.n = pages), array())").alias("same"),
+                F.expr("coalesce(transform(t, x -> x.one and x.n = pages), array())").alias("same"), F.expr("coalesce(t.n, array())").alias("seen"),
                 F.expr(f"pmod(skeleton_key, (structures + {VARIANTS - 1}) div {VARIANTS})").alias("part"))
     return rows.groupBy("host", "part").applyInPandas(lambda pdf: induce(pdf), "host string, skeleton_key long, roles string")
 

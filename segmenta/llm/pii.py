@@ -19,7 +19,7 @@ written forms are tables joined by equality; a document is put together from its
 documents pass untouched.
 
 Defined cases: NULL text stays NULL with no entities; repeated rows stay separate; NULL doc_id is kept; other columns
-are kept; an empty table gives an empty result.
+are kept (n_entities is replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -196,4 +196,5 @@ def pseudonymise(docs: DataFrame, key: str = "change-me") -> DataFrame:
     done = marked.join(maps, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left") \
         .withColumn("text", F.when(F.col("__map").isNull(), F.col("text")).otherwise(text)) \
         .withColumn("n_entities", F.expr("cast(size(__pieces) div 2 as bigint)"))
-    return done.select(*docs.columns, "n_entities").union(rest.select(*docs.columns, "n_entities"))
+    columns = [c for c in docs.columns if c != "n_entities"] + ["n_entities"]
+    return done.select(*columns).union(rest.select(*columns))

@@ -110,7 +110,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / n_parts for i in range(1, n_parts)]
     cuts = ids.approxQuantile("doc_id", probs, 0.25 / n_parts) if probs else []
-    splits = sorted({float("-inf"), *cuts, float("inf")})
+    splits = sorted({float("-inf"), *(cuts or [0.0]), float("inf")})
     # descending: the range of the largest ids comes first, NULL ids last
     low = F.when(F.col("doc_id").isNull(), F.lit(float(len(splits)))).otherwise(F.lit(float(len(splits) - 2)) - F.col("b"))
     ranged = Bucketizer(splits=splits, inputCol="d", outputCol="b", handleInvalid="keep") \
