@@ -12,8 +12,9 @@ ascending doc_id order.  A block holds
 Every block decodes alone, by table lookup: a control byte gives the places of its four ids' bytes.  Writing needs one
 exchange (range by doc_id), reading none.
 
-Tokenizing: a byte-level BPE splits before every blank or newline that follows a visible character, so pieces between
-such places are encoded once per worker and kept in a bounded cache; ids are the same as those of the whole text.
+Tokenizing: a byte-level BPE splits before every blank or newline that follows a visible character, and before every
+ASCII mark that follows a letter or digit.  So pieces between such places are encoded once per worker process and kept
+in a bounded cache; ids are the same as those of the whole text.
 
 Defined cases: NULL or empty text: only the end id.  Repeated rows are separate documents, side by side.  NULL doc_id
 sorts first.  An empty table gives an empty token table.
@@ -21,6 +22,7 @@ sorts first.  An empty table gives an empty token table.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .words import byte_table, pieces, span_hashes
+from .words import byte_table, per_process, pieces, span_hashes
 
 END_ID = 2
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 CACHE_PIECES = 1 << 20
 BLOCK_SCHEMA = ("part int, part_offset long, n_tokens long, doc_ids array<bigint>, lengths array<int>, ranks binary, "
                 "control binary, data binary")
@@ -85,13 +87,20 @@ def decode_block(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarra
 # --- tokenizing -----------------------------------------------------------------------------------------------------
 
 _VISIBLE = byte_table(lambda b: 0x21 <= b <= 0x7E)
-_CUT = byte_table(lambda b: b in (0x20, 0x0A))
+_BLANK = byte_table(lambda b: b in (0x20, 0x0A))
+_ALNUM = byte_table(lambda b: b < 128 and chr(b).isalnum())
+_MARK = byte_table(lambda b: 0x21 <= b <= 0x7E and not chr(b).isalnum())
+#: The second bytes of C3 that make a letter (not the signs of multiplication and division).
+_LATIN = byte_table(lambda b: 0x80 <= b <= 0xBF and b not in (0x97, 0xB7))
+#: Pieces given to the tokenizer in one call.
+CALL_PIECES = 4096
 
 
 class PieceEncoder:
     """Encodes texts piece by piece, each distinct piece once while it stays in the cache."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -103,8 +112,11 @@ class PieceEncoder:
         self.flat, self.offsets = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def learn(self, raw: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        got = self.tokenizer.encode_batch([raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
-        ids = [x.ids for x in got]
+        ids = []
+        for at in range(0, len(keys), CALL_PIECES):
+            some = slice(at, at + CALL_PIECES)
+            texts = [raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist())]
+            ids += [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
         slots = np.arange(len(keys)) + len(self.offsets) - 1
@@ -124,10 +136,9 @@ class PieceEncoder:
         n_texts = len(off) - 1
         if not len(raw):
             return np.empty(0, np.uint32), np.zeros(n_texts, np.int64)
-        # a character of Latin-1 letters is C3 and another byte; no blank starts with C3
-        solid = _VISIBLE[raw]
-        solid[1:] |= raw[:-1] == 0xC3
-        cut = np.flatnonzero(_CUT[raw[1:]] & solid[:-1]) + 1
+        latin = np.zeros(len(raw), bool)
+        latin[1:] = (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
+        cut = np.flatnonzero((_BLANK[raw[1:]] & (_VISIBLE[raw] | latin)[:-1]) | (_MARK[raw[1:]] & (_ALNUM[raw] | latin)[:-1])) + 1
         starts = np.unique(np.concatenate([off[:-1][off[:-1] < off[1:]], cut]))
         ends = np.append(starts[1:], len(raw))
         keys = span_hashes(raw, starts, ends)
@@ -160,7 +171,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str | None = None, end_id: int
     path = tokenizer_path or default_tokenizer()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, n_held, before, part = PieceEncoder(path), [], 0, 0, 0
+        encoder, held, n_held, before, part = per_process(("encoder", path), lambda: PieceEncoder(path)), [], 0, 0, 0
 
         def flush():
             nonlocal held, n_held, before
