@@ -199,75 +199,77 @@ class CsvBuilder:
         return _concat(out)
 
 
-class _Json:
-    """A JSON node being assembled: leaf text, object members or elements."""
-
-    def __init__(self):
-        self.kind, self.leaf, self.items, self.when = None, None, {}, None
-
-
 class JsonBuilder:
     """A JSON document; ``when`` makes a member depend on the row.
 
-    Keys keep the order in which they were first set, arrays are padded with
-    null up to the highest present element."""
+    The document is a table of paths.  Its shape follows from it: steps that are numbers make an array, steps that are
+    names an object; a value set on a path replaces what was below it, and a longer path the value above it.  Keys keep
+    the order in which they were first set, arrays are padded with null up to the highest present element."""
 
     def __init__(self):
-        self.root, self.values, self.done = _Json(), [], None
+        self.leaves: dict[tuple, tuple] = {}
+        self.values: list[Column] = []
+        self.place: dict[tuple, int] = {}  # every path and its beginnings, by first use
+        self.done = None
+
+    def _next_steps(self, path: tuple) -> list:
+        n = len(path)
+        return sorted({p[n] for p in self.leaves if len(p) > n and p[:n] == path}, key=lambda s: self.place[(*path, s)])
 
     def set(self, path: str, value, when: Column | None = None) -> "JsonBuilder":
-        cur = self.root
+        at: tuple = ()
         for step in json_steps(path):
-            kind = "array" if isinstance(step, int) else "object"
-            if kind == "object" and cur.kind == "array" and cur.items:
-                cur = cur.items[min(cur.items)]
-                if cur.kind == "array" and cur.items:
+            known = self._next_steps(at)
+            if known and isinstance(step, int) != isinstance(known[0], int):
+                if isinstance(step, int):
+                    raise ValueError(f'json: path "{path}": [{step}] applied to an object with keys')
+                # a name on an array means its first element
+                at = (*at, min(known))
+                inner = self._next_steps(at)
+                if inner and isinstance(inner[0], int):
                     raise ValueError(f'json: path "{path}": key "{step}" applied to nested arrays')
-            if kind == "array" and cur.kind == "object" and cur.items:
-                raise ValueError(f'json: path "{path}": [{step}] applied to an object with keys')
-            if cur.kind != kind:
-                cur.kind, cur.leaf, cur.items = kind, None, {}
-            cur = cur.items.setdefault(step, _Json())
-        cur.kind, cur.items = "leaf", {}
-        cur.leaf, cur.when = _json_constant(value), when
-        if cur.leaf is None:
-            cur.leaf = len(self.values)
+            at = (*at, step)
+        self.leaves = {p: v for p, v in self.leaves.items() if p[:len(at)] != at and at[:len(p)] != p}
+        for n in range(1, len(at) + 1):
+            self.place.setdefault(at[:n], len(self.place))
+        leaf = _json_constant(value)
+        if leaf is None:
+            leaf = len(self.values)
             self.values.append(text_or_empty(value))
+        self.leaves[at] = leaf, when
         return self
 
     def text(self) -> Column:
         """All string values are quoted by one expression over their array."""
         if not self.values:
-            return self._render(self.root)[0]
+            return self._render(())[0]
         quoted = each(F.array(*self.values), "t -> " + json_quote_sql("t"))
 
         def filled(done):
             self.done = done
-            return self._render(self.root)[0]
+            return self._render(())[0]
 
         return let(quoted, filled)
 
-    def _render(self, n: _Json) -> tuple[Column, Column | None]:
-        """(text, present) where present None means always."""
-        if n.kind is None:
+    def _render(self, path: tuple) -> tuple[Column, Column | None]:
+        """(text, present) of what is at a path, where present None means always."""
+        if path in self.leaves:
+            leaf, when = self.leaves[path]
+            return (F.lit(leaf) if isinstance(leaf, str) else F.get(self.done, F.lit(leaf))), when
+        parts = {s: self._render((*path, s)) for s in self._next_steps(path)}
+        if not parts:
             return F.lit("{}"), None
-        if n.kind == "leaf":
-            return (F.lit(n.leaf) if isinstance(n.leaf, str) else F.get(self.done, F.lit(n.leaf))), n.when
-        done = [(k, *self._render(c)) for k, c in n.items.items()]
-        always = any(p is None for _, _, p in done)
-        present = None if always else reduce(lambda a, b: a | b, [p for _, _, p in done])
-        if n.kind == "object":
-            members = [F.concat(F.lit(json_string(k) + ":"), t) for k, t, _ in done]
-            members = [m if p is None else F.when(p, m) for m, (_, _, p) in zip(members, done)]
+        any_of = lambda conds: None if any(c is None for c in conds) else reduce(lambda a, b: a | b, conds)
+        only = lambda text, cond: text if cond is None else F.when(cond, text)
+        present = any_of([p for _, p in parts.values()])
+        if all(isinstance(s, str) for s in parts):
+            members = [only(F.concat(F.lit(json_string(s) + ":"), t), p) for s, (t, p) in parts.items()]
             return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")), present
-        by_index = {k: (t, p) for k, t, p in done}
         cells = []
-        for i in range(max(by_index) + 1):
-            later = [by_index[j][1] for j in by_index if j >= i]
-            needed = None if any(p is None for p in later) else reduce(lambda a, b: a | b, later)
-            t, p = by_index.get(i, (F.lit("null"), None))
-            t = t if p is None else F.when(p, t).otherwise(F.lit("null"))
-            cells.append(t if needed is None else F.when(needed, t))
+        for i in range(max(parts) + 1):
+            text, cond = parts.get(i, (F.lit("null"), None))
+            filled = text if cond is None else F.when(cond, text).otherwise(F.lit("null"))
+            cells.append(only(filled, any_of([p for s, (_, p) in parts.items() if s >= i])))
         return F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")), present
 
 

@@ -171,6 +171,11 @@ def xml_nodes(raw: bytes):
     p.StartElementHandler, p.CharacterDataHandler = start, chars
     p.EndElementHandler = lambda name: stack.pop()
     p.CommentHandler = p.ProcessingInstructionHandler = cut
+
+    def refuse(*_):
+        raise BadPayload("xml: entities other than the five of XML are not supported")
+
+    p.EntityDeclHandler = p.SkippedEntityHandler = refuse
     body = _DECLARED.sub(b"", text.encode("utf-8"), count=1)
     try:
         p.Parse(body, True)

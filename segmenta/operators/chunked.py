@@ -6,9 +6,9 @@ inside (key, chunk), and what earlier chunks contribute comes from one row per
 chunk.  The result equals the plain window for any cut that is monotone in
 the order.
 
-The rows are shuffled once, by (keys, chunk); the per-chunk totals and the
-local windows both read that exchange and the carry join needs no other
-shuffle of the rows.
+The rows are shuffled once, by (keys, chunk) in a form that is never NULL.  The
+per-chunk totals and the local windows read that exchange, and the carry, one
+row per key and chunk, comes to the rows by plain equality on the same columns.
 """
 
 from __future__ import annotations
@@ -40,17 +40,20 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
       next  earliest non-NULL value among later rows
     Wrap a value in a struct to make a NULL count as a value.
     """
-    base = df.withColumn(CHUNK, chunk)
+    # NULL keys and chunks get a value of their own; strings, so that equality needs no coalesce that would not fit the exchange
+    parts = [f"__p_{i}" for i in range(len(keys))]
+    base = df.withColumns({p: F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")) for p, k in zip(parts, keys)})
+    base = base.withColumn(CHUNK, F.coalesce(chunk.cast("long"), F.lit(-(1 << 62))))
     tmp = {}
     for name, (kind, expr) in values.items():
         tmp[name] = f"__v_{name}"
         base = base.withColumn(tmp[name], expr)
-    base = base.repartition(*keys, CHUNK)
+    base = base.repartition(*parts, CHUNK)
     seq = F.struct(*order)
-    local = W.partitionBy(*keys, CHUNK).orderBy(*order)
+    local = W.partitionBy(*parts, CHUNK).orderBy(*order)
     earlier = local.rowsBetween(W.unboundedPreceding, -1)
     later = local.rowsBetween(1, W.unboundedFollowing)
-    chunks = W.partitionBy(*keys).orderBy(CHUNK)
+    chunks = W.partitionBy(*parts).orderBy(CHUNK)
     before = chunks.rowsBetween(W.unboundedPreceding, -1)
     after = chunks.rowsBetween(1, W.unboundedFollowing)
     totals, carried, own, final = [], [], {}, {}
@@ -82,11 +85,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     # The totals also touch every other column.  Without that their branch
     # would need fewer columns, its exchange would differ from the rows', and
     # everything below (often parsing) would run twice.
-    per_chunk = base.groupBy(*keys, CHUNK).agg(*totals, F.max(F.xxhash64(*_hashable(base))).alias("__all"))
-    carry = per_chunk.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col(CHUNK).alias("__k"), "__all", *carried)
-    cond = F.col(CHUNK).eqNullSafe(F.col("__k")) & F.col("__all").isNotNull()
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    per_chunk = base.groupBy(*parts, CHUNK).agg(*totals, F.max(F.xxhash64(*_hashable(base))).alias("__all"))
+    carry = per_chunk.select(*(F.col(p).alias(f"__k{p}") for p in parts), F.col(CHUNK).alias("__k"), "__all", *carried)
+    cond = (F.col(CHUNK) == F.col("__k")) & F.col("__all").isNotNull()
+    for p in parts:
+        cond = cond & (F.col(p) == F.col(f"__k{p}"))
     return rows.join(carry, cond, "left").select(*df.columns, *(e.alias(n) for n, e in final.items()))
 
 
@@ -100,14 +103,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], chunk: Column, na
     return running(df, keys, order, chunk, **{name: ("sum", F.lit(1).cast("long"))}).withColumn(name, F.col(name) + 1)
 
 
-def newest_threshold(df: DataFrame, key: str, order: str, keep: int, salts: int = 64) -> DataFrame:
-    """(key, threshold): the ``keep``-th largest order value of each key.
-
-    Top-N inside salted slices first, so one key's rows never meet in one
-    task before only ``salts * keep`` of them are left.
-    """
-    slim = df.select(key, order, F.pmod(F.xxhash64(order), F.lit(salts)).alias("__salt"))
-    top = slim.withColumn("__rn", F.row_number().over(W.partitionBy(key, "__salt").orderBy(F.desc(order)))) \
-        .filter(F.col("__rn") <= keep)
-    final = top.withColumn("__rn", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order))))
-    return final.filter(F.col("__rn") == keep).select(key, F.col(order).alias("threshold"))
+def newest_threshold(df: DataFrame, key: str, order: str, keep: int, width: int = 1 << 16) -> DataFrame:
+    """(key, threshold): the ``keep``-th largest value of the unique integer ``order`` of each key.
+
+    Values are counted by ranges of ``width``; only the range that holds the one wanted is sorted, and it holds at most
+    ``width`` rows of a key however many ``keep`` asks for."""
+    slim = df.select(F.col(key).alias("__key"), F.col(order).alias("__order"), F.floor(F.col(order) / width).cast("long").alias("__range"))
+    counts = slim.groupBy("__key", "__range").agg(F.count("*").alias("n"))
+    larger = W.partitionBy("__key").orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
+    holds = counts.withColumn("above", F.coalesce(F.sum("n").over(larger), F.lit(0))) \
+        .filter((F.col("above") < keep) & (F.col("above") + F.col("n") >= keep)) \
+        .select(F.col("__key").alias("__k"), F.col("__range").alias("__r"), "above")
+    inside = slim.join(holds, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__r")))
+    ranked = inside.withColumn("rn", F.col("above") + F.row_number().over(W.partitionBy("__key").orderBy(F.desc("__order"))))
+    return ranked.filter(F.col("rn") == keep).select(F.col("__key").alias(key), F.col("__order").alias("threshold"))

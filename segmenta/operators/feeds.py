@@ -169,15 +169,3 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on either side and where they are missing."""
     a, b = left.select(key).distinct().withColumn("l", F.lit(1)), right.select(key).distinct().withColumn("r", F.lit(1))
     return a.join(b, key, "full_outer").select(key, F.col("l").isNotNull().alias("in_left"), F.col("r").isNotNull().alias("in_right"))
-
-
-def inject_faults(messages: DataFrame, key: str, every: int = 100) -> DataFrame:
-    """Hash-chosen faults on a test feed: corrupt, duplicate, delay, drop.
-
-    Adds ``fault``; the same key always gets the same fault."""
-    h = F.pmod(F.xxhash64(key), F.lit(every))
-    fault = F.when(h == 0, "corrupt").when(h == 1, "duplicate").when(h == 2, "delay").when(h == 3, "drop").otherwise("none")
-    m = messages.withColumn("fault", fault).filter(F.col("fault") != "drop")
-    m = m.withColumn("raw", F.when(F.col("fault") == "corrupt", F.substring("raw", 2, 1 << 30)).otherwise(F.col("raw")))
-    m = m.withColumn("ts", F.when(F.col("fault") == "delay", F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts")))
-    return m.withColumn("copy", F.explode(F.when(F.col("fault") == "duplicate", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))

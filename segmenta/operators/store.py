@@ -18,7 +18,7 @@ RECEIVED, FILTERED, TRANSFORMED, QUEUED, SENT, ERROR = (
 STATES = (RECEIVED, FILTERED, TRANSFORMED, QUEUED, SENT, ERROR)
 SUMMARY = ["msg_id", "channel_id", "correlation_id", "replay_of", "state", "data_type", "error_text",
            "received_at", "updated_at"]
-PAGE, PAGE_CAP = 50, 500
+PAGE = 50
 
 
 def record(df: DataFrame, channel: str, data_type: str, source_key: list[str], received_at: str,
@@ -70,7 +70,7 @@ def latest_destinations(events: DataFrame) -> DataFrame:
 def list_messages(messages: DataFrame, channel: str | None = None, state: str | None = None,
                   before_id: int = 0, limit: int = 0) -> DataFrame:
     """Newest first keyset page; payload columns are never read."""
-    limit = PAGE if limit <= 0 else min(limit, PAGE_CAP)
+    limit = PAGE if limit <= 0 else limit
     if channel is not None:
         messages = messages.filter(F.col("channel_id") == channel)
     if before_id > 0:

@@ -298,11 +298,14 @@ def run_channel(channel: Channel, messages: DataFrame) -> tuple[DataFrame, DataF
         "transformed": F.when(passed, run.payload()), "transformed_data_type": F.when(passed, run.data_type)})
     auto = ack_decision(F.when(F.col("c_rej").isNotNull(), "reject").when(~ok, "error"), F.col("c_rej.code"))
     override = F.when(F.col("state") == TRANSFORMED, F.nullif("c_ack", F.lit("")))
-    run.df = run.df.withColumn("ack_code", F.coalesce(override, auto))
+    said = F.when(F.col("c_rej").isNotNull(), F.col("c_rej.text")).when(~ok, F.col("c_error"))
+    run.df = run.df.withColumns({
+        "ack_code": F.coalesce(override, auto), "ack_explicit": override.isNotNull(),
+        "ack_text": F.coalesce(F.when(override.isNotNull(), F.col("c_acktext")).otherwise(said), F.lit(""))})
     outer = [*keep, *(["labels"] if channel.log_fields else [])]
     outer = [c for c in outer if c not in ("state", "error_text", "transformed", "transformed_data_type", "meta")]
     out = run.df.select(*outer, F.col("c_meta").alias("meta"), "state", "error_text", "transformed",
-                        "transformed_data_type", "ack_code")
+                        "transformed_data_type", "ack_code", "ack_text", "ack_explicit")
     return out, _fan_out(channel, run)
 
 
@@ -336,7 +339,7 @@ def _fan_out(channel: Channel, base: _Run) -> DataFrame:
             F.when(sent, stamp_delivery(F.col(f"{p}meta"), channel.id, d.id)).alias("meta"),
             F.coalesce(f"{p}error", F.lit("")).alias("last_error"), F.lit(0).alias("attempts"),
             F.coalesce(~ok, F.lit(False)).alias("dead_letter"), F.col(f"{p}rej.code").alias("reject_code"),
-            F.col(f"{p}ack").alias("ack_override")), ["msg_id", base.msg, "c_meta", *rows])
+            F.col(f"{p}rej.text").alias("reject_text"), F.col(f"{p}ack").alias("ack_override"), F.col(f"{p}acktext").alias("ack_override_text")), ["msg_id", base.msg, "c_meta", *rows])
         rows.append(f"{p}out")
     return df.select("msg_id", F.explode(F.array(*rows)).alias("x")).select("msg_id", "x.*")
 
@@ -356,19 +359,24 @@ def log_fields(view, fields: dict[str, str]) -> Column:
     return F.map_filter(full, lambda _, v: F.coalesce(v != "", F.lit(False)))
 
 
-def source_ack(messages: DataFrame, outcomes: DataFrame, wait_order: list[str]) -> DataFrame:
-    """Acknowledgement per message once its ``wait_order`` destinations are done.
+def source_ack(messages: DataFrame, outcomes: DataFrame, wait_order: list[str], order: list[str] | None = None) -> DataFrame:
+    """Acknowledgement (``ack_code``, ``ack_text``) per message once its ``wait_order`` destinations are done.
 
-    ``outcomes``: msg_id, destination_id, kind (NULL sent, 'reject',
-    'permanent', 'error'), reject_code, override.  The first failing
-    destination in order decides, an override wins."""
-    rank = F.array_position(F.array(*(F.lit(w) for w in wait_order)), F.col("destination_id"))
-    bad = F.struct(rank.alias("rank"), "kind", "reject_code")
+    ``outcomes``: msg_id, destination_id, kind (NULL sent, 'reject', 'permanent', 'error'), reject_code, reject_text,
+    error, override, override_text.  The first failing destination in order decides; an explicit answer wins, the
+    channel's own unless a destination gives one, of several the last in ``order`` (all destinations of the channel)."""
+    place = lambda names: F.array_position(F.array(*(F.lit(w) for w in names)), F.col("destination_id"))
+    rank, waited = place(order or wait_order), place(wait_order)
+    bad = F.struct(waited.alias("rank"), "kind", "reject_code", "reject_text", "error", "destination_id")
     per = outcomes.groupBy("msg_id").agg(
-        F.min(F.when(F.col("kind").isNotNull() & (rank > 0), bad)).alias("b"),
-        F.max_by("override", F.when(F.col("override").isNotNull(), F.col("destination_id"))).alias("override"))
+        F.min(F.when(F.col("kind").isNotNull() & (waited > 0), bad)).alias("b"),
+        F.max(F.when(F.coalesce("override", F.lit("")) != "", F.struct(rank.alias("rank"), "override", "override_text"))).alias("o"))
     auto = ack_decision(F.col("b.kind"), F.col("b.reject_code"))
-    return messages.join(per, "msg_id", "left").withColumn(
-        "ack_code", F.when(F.col("state") != TRANSFORMED, F.col("ack_code")).otherwise(
-            F.coalesce(F.nullif("override", F.lit("")), F.when(F.col("ack_code") == "AA", auto), F.col("ack_code")))
-    ).drop("b", "override")
+    said = F.when(F.col("b.kind") == "reject", F.col("b.reject_text")).when(
+        F.col("b.kind").isNotNull(), F.concat(F.lit("destination "), F.col("b.destination_id"), F.lit(": "), F.col("b.error")))
+    took_over, decides = F.col("o.override").isNotNull(), (F.col("ack_code") == "AA") & F.col("b.kind").isNotNull() & ~F.col("ack_explicit")
+    done = F.col("state") == TRANSFORMED
+    pick = lambda explicit, automatic, own: F.when(done & took_over, explicit).when(done & decides, automatic).otherwise(own)
+    return messages.join(per, "msg_id", "left").withColumns({
+        "ack_text": F.coalesce(pick(F.col("o.override_text"), said, F.col("ack_text")), F.lit("")),
+        "ack_code": pick(F.col("o.override"), auto, F.col("ack_code"))}).drop("b", "o")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,81 +113,50 @@ def frame_e1381(df: DataFrame, key: list[str], col: str = "raw", frame_size: int
                       _bytes(frame).alias("frame"))
 
 
-_ASSEMBLED = "conn string, session int, raw binary, first_arrival long, frames int, note string"
-
-
-class _Receiver:
-    """Receiver state of one session; ``step`` returns an output row or None."""
-
-    def __init__(self, max_message: int):
-        self.max = max_message
-        self.open, self.dropped = False, False
-        self.expected, self.acked, self.buf, self.first = 1, None, [], None
-
-    def step(self, arrival, signal, number, text, last, error):
-        note = lambda why: (None, arrival, 0, why)
-        if self.dropped:
-            return None
-        if signal == ENQ:
-            self.open, self.expected, self.acked, self.buf = True, 1, None, []
-        elif signal == EOT:
-            self.open, self.buf = False, []
-        elif not self.open:
-            self.dropped = True
-            return note("frame outside a session")
-        elif error is not None:
-            return note("nak: " + error)
-        elif int(number) == self.expected:
-            if sum(map(len, self.buf)) + len(text) > self.max:
-                self.open, self.buf = False, []
-                return note("message too large")
-            self.first = arrival if not self.buf else self.first
-            self.buf.append(text)
-            self.acked, self.expected = self.expected, (self.expected + 1) % 8
-            if last:
-                whole, n = "".join(self.buf).encode("latin-1"), len(self.buf)
-                self.buf = []
-                return (whole, self.first, n, None)
-        elif self.acked is not None and int(number) == self.acked:
-            return note("duplicate")
-        else:
-            return note("nak: wrong frame number")
-        return None
+def assemble_e1381(frames: DataFrame, max_message: int = MAX_MESSAGE) -> DataFrame:
+    """conn, session, raw, first_arrival, frames, note: the messages of each captured connection, and a note per refused frame.
 
+    ``frames``: conn, arrival, signal (ENQ, EOT or NULL), number, text, last, error.  A session reaches from an ENQ to
+    the next ENQ or EOT.  A frame outside a session, or bytes that are no frame, end their connection: only what came
+    before counts.  Frames with a wrong checksum are refused, and so is one whose number does not follow the frame before
+    it while the frame after it does.  Of the others one is taken if its number is the next, and is a duplicate if it is
+    the same; a gap refuses the rest of the session.  A message is the text of the frames taken up to a last one, in
+    order; an unfinished one is dropped, a too large one noted.
 
-def assemble_e1381(frames: DataFrame, max_message: int = MAX_MESSAGE) -> DataFrame:
-    """Messages of each captured connection, plus a note per refused frame.
-
-    ``frames``: conn, arrival, signal (ENQ, EOT or NULL), number, text, last,
-    error.  Every ENQ restarts the receiver, so the stream is cut there first
-    (a running count of ENQ, two-level, so hot connections spread out).  The
-    sessions are then sorted inside their partitions and folded as a stream of
-    Arrow batches: one session is never held in memory as a whole, only the
-    message being assembled."""
+    All of it is running values and aggregates: a connection or session with very many frames is spread over tasks."""
     from ..operators.chunked import id_chunk, running
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    f = running(frames, ["conn"], ["arrival"], id_chunk(F.col("arrival")),
-                session=("sum", F.when(F.col("signal") == ENQ, 1).otherwise(0)))
-    f = f.withColumn("session", (F.col("session") + F.when(F.col("signal") == ENQ, 1).otherwise(0)).cast("int"))
-    cols = ["conn", "session", "arrival", "signal", "number", "text", "last", "error"]
-    f = f.select(*cols).repartition("conn", "session").sortWithinPartitions("conn", "session", "arrival")
-
-    def fold(batches):
-        key, receiver = None, None
-        for batch in batches:
-            out = []
-            for conn, session, *row in zip(*(batch.column(c).to_pylist() for c in cols)):
-                if (conn, session) != key:
-                    key, receiver = (conn, session), _Receiver(max_message)
-                got = receiver.step(*row)
-                if got is not None:
-                    out.append((conn, session, *got))
-            columns = list(zip(*out)) or [[]] * 6
-            types = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                             names=["conn", "session", "raw", "first_arrival", "frames", "note"])
-
-    return f.mapInArrow(fold, _ASSEMBLED)
+    at, signal, quiet = F.col("arrival"), F.col("signal"), F.col("signal").isNull()
+    seen = running(frames, ["conn"], ["arrival"], id_chunk(at), session=("sum", F.when(signal == ENQ, 1).otherwise(0)),
+                   under=("last", signal)).withColumn("session", (F.col("session") + F.when(signal == ENQ, 1).otherwise(0)).cast("int"))
+    foreign = F.coalesce(F.col("error").startswith("astm1381: expected STX"), F.lit(False))
+    stray = quiet & ((F.coalesce("under", F.lit(EOT)) == EOT) | foreign)
+    ends = seen.filter(stray).groupBy(F.col("conn").alias("__conn")).agg(F.min("arrival").alias("__end"))
+    live = seen.join(ends, F.col("conn") == F.col("__conn"), "left").filter(F.col("__end").isNull() | (at <= F.col("__end"))).filter(quiet) \
+        .withColumn("outside", F.coalesce(at == F.col("__end"), F.lit(False)))
+    number = F.when(~F.col("outside") & F.col("error").isNull(), F.col("number").cast("int"))
+    beyond = lambda n, before: F.pmod(n - F.coalesce(F.col(before), F.lit(0)), F.lit(8))  # a session's first frame is number 1
+    key, chunk = ["conn", "session"], id_chunk(at)
+    near = running(live.withColumn("__n", number), key, ["arrival"], chunk, __prev=("last", number), __next=("next", number))
+    foreign_number = (beyond(F.col("__n"), "__prev") > 1) & F.coalesce(beyond(F.col("__next"), "__prev") <= 1, F.lit(False))
+    own = F.when(~foreign_number, F.col("__n"))
+    steps = running(near.withColumn("__own", own), key, ["arrival"], chunk, __before=("last", own)) \
+        .withColumn("__step", beyond(F.col("__own"), "__before"))
+    gaps = running(steps, key, ["arrival"], chunk, gaps=("sum", F.when(F.col("__step") > 1, 1).otherwise(0)))
+    judged = gaps.withColumn("taken", F.coalesce((F.col("__step") == 1) & (F.col("gaps") == 0), F.lit(False)))
+    placed = running(judged, key, ["arrival"], chunk, message=("sum", F.when(F.col("taken") & F.col("last"), 1).otherwise(0)))
+    texts = placed.filter("taken").groupBy("conn", "session", "message").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "text"))), lambda x: x["text"]), "").alias("text"),
+        F.min("arrival").alias("first_arrival"), F.count("*").cast("int").alias("frames"), F.bool_or("last").alias("done"), F.sum(F.length("text")).alias("size"))
+    fits = F.col("size") <= max_message
+    messages = texts.filter("done").select(
+        "conn", "session", F.when(fits, _bytes(F.col("text"))).alias("raw"), "first_arrival", F.when(fits, F.col("frames")).otherwise(0).alias("frames"),
+        F.when(~fits, "message too large").alias("note"))
+    note = (F.when(F.col("outside") & foreign, F.col("error")).when(F.col("outside"), "frame outside a session")
+            .when(F.col("error").isNotNull(), F.concat(F.lit("nak: "), F.col("error")))
+            .when((F.col("__step") == 0) & (F.col("gaps") == 0) & F.col("__before").isNotNull(), "duplicate").otherwise("nak: wrong frame number"))
+    notes = judged.filter(~F.col("taken")).select("conn", "session", F.lit(None).cast("binary").alias("raw"), at.alias("first_arrival"),
+                                                  F.lit(0).alias("frames"), note.alias("note"))
+    return messages.unionByName(notes)
 
 
 def ingest_http(df: DataFrame, path: str, max_body: int = MAX_MESSAGE, authorized: Column | None = None) -> DataFrame:

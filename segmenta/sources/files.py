@@ -52,9 +52,13 @@ def read_corpus_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_rows(spark: SparkSession, path: str, width: int, header: bool = False) -> DataFrame:
-    """Whole CSV files; short rows end in NULL columns c1..c<width>."""
-    schema = ", ".join(f"c{i} string" for i in range(1, width + 1))
-    return spark.read.schema(schema).option("header", header).option("multiLine", True).option("escape", '"').csv(path)
+    """Whole CSV files: c1..c<width> and ``wider``, true where a row has more cells than that.
+
+    Short rows end in NULL columns, and an empty cell is NULL, so an empty cell right after the last column does not
+    count as wider."""
+    schema = ", ".join(f"c{i} string" for i in range(1, width + 2))
+    rows = spark.read.schema(schema).option("header", header).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select(*(f"c{i}" for i in range(1, width + 1)), F.col(f"c{width + 1}").isNotNull().alias("wider"))
 
 
 def unique_names(df: DataFrame, id_col: str, name: str = "name", chunk_rows: int = 1 << 20) -> DataFrame:

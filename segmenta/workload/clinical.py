@@ -31,12 +31,15 @@ def lifecycle_breaches(spark, sf):
     return ops.lifecycle_breaches(feeds.visits(spark, sf))
 
 
-@query("backwards_visits", EV + """, p AS (SELECT *, lag(ts) OVER (PARTITION BY visit ORDER BY (seq * 7919) % 1000003) AS prev FROM e)
+@query("backwards_visits", EV + """, p AS (SELECT *, lag(ts) OVER (PARTITION BY visit ORDER BY substr(md5(seq::VARCHAR), 1, 7), seq) AS prev FROM e)
 SELECT visit, count(*) AS n FROM p WHERE ts < prev GROUP BY 1""")
 def backwards_visits(spark, sf):
     """The feed replayed in shuffled arrival order: time goes backwards."""
-    v = feeds.visits(spark, sf).withColumn("seq", (F.col("seq") * 7919) % 1000003)
-    return ops.lifecycle_breaches(v, chunk_rows=50_000).filter("breach = 'backwards in time'").groupBy("visit").agg(F.count("*").alias("n"))
+    v = feeds.visits(spark, sf)
+    # 30 bits of the hash above the place that the hash's order leaves to the id; seq itself stays below 2^32
+    shuffled = F.conv(F.substring(F.md5(F.col("seq").cast("string")), 1, 7), 16, 10).cast("long") * (1 << 32) + F.col("seq")
+    v = v.withColumn("seq", shuffled)
+    return ops.lifecycle_breaches(v, chunk_rows=1 << 54).filter("breach = 'backwards in time'").groupBy("visit").agg(F.count("*").alias("n"))
 
 
 _BEDS = EV + """, acts AS (
@@ -111,7 +114,7 @@ def admissions_by_hour(spark, sf):
 def feed_sequence(spark, sf):
     """One run-wide sequence number over the whole feed, two-level."""
     v = feeds.visits(spark, sf).select("seq", "ts")
-    return chunked.numbered(v, [], ["ts", "seq"], chunked.time_chunk(F.col("ts"), 86_400)).select("seq", "rn")
+    return chunked.numbered(v, [], ["ts", "seq"], chunked.time_chunk(F.col("ts"), 3_600)).select("seq", "rn")
 
 
 @query("merged_feeds", """SELECT feed, max(rn) AS last_rn, count(*) AS n FROM (SELECT feed, row_number() OVER (ORDER BY ts, feed, id) AS rn FROM (
@@ -119,7 +122,7 @@ def feed_sequence(spark, sf):
 def merged_feeds(spark, sf):
     a = feeds.visits(spark, sf).select(F.lit("adt").alias("feed"), "ts", F.col("seq").alias("id"))
     o = feeds.stored_messages(spark, sf).select(F.lit("orm").alias("feed"), F.col("received_at").alias("ts"), F.col("msg_id").alias("id"))
-    n = chunked.numbered(a.unionByName(o), [], ["ts", "feed", "id"], chunked.time_chunk(F.col("ts"), 86_400 * 7))
+    n = chunked.numbered(a.unionByName(o), [], ["ts", "feed", "id"], chunked.time_chunk(F.col("ts"), 86_400))
     return n.groupBy("feed").agg(F.max("rn").alias("last_rn"), F.count("*").alias("n"))
 
 
@@ -132,16 +135,18 @@ def sent_per_feed(spark, sf):
 def _resent(spark, sf):
     """The feed with every third message sent again an hour later."""
     v = feeds.visits(spark, sf).select("control_id", "seq", "ts")
-    again = v.filter("seq % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")).withColumn("seq", F.col("seq") + 10_000_000)
+    # a copy comes right after its original in sequence: even numbers are originals, odd ones copies
+    v = v.withColumn("seq", F.col("seq") * 2)
+    again = v.filter("seq % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")).withColumn("seq", F.col("seq") + 1)
     return v.unionByName(again)
 
 
-@query("resent_messages", "SELECT 'E' || event_id AS control_id, event_id + 10000000 AS seq FROM events WHERE event_id % 3 = 0")
+@query("resent_messages", "SELECT 'E' || event_id AS control_id, event_id * 2 + 1 AS seq FROM events WHERE event_id % 3 = 0")
 def resent_messages(spark, sf):
     return ops.resends(_resent(spark, sf), "control_id", ["ts", "seq"]).select("control_id", "seq")
 
 
-@query("idempotent_intake", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS seq_sum FROM events")
+@query("idempotent_intake", "SELECT count(*) AS n, CAST(sum(event_id * 2) AS BIGINT) AS seq_sum FROM events")
 def idempotent_intake(spark, sf):
     return ops.first_arrivals(_resent(spark, sf), "control_id", ["ts", "seq"]).agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum"))
 
@@ -257,14 +262,32 @@ def delivery_routes(spark, sf):
         meta["destination.id"].alias("destination"), meta["source.file"].alias("source"))
 
 
-@query("source_acks", """SELECT CASE WHEN event_type = 'error' THEN 'AA' WHEN user_id % 2 = 0 THEN 'AR' ELSE 'AA' END AS ack_code, count(*) AS n,
-  CASE WHEN event_type <> 'error' AND user_id % 2 = 0 THEN 400 ELSE 200 END AS status FROM events GROUP BY ALL""")
+def _answering_channel():
+    """Two destinations answer for the channel, in the order z, a; a third must accept first."""
+    answer = lambda code, text, when: lambda m: m.set_ack(code, text, when=when(m))
+    trigger = lambda m: m.get("MSH-9.2")
+    by_three = lambda m: F.substring(m.get("PV1-19"), 2, 9).cast("long") % 3 == 0
+    base = _fanout_channel()
+    return Channel(
+        "answers", "mllp-listener", "hl7v2", filter=base.filter, transformers=base.transformers, destinations=[
+            Destination("z", "mllp-sender", transformers=[answer("CA", "from z", lambda m: trigger(m) == "A01")]),
+            Destination("a", "mllp-sender", transformers=[answer("CR", "from a", lambda m: (trigger(m) == "A03") | ((trigger(m) == "A01") & by_three(m)))]),
+            next(d for d in base.destinations if d.id == "strict")])
+
+
+@query("source_acks", """SELECT ack_code, ack_text, CASE ack_code WHEN 'AA' THEN 200 WHEN 'CA' THEN 200 ELSE 400 END AS status, count(*) AS n FROM (
+  SELECT unnest(CASE WHEN event_type = 'error' THEN {'ack_code': 'AA', 'ack_text': ''}
+    WHEN event_type = 'purchase' OR (event_type = 'signup' AND user_id % 3 = 0) THEN {'ack_code': 'CR', 'ack_text': 'from a'}
+    WHEN event_type = 'signup' THEN {'ack_code': 'CA', 'ack_text': 'from z'}
+    WHEN user_id % 2 = 0 THEN {'ack_code': 'AR', 'ack_text': 'even visit'} ELSE {'ack_code': 'AA', 'ack_text': ''} END) FROM events) GROUP BY ALL""")
 def source_acks(spark, sf):
-    m, d = _run_fanout(spark, sf)
+    ch = _answering_channel()
+    m, d = run_channel(ch, feeds.events_adt(spark, sf).withColumn("meta", F.create_map(F.lit("source.file"), F.lit("f"))))
     res = d.select("msg_id", "destination_id", F.when(F.col("reject_code").isNotNull(), "reject").when(F.col("dead_letter"), "error").alias("kind"),
-                   "reject_code", F.col("ack_override").alias("override"))
-    got = source_ack(m.select("msg_id", "state", "ack_code"), res, ["strict"])
-    return got.withColumn("status", outcome.http_status(F.col("ack_code"))).groupBy("ack_code", "status").agg(F.count("*").alias("n"))
+                   "reject_code", "reject_text", F.col("last_error").alias("error"), F.col("ack_override").alias("override"),
+                   F.col("ack_override_text").alias("override_text"))
+    got = source_ack(m.select("msg_id", "state", "ack_code", "ack_text", "ack_explicit"), res, ["strict"], [x.id for x in ch.destinations])
+    return got.withColumn("status", outcome.http_status(F.col("ack_code"))).groupBy("ack_code", "ack_text", "status").agg(F.count("*").alias("n"))
 
 
 @query("log_labels", """SELECT event_id AS msg_id, 'ctrl=E' || event_id || ',mrn=MAIN' || lpad(user_id::VARCHAR, 7, '0') || ',trigger=' ||
@@ -330,20 +353,13 @@ def message_summaries(spark, sf):
     return v.select("seq", sc.summary_line(feed=F.lit("adt"), ctrl=F.col("control_id"), loc=F.lit(""), visit=F.col("visit")).alias("line"))
 
 
-@query("injected_faults")
-def injected_faults(spark, sf):
-    """Hash-chosen faults on the feed; the counts depend on Spark's hash."""
-    v = feeds.events_adt(spark, sf).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    df, _ = parsed_hl7(ops.inject_faults(v, "msg_id", 50))
-    return df.groupBy("fault", F.col("msg.error").isNotNull().alias("invalid")).agg(F.count("*").alias("n"))
-
-
-@query("wire_checksums", "SELECT count(*) AS frames, count(*) AS matching FROM customer")
+@query("wire_checksums", """
+SELECT c_custkey AS msg_id, 1 AS messages, true AS matching FROM customer""")
 def wire_checksums(spark, sf):
-    """Checksums of one-record frames recomputed from the frame bytes."""
-    f = captures.frame_e1381(feeds.customers_hl7(spark, sf).withColumn("raw", F.concat(F.lit("C|"), F.substring("raw", -20, 19), F.lit("\r"))), ["msg_id"])
-    f = f.filter("last")
-    got = captures.deframe_e1381(f.select("msg_id", "frame"))
-    return got.agg(F.count("*").alias("frames"), F.count_if(F.col("error").isNull()).alias("matching"))
+    """Whole messages framed, and every frame's checksum recomputed from its bytes."""
+    f = captures.frame_e1381(feeds.customers_hl7(spark, sf), ["msg_id"])
+    got = captures.deframe_e1381(f.select("msg_id", F.col("last").alias("final"), "frame"))
+    return got.groupBy("msg_id").agg(F.count_if("final").cast("int").alias("messages"), F.bool_and(F.col("error").isNull()).alias("matching"))
+
 
 

@@ -14,7 +14,6 @@ from ..functions.delimited import HL7V2, Parsed, parse_delimited
 from ..functions.scalars import composite, hl7_time, parse_hl7_time
 from ..plans.translators import render_adt
 
-LINES_PER_MESSAGE = 50
 # How the event table's types map to triggers and outcomes.
 EVENT_TRIGGERS = {"signup": "A01", "click": "A02", "purchase": "A03", "view": "A08", "error": "A11"}
 EVENT_OUTCOMES = {"error": "permanent", "view": "transient"}
@@ -50,26 +49,19 @@ def money(col: Column) -> Column:
 
 
 def orders_hl7(spark: SparkSession, sf: str) -> DataFrame:
-    """msg_id, raw: ORM^O01 messages, at most about LINES_PER_MESSAGE order
-    lines each.
+    """msg_id, raw: one ORM^O01 message per order, with all its lines.
 
-    An order with more lines is sent as several messages, so that no order,
-    however many lines it has, has to meet in one task."""
+    A message is one row by its nature, whatever its size."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     li = numbered_lines(spark, sf, "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    per = li.groupBy("l_orderkey").agg(F.ceil(F.count("*") / LINES_PER_MESSAGE).alias("parts"))
-    head = o.join(per, o.o_orderkey == per.l_orderkey, "left").drop("l_orderkey").join(
-        c.select("c_custkey", "c_name"), o.o_custkey == c.c_custkey, "left")
-    lines = li.join(per, "l_orderkey").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
-    lines = lines.groupBy("l_orderkey", "part").agg(F.array_sort(F.collect_list(F.struct(
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
         "uid", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"))).alias("lines"))
-    heads = head.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(
-        F.coalesce(F.col("parts"), F.lit(1)), F.lit(1)) - 1)))
-    m = heads.join(lines, (heads.o_orderkey == lines.l_orderkey) & (heads.part == lines.part), "left").drop(lines.part)
+    m = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").join(
+        c.select("c_custkey", "c_name"), o.o_custkey == c.c_custkey, "left")
     control = F.when(F.col("o_orderstatus") == "O", "NW").when(F.col("o_orderstatus") == "P", "CA").otherwise("SC")
     out = new_message("hl7v2")
     for path, v in {"MSH-3": F.lit("SIM"), "MSH-7": hl7_time(F.col("o_orderdate")), "MSH-9.1": F.lit("ORM"),
-                    "MSH-9.2": F.lit("O01"), "MSH-10": composite_id("ORM"), "MSH-11": F.lit("P"), "MSH-12": F.lit("2.5.1"),
+                    "MSH-9.2": F.lit("O01"), "MSH-10": F.concat(F.lit("ORM"), F.col("o_orderkey").cast("string")), "MSH-11": F.lit("P"), "MSH-12": F.lit("2.5.1"),
                     "PID-1": F.lit("1"), "PID-3": F.col("o_custkey"), "PID-5.1": F.col("c_name")}.items():
         out.set(path, v)
     sep = "\r"
@@ -89,10 +81,6 @@ def orders_hl7(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.col("o_orderkey").alias("msg_id"), F.concat(out.text(), body).alias("raw"))
 
 
-def composite_id(prefix: str) -> Column:
-    return F.concat(F.lit(prefix), F.col("o_orderkey").cast("string"), F.lit("."), F.col("part").cast("string"))
-
-
 def results_oru(spark: SparkSession, sf: str) -> DataFrame:
     """msg_id, raw: one ORU^R01 per line item row with two observations."""
     li = numbered_lines(spark, sf).withColumnRenamed("uid", "msg_id")

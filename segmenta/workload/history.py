@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import outcome
@@ -118,10 +120,10 @@ def queue_heads(spark, sf):
 
 @query("orphaned_heads", STORE + """
 SELECT destination_id, msg_id, (msg_id % 4) + 1 AS attempts FROM (
-  SELECT channel_id, destination_id, arg_min(msg_id, queue_id) AS msg_id FROM q WHERE msg_id % 13 = 0 GROUP BY ALL)""")
+  SELECT channel_id, destination_id, arg_min(msg_id, queue_id) AS msg_id FROM q GROUP BY ALL) WHERE msg_id % 13 = 0""")
 def orphaned_heads(spark, sf):
     _, d, q = _store(spark, sf)
-    heads = store.queue_heads(q.filter("msg_id % 13 = 0"), d, F.lit("1998-01-01").cast("timestamp"))
+    heads = store.queue_heads(q, d, F.lit("1998-01-01").cast("timestamp"))
     return delivery.dead_letter_orphans(heads).select("destination_id", "msg_id", "attempts")
 
 
@@ -286,9 +288,14 @@ def e1381_frames(spark, sf):
 
 
 @query("e1381_assembly", """
-SELECT o_orderkey AS conn, 1 AS messages, o_orderpriority AS test, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS duplicates FROM orders""")
+SELECT o_orderkey AS conn, CASE WHEN o_orderkey % 7 = 3 THEN 0 ELSE 1 END AS messages, CASE WHEN o_orderkey % 7 <> 3 THEN o_orderpriority END AS test,
+  CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 <> 3 THEN 1 ELSE 0 END AS duplicates,
+  CASE WHEN o_orderkey % 7 = 3 THEN 'astm1381: expected STX, got 0x58' WHEN o_orderkey % 7 = 4 THEN 'frame outside a session' END AS ended FROM orders""")
 def e1381_assembly(spark, sf):
-    """Frames of every order as one capture, the second frame resent on some."""
+    """Frames of every order as one capture.
+
+    The second frame is sent again on some; on some a stray byte before it ends the connection, on some a frame comes
+    after the session's end, and what follows in a new session is not heard any more."""
     f = captures.frame_e1381(_astm_orders(spark, sf), ["conn"])
     again = F.when((F.col("conn") % 5 == 0) & (F.col("idx") == 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     f = captures.deframe_e1381(f.select("*", F.explode(again).alias("copy")).drop("number", "text", "last"))
@@ -298,12 +305,22 @@ def e1381_assembly(spark, sf):
     enq = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("conn"), (F.col("o_orderkey") * 1000).alias("arrival"), F.lit(captures.ENQ).alias("signal"),
         *(F.lit(None).cast(t).alias(n) for n, t in (("number", "string"), ("text", "string"), ("last", "boolean"), ("error", "string"))))
-    got = captures.assemble_e1381(data.unionByName(enq).withColumn("conn", F.col("conn").cast("string")))
+    k, none = F.col("conn"), {"number": "string", "text": "string", "last": "boolean"}
+    blank = lambda df, signal, error: df.withColumns({"signal": signal, "error": error, **{c: F.lit(None).cast(t) for c, t in none.items()}}).select(data.columns)
+    stray = blank(enq.filter(k % 7 == 3).withColumn("arrival", k * 1000 + 3), F.lit(None).cast("string"), F.lit("astm1381: expected STX, got 0x58"))
+    close = blank(enq.filter(k % 7 == 4).withColumn("arrival", k * 1000 + 900), F.lit(captures.EOT), F.lit(None).cast("string"))
+    once = data.filter((k % 7 == 4) & ((F.col("arrival") - k * 1000) % 2 == 0))
+    late = once.filter(F.col("arrival") == k * 1000 + 2).withColumn("arrival", k * 1000 + 901)
+    again_open = blank(enq.filter(k % 7 == 4).withColumn("arrival", k * 1000 + 902), F.lit(captures.ENQ), F.lit(None).cast("string"))
+    unheard = once.withColumn("arrival", F.col("arrival") + 902)
+    every = reduce(lambda a, b: a.unionByName(b), [data, enq, stray, close, late, again_open, unheard])
+    got = captures.assemble_e1381(every.withColumn("conn", F.col("conn").cast("string")))
     df, a = parse_delimited(got, ASTM), Parsed("msg", ASTM)
     return df.groupBy(F.col("conn").cast("long").alias("conn")).agg(
         F.count_if(F.col("raw").isNotNull()).cast("int").alias("messages"),
         F.max(F.call_function("substring", a.get("O-4.4"), F.lit(1), (F.length(a.get("O-4.4")) / 40).cast("int"))).alias("test"),
-        F.count_if(F.col("note") == "duplicate").cast("int").alias("duplicates"))
+        F.count_if(F.col("note") == "duplicate").cast("int").alias("duplicates"),
+        F.max(F.when(~F.col("note").startswith("nak") & (F.col("note") != "duplicate"), F.col("note"))).alias("ended"))
 
 
 @query("acknowledgements", """

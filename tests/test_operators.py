@@ -125,6 +125,15 @@ def test_captures(spark):
     out = captures.assemble_e1381(s.select("conn", "arrival", "signal", "number", "text", "last", "error")).orderBy("session", "first_arrival").collect()
     assert [bytes(r.raw) for r in out if r.raw is not None] == [msg]
     assert sorted(r.note.split(":")[0] for r in out if r.note) == ["duplicate", "frame outside a session", "nak"]
+    # bytes that are no frame end the connection; a foreign number does not; a message over the limit is only noted
+    good = [("c", 1, None, rows[0].frame), ("c", 9, None, bytearray(b"\x58")), ("d", 1, None, rows[0].frame), ("d", 2, None, rows[3].frame)]
+    good += [("c", 10 + i, None, r.frame) for i, r in enumerate(rows[1:])] + [("d", 10 + i, None, r.frame) for i, r in enumerate(rows[1:])]
+    s = captures.deframe_e1381(spark.createDataFrame([("c", 0, captures.ENQ, None), ("d", 0, captures.ENQ, None), *good], "conn string, arrival long, signal string, frame binary"))
+    s = s.withColumn("error", F.when(F.col("frame").isNotNull(), F.col("error"))).select("conn", "arrival", "signal", "number", "text", "last", "error")
+    out = captures.assemble_e1381(s).collect()
+    assert [(r.conn, bytes(r.raw)) for r in out if r.raw is not None] == [("d", msg)]
+    assert sorted((r.conn, r.note) for r in out if r.note) == [("c", "astm1381: expected STX, got 0x58"), ("d", "nak: wrong frame number")]
+    assert {r.note for r in captures.assemble_e1381(s, max_message=10).collect() if r.conn == "d"} == {"message too large", "nak: wrong frame number"}
 
 
 def test_acks(spark):
@@ -210,7 +219,17 @@ def test_hold_and_dedupe_streams(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r.control_id: r.code for r in spark.table("held").collect()}
-    assert got["a"] == "AA" and got.get("b", "late") in (None, "late")
+    assert got["a"] == "AA" and "z" not in got
+    # once rows of a later hour have moved the watermark, what was never answered comes out with NULL
+    more = m.limit(0).union(spark.createDataFrame([("y", T0 + dt.timedelta(hours=9))], m.schema))
+    later = o.limit(0).union(spark.createDataFrame([("x", T0 + dt.timedelta(hours=9), "AA")], o.schema))
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    later.coalesce(1).write.mode("append").parquet(str(tmp_path / "o"))
+    held = intake.hold_for_outcome(spark.readStream.schema(m.schema).parquet(str(tmp_path / "m")), spark.readStream.schema(o.schema).parquet(str(tmp_path / "o")), "30 seconds")
+    q = held.writeStream.format("parquet").option("path", str(tmp_path / "answers")).option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    answers = {r.control_id: r.code for r in spark.read.parquet(str(tmp_path / "answers")).collect()}
+    assert answers["a"] == "AA" and answers["b"] is None and "b" in answers
     dup = m.union(m)
     dup.coalesce(1).write.parquet(str(tmp_path / "d"))
     q = intake.dedupe_resends(spark.readStream.schema(m.schema).parquet(str(tmp_path / "d"))).writeStream.format("memory").queryName("once").option(
@@ -252,7 +271,9 @@ def test_files(spark, tmp_path):
         at += len(r[1])
     assert [(r.seq, r.controlId, r.offset, r.length) for r in man] == want
     files.write_append_csv(spark.createDataFrame([("a,b", 'q"x')], "x string, y string"), str(tmp_path / "csv"))
-    assert [tuple(r) for r in files.read_csv_rows(spark, str(tmp_path / "csv"), 2, header=True).collect()] == [("a,b", 'q"x')]
+    assert [tuple(r) for r in files.read_csv_rows(spark, str(tmp_path / "csv"), 2, header=True).collect()] == [("a,b", 'q"x', False)]
+    (tmp_path / "wide.csv").write_text("a,b,c\nd\ne,\nf,g,h,i\n")
+    assert [tuple(r) for r in files.read_csv_rows(spark, str(tmp_path / "wide.csv"), 2).collect()] == [("a", "b", True), ("d", None, False), ("e", None, False), ("f", "g", True)]
 
 
 def test_value_text(spark):
