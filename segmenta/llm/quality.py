@@ -29,7 +29,7 @@ from .words import ALNUM, NOT_BLANK, byte_table, owner, pieces, runs, span_hashe
 DIM = 1 << 14
 RANK = 8
 SAMPLE_ROWS = 12_000
-EPOCHS = 10
+EPOCHS, STEPS = 10, 400
 CUT = 0.7
 _KINDS = [byte_table(lambda b: 65 <= b <= 90), byte_table(lambda b: 97 <= b <= 122), byte_table(lambda b: 48 <= b <= 57),
           byte_table(lambda b: b >= 128), byte_table(lambda b: b == 10), byte_table(lambda b: b < 128 and chr(b).isprintable() and not chr(b).isalnum() and b != 32),
@@ -108,8 +108,11 @@ class Machine:
         m, _, _ = self.margin(*vectors(raw, off), len(off) - 1)
         return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
 
-    def learn(self, row, slot, value, stats, y, epochs=EPOCHS, rate=0.15, decay=1e-5, batch=256, seed=2):
+    def learn(self, row, slot, value, stats, y, epochs=EPOCHS, steps=STEPS, rate=0.15, decay=1e-5, seed=2):
         n = len(y)
+        # a small sample is gone through more often, in smaller batches
+        batch = min(max(n // 40, 8), 256)
+        epochs = max(epochs, -(-steps * batch // n))
         self.mean, self.scale = stats.mean(0), stats.std(0) + 1e-6
         rate0 = (y.sum() + 1) / (n + 2)
         self.w0 = float(np.log(rate0 / (1 - rate0)))
