@@ -20,7 +20,8 @@ def lifecycle_breaches(events: DataFrame, chunk_rows: int = 1 << 20) -> DataFram
     """One row per breach: visit, seq, trigger, breach."""
     t = F.col("trigger")
     flag = lambda c: F.when(c, 1).otherwise(0)
-    e = running(events, ["visit"], ["seq"], id_chunk(F.col("seq"), chunk_rows),
+    # only what is read here, so that rows and totals need the same exchange
+    e = running(events.select("visit", "seq", "ts", "trigger"), ["visit"], ["seq"], id_chunk(F.col("seq"), chunk_rows),
                 admits=("sum", flag(t == ADMIT)), closes=("sum", flag(t.isin(*CLOSING))),
                 prev=("last", F.struct("ts")))
     admitted, closed = F.col("admits") > 0, F.col("closes") > 0
@@ -48,14 +49,18 @@ def bed_events(events: DataFrame) -> DataFrame:
 
 def effective_bed_events(events: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
     """Bed events without the releases by visits that do not hold the bed."""
-    e = running(bed_events(events), ["bed"], ["seq", "step"], id_chunk(F.col("seq"), chunk_rows),
+    return _held(bed_events(events), chunk_rows)
+
+
+def _held(acts: DataFrame, chunk_rows: int) -> DataFrame:
+    e = running(acts, ["bed"], ["seq", "step"], id_chunk(F.col("seq"), chunk_rows),
                 holder=("last", F.when(F.col("kind") == "claim", F.col("visit"))))
     return e.filter((F.col("kind") == "claim") | F.col("visit").eqNullSafe(F.col("holder"))).drop("holder")
 
 
 def bed_conflicts(events: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
     """Claims of a bed another visit still holds: visit, seq, bed, held_by."""
-    e = running(effective_bed_events(events, chunk_rows), ["bed"], ["seq", "step"], id_chunk(F.col("seq"), chunk_rows),
+    e = running(_held(bed_events(events).drop("ts"), chunk_rows), ["bed"], ["seq", "step"], id_chunk(F.col("seq"), chunk_rows),
                 prev=("last", F.struct("kind", "visit")))
     return e.filter((F.col("kind") == "claim") & (F.col("prev.kind") == "claim")
                     & (F.col("prev.visit") != F.col("visit"))).select(
@@ -65,7 +70,7 @@ def bed_conflicts(events: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
 def occupied_beds(events: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
     """Beds held at the end of the feed: bed, visit."""
     last = F.max(F.struct("seq", "step", "kind", "visit"))
-    return effective_bed_events(events, chunk_rows).groupBy("bed").agg(last.alias("l")).filter(
+    return _held(bed_events(events).drop("ts", "trigger"), chunk_rows).groupBy("bed").agg(last.alias("l")).filter(
         F.col("l.kind") == "claim").select("bed", F.col("l.visit").alias("visit"))
 
 
@@ -96,7 +101,7 @@ def occupancy(census_rows: DataFrame, beds: DataFrame) -> DataFrame:
 def stays(events: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """Admissions with the next close of the same visit and the stay length."""
     t = F.col("trigger")
-    e = running(events, ["visit"], ["ts", "seq"], time_chunk(F.col("ts"), chunk_seconds),
+    e = running(events.select("visit", "seq", "ts", "trigger"), ["visit"], ["ts", "seq"], time_chunk(F.col("ts"), chunk_seconds),
                 closed_at=("next", F.when(t.isin(*CLOSING), F.col("ts"))))
     return e.filter(t == ADMIT).select("visit", "seq", F.col("ts").alias("admitted_at"), "closed_at",
                                        (F.unix_seconds("closed_at") - F.unix_seconds("ts")).alias("stay_seconds"))
