@@ -10,8 +10,9 @@ words: the whole sequence as one).  Documents are linked if the Jaccard similari
    under 2e-7.
 3. A bucket's pivot is its class with the most company; every other member meets the pivot first.  Pairs within one
    component need no test, so a large group of copies of one text ends here, with one pair a member.
-4. Members that are still in different components meet each other: the bucket's largest component in chunks against the
-   others, and the others' chunks against each other, blockwise in numpy.
+4. Members of the buckets of a pivot that are still in different components meet each other, blockwise in numpy: the
+   largest component in chunks against the others, and the others' chunks against each other.  A block gives only the
+   links that connect something, so what it gives is bounded by its members.
 5. A pair's signatures are compared in batches.  After n of them with m equal, the posterior of the similarity is
    Beta(m + 1, n - m + 1); the pair is dropped once the probability that it reaches the threshold is under ``miss``.
    Every survivor is confirmed on the full sets.
@@ -41,7 +42,7 @@ from .words import LOWER, NOT_BLANK, mixed, owner, per_process, pieces, runs, sp
 BANDS, ROWS, BATCH = 40, 5, 40
 MISS = 1e-6
 #: Members of a pivot or of a component that are compared in one group.
-CHUNK = 512
+CHUNK = 256
 
 
 # --- sets and signatures --------------------------------------------------------------------------------------------
@@ -218,7 +219,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-# --- the whole ------------------------------------------------------------------------------------------------------
+# --- links ----------------------------------------------------------------------------------------------------------
 
 def classes_of(sketched: DataFrame) -> DataFrame:
     """One row for each distinct set that is not empty: id (its smallest doc_id), n, k1, k2, sig, bands.
@@ -231,6 +232,7 @@ def classes_of(sketched: DataFrame) -> DataFrame:
 
 def links_between(classes: DataFrame, texts: DataFrame, threshold: float, miss: float, words: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to connect every component."""
+    percent = round(threshold * 100)
     exploded = classes.select("id", F.explode("bands").alias("bucket"))
     size = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(exploded.join(size, "bucket"), "buckets")
@@ -241,47 +243,70 @@ def links_between(classes: DataFrame, texts: DataFrame, threshold: float, miss:
     ranked = members.join(company, "id")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("p")) \
         .select("bucket", (-F.col("p.minus")).alias("a"))
-    star = members.join(pivots, "bucket").filter("id != a").select("a", F.col("id").alias("b")).distinct()
-    first = stored(confirmed(surviving(star, signed, threshold, miss), near, threshold, words), "links")
+    # buckets with the same pivot are one group, so that a pair that shares many buckets is looked at once
+    groups = stored(members.join(pivots, "bucket").select("a", "id").distinct(), "groups")
+    star = stored(surviving(groups.filter("id != a").withColumnRenamed("id", "b"), signed, threshold, miss), "pairs")
+    first = stored(confirmed(star, near, threshold, words), "links")
 
     labels = components(first)
-    placed = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed_up = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")) \
-        .groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("comps")).filter("comps > 1") \
-        .select("bucket", F.col("most.comp").alias("major"), F.expr(f"(most.c + {CHUNK - 1}) div {CHUNK}").alias("majors"),
+    placed = groups.join(labels, "id", "left").select("a", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed_up = placed.groupBy("a", "comp").agg(F.count(F.lit(1)).alias("c")) \
+        .groupBy("a").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("comps")).filter("comps > 1") \
+        .select("a", F.col("most.comp").alias("major"), F.expr(f"(most.c + {CHUNK - 1}) div {CHUNK}").alias("majors"),
                 F.expr(f"(size - most.c + {CHUNK - 1}) div {CHUNK}").alias("minors"))
-    rest = placed.join(mixed_up, "bucket").withColumn("is_major", F.expr("comp = major")) \
+    rest = placed.join(mixed_up, "a").withColumn("is_major", F.expr("comp = major")) \
         .withColumn("chunk", F.expr("pmod(xxhash64(id), if(is_major, majors, minors))"))
     # x: the chunk of the first side (majors are numbered after minors), y: a chunk of minors
     blocks = rest.withColumn("at", F.explode(F.expr("""if(is_major, transform(sequence(0, minors - 1), j -> struct(minors + chunk as x, j as y)),
         concat(transform(sequence(0, minors - 1), j -> struct(greatest(chunk, j) as x, least(chunk, j) as y)),
                transform(sequence(0, majors - 1), i -> struct(minors + i as x, chunk as y))))"""))) \
-        .select("bucket", "at.x", "at.y", "id", "comp", "chunk", "is_major").join(signed, "id")
+        .select("a", "at.x", "at.y", "id", "comp", "chunk", "is_major").join(signed, "id").join(near, "id")
 
     def across(key, table):
+        """Links between the two sides of a block, as many as connect what they link."""
         x, y = key[1].as_py(), key[2].as_py()
         ids, comp, n = table["id"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy()
         chunk, major, sig = table["chunk"].to_numpy(), table["is_major"].to_numpy(zero_copy_only=False), _signatures(table["sig"])
         low = np.flatnonzero(~major & (chunk == y))
         high = np.flatnonzero(major) if major.any() else np.flatnonzero(chunk == x)
+        joined = {c: c for c in set(comp.tolist())}
+        sets: dict[int, np.ndarray] = {}
+
+        def root(c):
+            while joined[c] != c:
+                joined[c] = joined[joined[c]]
+                c = joined[c]
+            return c
+
+        def set_of(i):
+            if i not in sets:
+                for _, _, raw, off in pieces(table["text"].slice(i, 1).combine_chunks()):
+                    sets[i] = shingle_sets(raw, off, words)[0]
+            return sets[i]
+
         a, b = [], []
-        for i in low:
+        for i in low.tolist():
             others = high[(comp[high] != comp[i]) & (np.minimum(n[high], n[i]) >= threshold * np.maximum(n[high], n[i]) - 1e-9)]
-            if x == y:
-                others = others[ids[others] > ids[i]]
-            if len(others):
-                keep = others[may_reach(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], threshold, miss)]
-                a.append(np.full(len(keep), ids[i]))
-                b.append(ids[keep])
-        empty = np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate(a or [empty]), pa.int64()), "b": pa.array(np.concatenate(b or [empty]), pa.int64())})
-
-    more = blocks.groupBy("bucket", "x", "y").applyInArrow(across, "a long, b long") \
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stored(confirmed(more, near, threshold, words), "links")
+            if not len(others):
+                continue
+            keep = others[may_reach(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], threshold, miss)]
+            for j in keep.tolist():
+                p, q = root(comp[i]), root(comp[j])
+                if p != q:
+                    mine, theirs = set_of(i), set_of(j)
+                    both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(theirs) - both):
+                        joined[p] = q
+                        a.append(ids[i])
+                        b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    second = stored(blocks.groupBy("a", "x", "y").applyInArrow(across, "a long, b long"), "links")
     return first.union(second)
 
 
+# --- the whole ------------------------------------------------------------------------------------------------------
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sketched = stored(sketches(docs, words), "sketches")
