@@ -65,13 +65,24 @@ def route_problem(path: Column) -> Column:
     return F.when(is_url, F.concat(F.lit('http-sender: http.path "'), path, F.lit('" must be a path, not a URL')))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved; above the root is the root."""
+    parts = F.split(path, "/")
+    # the first segment is the empty one before the leading slash and stays
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(
+        x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    ends_open = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(F.when(ends_open, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
 def resolve_url(base: str, path: Column) -> Column:
-    """Target of a relative path hint against the base URL."""
+    """Target of a relative path hint against the base URL; . and .. are resolved."""
     import re
     m = re.match(r"^([a-z]+://[^/?#]+)([^?#]*)", base)
     host, base_path = m[1], m[2] or "/"
     folder = base_path[:base_path.rindex("/") + 1]
+    own, rest = F.regexp_extract(path, "^[^?#]*", 0), F.regexp_extract(path, "[?#].*$", 0)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.lit(folder), own))
     return (F.when(path.isNull() | (path == ""), F.lit(base))
-            .when(path.startswith("/"), F.concat(F.lit(host), path))
-            .when(path.startswith("?"), F.concat(F.lit(host + base_path), path))
-            .otherwise(F.concat(F.lit(host + folder), path)))
+            .when(own == "", F.concat(F.lit(host + base_path), rest))
+            .otherwise(F.concat(F.lit(host), _without_dots(whole), rest)))

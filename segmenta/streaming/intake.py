@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -82,19 +83,27 @@ def split_late(batch: DataFrame, watermark: Column, ts: str = "ts") -> tuple[Dat
 
 def late_side_table(on_time: str, late: str, delay: str, ts: str = "ts") -> Callable[[DataFrame, int], None]:
     """foreachBatch function: rows behind max(event time) - delay go to a side
-    table.  The maximum is read from the on-time table's own statistics, so it
-    survives restarts."""
+    table.
+
+    The maximum after each batch is one row under ``<late>_marks``, so it
+    survives restarts, costs nothing that grows with the rows written, and a
+    batch that is run again sees what it saw before.  Only a missing folder
+    means that there was no batch yet; any other failed read fails the batch."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            seen = spark.read.parquet(on_time).filter(F.col("batch") < batch_id).agg(F.max(ts)).first()[0]
-        except Exception:  # nothing written yet
+            seen = spark.read.parquet(f"{late}_marks").filter(F.col("batch") < batch_id).agg(F.max("mark")).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             seen = None
         mark = F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         good, behind = split_late(batch, mark, ts)
         good.write.mode("overwrite").parquet(f"{on_time}/batch={batch_id}")
         behind.write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        latest = batch.agg(F.greatest(F.max(ts), F.lit(seen).cast("timestamp")).alias("mark"))
+        latest.write.mode("overwrite").parquet(f"{late}_marks/batch={batch_id}")
 
     return process
 

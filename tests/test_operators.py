@@ -249,6 +249,30 @@ def test_late_rows_and_resync(spark, tmp_path):
     assert intake.count_only(e) == 2 and windows.tumbling(row(0, 1, 3700), "1 hour").count() == 2
 
 
+def test_relative_urls(spark):
+    from urllib.parse import urljoin
+    base = "http://h/base/dir/"
+    paths = ["a", "a/../b", "../x", "/y/./z", "../../..", "./", "..", "a/b/..", "?q=../1", "a/../b?c=/../d", "", "/", "x/.", "#f", "/a/b/../../../c"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r.p: r.u for r in df.select("p", outcome.resolve_url(base, F.col("p")).alias("u")).collect()}
+    assert got == {p: urljoin(base, p) for p in paths}
+
+
+def test_late_marks_need_their_folder(spark, tmp_path):
+    """A batch that is run again splits as it did before, and a failed read is not taken for a first batch."""
+    fn = intake.late_side_table(str(tmp_path / "ok"), str(tmp_path / "late"), "1 minute")
+    row = lambda *s: spark.createDataFrame([(T0 + dt.timedelta(seconds=x),) for x in s], "ts timestamp")
+    fn(row(0, 600), 0)
+    for _ in range(2):
+        fn(row(100, 590, 700), 1)
+    fn(row(620), 2)
+    late = sorted((r.batch, int((r.ts - T0).total_seconds())) for r in spark.read.parquet(str(tmp_path / "late")).collect())
+    assert late == [(1, 100), (2, 620)]
+    (tmp_path / "late_marks" / "batch=2" / "broken.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        fn(row(800), 3)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b x.hl7").write_bytes(b"MSH|^~\\&|A\r")
