@@ -33,8 +33,6 @@ am auf aus bei das dass dem den der des die durch ein eine einem einen einer ein
 um und von vor war wie wir zu zum zur au aux avec ce ces cette dans de du elle en est et il ils je la le les leur mais nous par pas pour qu que
 qui sa se ses son sont sur un une vous al como con del el ella ellos era esta este fue ha los las lo más muy nos para pero por su sus también una y
 """.split()
-#: Partitions of the document order hold about so many characters of text.
-PART_CHARS = 16 << 20
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
           "near_next double")
 
