@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .words import byte_table, per_process, pieces, span_hashes
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 19
-CACHE_PIECES = 1 << 20
+CACHE_PIECES, TABLE_SLOTS = 1 << 20, 1 << 22
 BLOCK_SCHEMA = ("part int, part_offset long, n_tokens long, doc_ids array<bigint>, lengths array<int>, ranks binary, "
                 "control binary, data binary")
 DOC_SCHEMA = "part int, part_start long, doc_id long, n_tokens long, ids_crc32 long"
@@ -108,28 +109,22 @@ class PieceEncoder:
         self.forget()
 
     def forget(self):
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        # a table addressed by the low bits of a piece's hash; what it displaces is learnt again when it comes again
+        self.key, self.entry = np.zeros(TABLE_SLOTS, np.uint64), np.zeros(TABLE_SLOTS, np.int32)
         self.flat, self.offsets = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, raw: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode pieces; their entries."""
         ids = []
-        for at in range(0, len(keys), CALL_PIECES):
+        for at in range(0, len(starts), CALL_PIECES):
             some = slice(at, at + CALL_PIECES)
             texts = [raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist())]
             ids += [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        slots = np.arange(len(keys)) + len(self.offsets) - 1
+        entries = np.arange(len(ids)) + len(self.offsets) - 1
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, flat])
-        keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.slots = keys[order], slots[order]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        return at, known
+        return entries
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each text."""
@@ -138,20 +133,23 @@ class PieceEncoder:
             return np.empty(0, np.uint32), np.zeros(n_texts, np.int64)
         latin = np.zeros(len(raw), bool)
         latin[1:] = (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
-        cut = np.flatnonzero((_BLANK[raw[1:]] & (_VISIBLE[raw] | latin)[:-1]) | (_MARK[raw[1:]] & (_ALNUM[raw] | latin)[:-1])) + 1
-        starts = np.unique(np.concatenate([off[:-1][off[:-1] < off[1:]], cut]))
+        is_start = np.zeros(len(raw), bool)
+        is_start[1:] = (_BLANK[raw[1:]] & (_VISIBLE[raw] | latin)[:-1]) | (_MARK[raw[1:]] & (_ALNUM[raw] | latin)[:-1])
+        is_start[off[:-1][off[:-1] < off[1:]]] = True
+        starts = np.flatnonzero(is_start)
         ends = np.append(starts[1:], len(raw))
-        keys = span_hashes(raw, starts, ends)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        _, known = self.find(distinct)
-        if not known.all():
-            if len(self.keys) > CACHE_PIECES:
-                self.forget()
-                known[:] = False
-            new = np.flatnonzero(~known)
-            self.learn(raw.tobytes(), distinct[new], starts[first[new]], ends[first[new]])
-        at, _ = self.find(distinct)
-        slot = self.slots[at][inverse]
+        if len(self.offsets) > CACHE_PIECES:
+            self.forget()
+        keys = span_hashes(raw, starts, ends) | np.uint64(1)  # 0 is an empty place
+        place = (keys >> np.uint64(1)) & np.uint64(TABLE_SLOTS - 1)
+        slot = self.entry[place]
+        new = np.flatnonzero(self.key[place] != keys)
+        if len(new):
+            distinct, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
+            entries = self.learn(raw.tobytes(), starts[new[first]], ends[new[first]])
+            slot[new] = entries[inverse]
+            at = place[new[first]]
+            self.key[at], self.entry[at] = distinct, entries
         lengths = self.offsets[slot + 1] - self.offsets[slot]
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - self.offsets[slot], lengths)]
