@@ -248,7 +248,7 @@ def _window_hashes(parts: list[bytes], whose: np.ndarray, place: np.ndarray, len
 
 def shared_windows(snippets: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """(doc_id, x, first, last): runs of windows that repeat, of contexts (g, c, n, doc_id, x, l, k, bytes)."""
-    sizes = snippets.groupBy("g").agg(F.sum(F.length("bytes")).alias("size"))
+    sizes = stored(snippets.groupBy("g").agg(F.sum(F.length("bytes")).alias("size")), "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     n_shards = max(1, -(-total // shard_bytes))
     parted = snippets.join(sizes.withColumn("parts", F.expr(f"(size + {shard_bytes - 1}) div {shard_bytes}")), "g") \
@@ -309,14 +309,15 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), F.coalesce("text", F.lit("")).alias("text"))
     arrays = stored(anchored(source, length, gram), "contexts")
     each = arrays.select("doc_id", "x", F.explode(F.arrays_zip("g", "c", "l", "k")).alias("z")).select("doc_id", "x", "z.*")
-    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("g").alias("og"))
+    # aggregates are stored before they meet the rows: a join of two plain tables can be split where a key is hot
+    often = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("g").alias("og")), "anchors")
     live = stored(each.join(often, F.col("g") == F.col("og"), "left_semi"), "live-contexts")
     kinds = stored(live.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "x", "l")).alias("at"), F.first("k").alias("k")), "kinds")
     # all windows of a context that occurs more than once
     whole = live.join(kinds.filter("n > 1").select(F.col("g").alias("kg"), F.col("c").alias("kc")),
                       (F.col("g") == F.col("kg")) & (F.col("c") == F.col("kc")), "left_semi") \
         .select("doc_id", "x", F.col("l").cast("long").alias("first"), (F.col("l") + F.col("k") - 1).cast("long").alias("last"))
-    several = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select(F.col("g").alias("sg"))
+    several = stored(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select(F.col("g").alias("sg")), "shared-anchors")
     wanted = kinds.join(several, F.col("g") == F.col("sg"), "left_semi") \
         .select("g", "c", "n", "k", F.col("at.doc_id").alias("id"), F.col("at.x").alias("idx"), "at.l") \
         .groupBy("id", "idx").agg(F.collect_list(F.struct("g", "c", "n", "l", "k")).alias("wanted"))
