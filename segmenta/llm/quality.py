@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -28,7 +27,7 @@ from .words import ALNUM, NOT_BLANK, byte_table, owner, pieces, runs, span_hashe
 
 DIM = 1 << 14
 RANK = 8
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 EPOCHS, STEPS = 10, 400
 CUT = 0.7
 _KINDS = [byte_table(lambda b: 65 <= b <= 90), byte_table(lambda b: 97 <= b <= 122), byte_table(lambda b: 48 <= b <= 57),
@@ -187,11 +186,11 @@ def with_score(docs: DataFrame, machine: Machine | None, column: str = "score")
         return docs.withColumn(column, F.lit(1.0))
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            got = [model.value.score(raw, off) for _, _, raw, off in pieces(pa.array(s, pa.string(), from_pandas=True))]
-            yield pd.Series(np.concatenate(got) if got else np.empty(0))
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            got = [model.value.score(raw, off) for _, _, raw, off in pieces(some)]
+            yield pa.array(np.concatenate(got) if got else np.empty(0), pa.float64())
 
     return docs.withColumn(column, score(F.col("text")))
 

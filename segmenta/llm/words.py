@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes looked at together; a longer text is taken alone.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
