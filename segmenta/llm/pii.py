@@ -9,7 +9,8 @@ itself and a salt: the same entity is replaced alike everywhere, however it is w
 * an e-mail's domain becomes one under a reserved name, the same for every address of that domain;
 * a card number keeps its first digit, and stays valid if it was; a phone number keeps its country code;
 * a given name becomes one of the same gender and script, a surname one of the same script, each by itself, so that
-  "Mr. A B" and "Mr. B" still share their surname.
+  "Mr. A B" and "Mr. B" still share their surname; every further salt lengthens them by a name or a syllable, so that
+  they never run out.
 
 Collision check: as long as two entities of a type share a surrogate, or a surrogate is itself an entity of the table,
 all but the smallest take the next salt.  So distinct entities stay distinct, and nobody's real data is a surrogate.
@@ -81,6 +82,12 @@ def _pick(words: str, number: str) -> str:
     return f"element_at({_list(words)}, cast({number} % {len(words.split())} + 1 as int))"
 
 
+def _more(words: str, between: str) -> str:
+    """As many further words as the salt says, each from a hash of its own."""
+    number = "cast(conv(substr(sha2(concat(seed, '|more|', j), 256), 1, 12), 16, 10) as bigint)"
+    return f"if(salt = 0, '', array_join(transform(sequence(1, salt), j -> concat('{between}', {_pick(words, number)})), ''))"
+
+
 def _script(text: str) -> str:
     return rf"case when {text} rlike '\\p{{IsCyrillic}}' then 'cyrillic' when {text} rlike '\\p{{IsGreek}}' then 'greek' else 'latin' end"
 
@@ -141,9 +148,8 @@ def _surrogate(table: DataFrame, key: str) -> DataFrame:
         return f"aggregate(sequence(1, length({s})), 0, (a, i) -> a + if(i % 2 = 0, if({d} > 4, 2 * {d} - 9, 2 * {d}), {d}))"
     card = f"concat(substr(canon, 1, 1), substr({_letters('canon', 'stream')}, 2))"
     phone = f"concat(substring_index(canon, '|', 1), '|', {_letters('substring_index(canon, ' + chr(39) + '|' + chr(39) + ', -1)', 'stream')})"
-    given = " ".join(f"when type = '{kind}' and script = '{script}' then concat({_pick(names, 'first')}, if(salt = 0, '', concat('-', {_pick(names, 'second')})), "
-                     f"if(salt < 3, '', concat('-', {_pick(names, '(second + salt)')})))" for (script, kind), names in GIVEN.items())
-    surname = " ".join(f"when type = 'surname' and script = '{script}' then initcap(concat({_pick(s, 'first')}, {_pick(s, 'second')}, {_pick(s, 'shiftright(first, 16)')}))"
+    given = " ".join(f"when type = '{kind}' and script = '{script}' then concat({_pick(names, 'first')}, {_more(names, '-')})" for (script, kind), names in GIVEN.items())
+    surname = " ".join(f"when type = 'surname' and script = '{script}' then initcap(concat({_pick(s, 'first')}, {_pick(s, 'second')}, {_pick(s, 'shiftright(first, 16)')}, {_more(s, '')}))"
                        for script, s in SYLLABLES.items())
     out = seeded.withColumn("card", F.expr(card)) \
         .withColumn("card", F.expr(f"if(type = 'card' and {luhn('canon')} % 10 = 0, concat(substr(card, 1, length(card) - 1), "

@@ -193,6 +193,20 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r.type, r.sur) for r in got} & {(r.type, r.canon) for r in got}
 
 
+def test_names_never_run_out(spark):
+    """More distinct names of each script than three syllables or a few given names can tell apart."""
+    def names(letters, n):
+        return ["".join(letters[(i // len(letters) ** k) % len(letters)] for k in range(5)).capitalize() for i in range(n)]
+
+    latin, cyrillic, greek = names(string.ascii_lowercase, 24_000), names(pii.LETTERS["cyrillic"], 2_500), names("αβγδεζηθικλμνξοπρ", 2_500)
+    rows = [("surname", n) for n in latin[:9_000] + cyrillic + greek] + [("given_m", n) for n in latin] + [("given_f", n) for n in greek]
+    got = pii.surrogates(spark.createDataFrame(rows, "type string, canon string"), "k").collect()
+    assert {(r.type, r.canon) for r in got} == set(rows) and len({(r.type, r.sur) for r in got}) == len(got) == len(rows)
+    assert not {(r.type, r.sur) for r in got} & set(rows)
+    script = lambda t: "cyrillic" if re.search("[а-яё]", t) else "greek" if re.search("[α-ωά-ώ]", t) else "latin"
+    assert all(script(r.canon) == script(r.sur) for r in got)
+
+
 def test_surrogates_of_odd_documents(spark):
     docs = odd_documents(spark)
     got = pii.pseudonymise(docs)
