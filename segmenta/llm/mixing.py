@@ -96,14 +96,18 @@ def mix_counted(counted: DataFrame, target_entropy: float = 0.98, max_epochs: fl
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The documents of the mix with all their columns, one row per copy; texts move once, to meet their copies.
 
-    Of several rows with one doc_id the one whose text has the smallest hash is mixed.
+    Every row is a document of its own, also without a doc_id or with one that repeats; rows equal in all columns are
+    told apart by a number.
     """
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__x", F.xxhash64("text"))
-    one = keyed.groupBy("__id").agg(F.min(F.struct("__x", "source", n_tokens(F.col("text")).alias("n"))).alias("m")) \
-        .select(F.concat_ws("|", "__id", F.col("m.__x").cast("string")).alias("doc_id"), "m.source", F.col("m.n").alias("n_tokens"))
-    copies = mix_counted(one, **params).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("__copies")) \
-        .select(F.substring_index("doc_id", "|", 1).alias("__id"), F.substring_index("doc_id", "|", -1).cast("long").alias("__x"), "__copies")
-    return keyed.join(copies, ["__id", "__x"]).dropDuplicates(["__id", "__x"]) \
+    flags = [f(F.col(c)) for c in docs.columns if c not in ("doc_id", "text") for f in (F.isnull, lambda x: x)]
+    keyed = docs.withColumn("__key", F.concat_ws("|", F.isnull("doc_id").cast("string"), F.xxhash64("text").cast("string"),
+                                                 F.xxhash64(F.isnull("text"), *flags).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    units = keyed.groupBy("__key", "source", n_tokens(F.col("text")).alias("n_tokens")).agg(F.count(F.lit(1)).alias("__rows")) \
+        .withColumn("__number", F.explode(F.expr("sequence(1L, __rows)"))) \
+        .select(F.concat_ws("|", F.col("__number").cast("string"), "__key").alias("doc_id"), "source", "n_tokens")
+    copies = mix_counted(units, **params).groupBy(F.expr("substr(doc_id, instr(doc_id, '|') + 1)").alias("__key")).agg(F.count(F.lit(1)).cast("int").alias("__copies"))
+    # equal rows are one row here, which is copied as often as all of them
+    return keyed.join(copies, "__key").dropDuplicates(["__key"]) \
         .withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
 
 

@@ -137,6 +137,16 @@ def test_mixing_of_odd_documents(spark):
     assert mixing.mix(blank).count() == 0
 
 
+def test_every_row_is_mixed(spark):
+    """Rows without a doc_id, with a repeated one or equal in all columns each count in their source."""
+    rows = [(None, "a", invented(1, 20)), (None, "a", invented(2, 30)), (None, "b", invented(3, 40)), (None, "b", invented(3, 40)), (7, "a", invented(4, 25)),
+            (7, "b", invented(5, 35)), (8, "a", invented(6, 15)), (8, "b", invented(6, 15)), (8, None, invented(6, 15)), (9, "c", "x y"), (9, "c", "x y"), (9, "c", "x y")]
+    docs = spark.createDataFrame([(*r, None if i % 2 else i // 4) for i, r in enumerate(rows)], "doc_id long, source string, text string, n int")
+    # the weights are the shares themselves, so that all is read once
+    got = mixing.mixed_documents(docs, target_entropy=0.0, budget_share=1.0)
+    assert rows_of(got, *docs.columns) == rows_of(docs, *docs.columns)
+
+
 # --- surrogates ---------------------------------------------------------------------------------------------------------
 
 FOUND = [r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"\+1 \(\d+\) 555-\d{4}", r"\b\d{16}\b", r"\b[0-9a-f]{40}\b", r"\b\d{3}-\d{2}-\d{4}\b"]
