@@ -22,8 +22,9 @@ and chunks of a bucket are split.
 
 Defined cases: NULL or empty text or no words: an empty set, linked with nothing.  A doc_id that repeats: rows with
 equal sets count once; with different sets each is a document of its own, linked only by its text, and every row is
-returned.  NULL doc_id: returned with its own NULL component.  Other columns are ignored by ``near_duplicates`` and kept
-by ``one_of_each``.
+returned.  A component is named by its smallest doc_id; of several with the same smallest one, all but one are named by a
+hash.  NULL doc_id: its text links like any other, the row is returned with a NULL component.  Other columns are ignored
+by ``near_duplicates`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ BANDS, ROWS, BATCH = 40, 5, 40
 MISS = 1e-6
 #: Members of a pivot or of a component that are compared in one group.
 CHUNK = 256
+#: Names of a set: of one that is not empty, by its key, and of an empty one, by its doc_id.
+CLASS, EMPTY = "xxhash64(n, k1, k2)", "xxhash64('empty', doc_id)"
 
 
 # --- sets and signatures --------------------------------------------------------------------------------------------
@@ -88,7 +91,7 @@ def minima(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, k1, k2 (the set's key), sig (a byte a permutation), bands; the last two NULL for empty sets."""
+    """doc_id, t (the text's hash), n, k1, k2 (the set's key), sig (a byte a permutation), bands; the last two NULL for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, off in pieces(batch.column("text")):
@@ -109,11 +112,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     for i, s, k in zip(full.tolist(), m.astype(np.uint8), key.view(np.int64)):
                         sig[i], bands[i] = s.tobytes(), k
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                     pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "sig", "bands"])
+                    [batch.column("doc_id").slice(a, b - a), batch.column("t").slice(a, b - a), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                     pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "t", "n", "k1", "k2", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
-        .mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t")) \
+        .mapInArrow(run, "doc_id long, t long, n long, k1 long, k2 long, sig binary, bands array<bigint>")
 
 
 # --- sequential verification ----------------------------------------------------------------------------------------
@@ -222,22 +225,23 @@ def components(links: DataFrame) -> DataFrame:
 # --- links ----------------------------------------------------------------------------------------------------------
 
 def classes_of(sketched: DataFrame) -> DataFrame:
-    """One row for each distinct set that is not empty: id (its smallest doc_id), n, k1, k2, sig, bands.
-
-    The id doubles as the class's name; where one doc_id stands for two sets, all but one class are named by a hash.
-    """
-    got = sketched.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("smallest"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    return got.withColumn("id", F.coalesce("smallest", F.col("k1")))
+    """One row for each distinct set that is not empty: id (a hash of its key), smallest (doc_id), n, sig, bands, and where its text is: none, d, t."""
+    return sketched.filter("n > 0").groupBy("n", "k1", "k2") \
+        .agg(F.min("doc_id").alias("smallest"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), "t")).alias("at"),
+             F.first("sig").alias("sig"), F.first("bands").alias("bands")) \
+        .select(F.expr(CLASS).alias("id"), "smallest", "n", "sig", "bands", "at.*")
 
 
-def links_between(classes: DataFrame, texts: DataFrame, threshold: float, miss: float, words: int) -> DataFrame:
+def links_between(classes: DataFrame, docs: DataFrame, threshold: float, miss: float, words: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to connect every component."""
     percent = round(threshold * 100)
     exploded = classes.select("id", F.explode("bands").alias("bucket"))
     size = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(exploded.join(size, "bucket"), "buckets")
     company = members.groupBy("id").agg(F.sum("size").alias("company"))
-    near = stored(texts.join(company.select("id"), "id", "left_semi"), "bucket-texts")
+    places = classes.select("id", "none", "d", "t").join(company.select("id"), "id", "left_semi")
+    near = stored(docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text").alias("t"), "text")
+                  .join(places, ["none", "d", "t"]).dropDuplicates(["none", "d", "t"]).select("id", "text"), "bucket-texts")
     signed = classes.select("id", "n", "sig")
 
     ranked = members.join(company, "id")
@@ -307,23 +311,36 @@ def links_between(classes: DataFrame, texts: DataFrame, threshold: float, miss:
 
 # --- the whole ------------------------------------------------------------------------------------------------------
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def _placed(docs: DataFrame, threshold: float, words: int, miss: float) -> DataFrame:
+    """doc_id, t, id (the set), n, component_id, kept of every document."""
     sketched = stored(sketches(docs, words), "sketches")
     classes = stored(classes_of(sketched), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null").dropDuplicates(["id"])
-    comp = components(links_between(classes, texts, threshold, miss, words))
-    named = classes.select("n", "k1", "k2", "id").join(comp, "id", "left").select("n", "k1", "k2", F.coalesce("comp", "id").alias("comp"))
-    return sketched.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left") \
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))) \
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    comp = components(links_between(classes, docs, threshold, miss, words))
+    empty = sketched.filter("n = 0 and doc_id is not null").select(F.expr(EMPTY).alias("id"), F.col("doc_id").alias("smallest")).distinct()
+    sets = stored(classes.select("id", "smallest").join(comp, "id", "left").select("id", "smallest", F.coalesce("comp", "id").alias("comp"), F.lit(False).alias("is_empty"))
+                  .union(empty.select("id", "smallest", "id", F.lit(True))), "sets")
+    # a component's first document, and of the components with the same first doc_id the one that has it as its name
+    first = sets.filter("smallest is not null").groupBy("comp").agg(F.min(F.struct("smallest", "id")).alias("lead"), F.min("is_empty").alias("is_empty")) \
+        .select("comp", F.col("lead.smallest").alias("lead"), F.col("lead.id").alias("lead_id"), "is_empty")
+    owners = first.groupBy("lead").agg(F.min(F.struct("is_empty", "comp")).alias("o")).select("lead", F.col("o.comp").alias("owner"))
+    names = first.join(owners, "lead").select("comp", "lead", "lead_id", F.expr("if(comp = owner, lead, comp)").alias("name"))
+    named = sets.select("id", "comp").join(names, "comp").select("id", "lead", "lead_id", "name")
+    return sketched.select("doc_id", "t", "n", F.expr(f"if(n > 0, {CLASS}, {EMPTY})").alias("id")).join(named, "id", "left") \
+        .select("doc_id", "t", "id", "n", F.expr("if(doc_id is null, null, name)").alias("component_id"),
+                F.expr("coalesce(doc_id = lead and id = lead_id, false)").alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, miss: float = MISS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return _placed(docs, threshold, words, miss).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, words: int = 5, miss: float = MISS) -> DataFrame:
     """The documents, all columns kept, of which each group of near-duplicates keeps one, the one with the smallest doc_id.
 
-    Of rows that share a doc_id one is kept; rows without a doc_id all stay.
+    Of rows that share a doc_id and a set of shingles one is kept; rows without a doc_id all stay.
     """
-    kept = near_duplicates(docs, threshold, words, miss).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    kept = _placed(docs, threshold, words, miss).filter("kept").groupBy(F.col("doc_id").alias("__id"), "id").agg(F.min("t").alias("__t")).select("__id", "__t")
+    named = docs.filter("doc_id is not null").withColumns({"__id": F.col("doc_id").cast("long"), "__t": F.xxhash64("text")}) \
+        .join(kept, ["__id", "__t"], "left_semi").dropDuplicates(["__id", "__t"]).select(*docs.columns)
     return named.union(docs.filter("doc_id is null"))

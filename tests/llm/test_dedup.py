@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from fixtures import near_components, near_documents, no_documents, odd_documents, shingles
+from fixtures import invented, near_components, near_documents, no_documents, odd_documents, shingles
 
 from segmenta.llm import neardup, substrings
 
@@ -99,6 +99,24 @@ def test_near_duplicates_of_odd_documents(spark):
     assert neardup.one_of_each(docs).columns == docs.columns
 
 
+def test_two_texts_of_one_doc_id(spark):
+    """Each text of a doc_id is linked by itself alone, a text without a doc_id links too, and each group keeps one."""
+    a, b, c, chain = (invented(i, 50 + 10 * i, 5000) for i in (1, 2, 3, 4))
+    w, other = chain.split(), invented(5, 6, 5000).split()
+    left, right = " ".join(other + w[6:]), " ".join(w[:-6] + other[::-1] + ["end"])  # near to chain, not to each other
+    rows = [(7, a), (7, b), (20, a + " more"), (21, b + " more"), (7, None), (8, c), (8, c), (8, c + " x"), (30, left), (None, chain), (31, right), (None, "alone here")]
+    want = near_components([(i, t) for i, (_, t) in enumerate(rows)], 2)
+    assert [want[i] for i in range(12)] == [0, 1, 0, 1, 4, 5, 5, 5, 8, 8, 8, 11] and near_components([rows[8], rows[10]], 2)[31] == 31
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs, words=2).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles) for r in got) == sorted((i or 0, len(shingles(t, 2))) for i, t in rows)
+    by = {(r.doc_id, r.n_shingles): r.component_id for r in got}
+    named = {(want[k], by[i, len(shingles(t, 2))]) for k, (i, t) in enumerate(rows) if i is not None}
+    assert len(named) == len({x for x, _ in named}) == len({y for _, y in named}) == 5 and {8, 30, 7} <= {y for _, y in named}
+    kept = Counter((r.doc_id, r.text) for r in neardup.one_of_each(docs, words=2).collect())
+    assert kept - Counter([(8, c), (8, c + " x")]) == Counter([(7, a), (7, b), (7, None), (30, left), (None, chain), (None, "alone here")]) and kept.total() == 7
+
+
 def test_sequential_bounds():
     """A pair at the threshold is hardly ever dropped, one far below nearly always."""
     rng = np.random.default_rng(1)
