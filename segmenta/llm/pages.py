@@ -1,14 +1,15 @@
 """Main text of web pages by wrapper induction.
 
 A page is parsed into a tree of its block elements.  Its skeleton is that tree without texts, like siblings put
-together.  The distinct skeletons of a host are aligned by simple tree matching into one wrapper.  A node of the wrapper
-whose text is the same on all of the host's pages is template; nodes whose texts vary are slots.  Content are the slots
-of the article (of the body, on pages without one) outside menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments, which are known by their elements and by words of their class or id.
+together.  The distinct skeletons of a host are aligned by simple tree matching into one wrapper.  A block of text that
+all of the host's pages with its node of the wrapper have there is template; the other blocks vary.  Content are the
+varying blocks of the article (of the body, on pages without one) outside menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments, which are known by their elements and by words of their class or id.
 
-How: pages are parsed once and stored as blocks with their skeleton's number of the node; node statistics are
-aggregates of 64-bit text hashes; only distinct skeletons meet in a task, at most about ``VARIANTS`` of one host (a host
-with more page structures gets several wrappers); the wrappers' decisions go back to the pages by an equality join.
+How: pages are parsed once and stored as blocks with their skeleton's number of the node and a 64-bit hash of the text;
+only distinct skeletons meet in a task, at most about ``VARIANTS``; a host with more page structures gets several
+wrappers, which are aligned in turn until it has one.  How many different pages have a block at a node of that one is an
+aggregate; roles and template blocks go back to the pages by an equality join.
 
 Defined cases: NULL or empty html gives the empty text; text without any element is content; broken markup is read as far
 as it goes (an open comment, script or style hides the rest); a text counts as constant from ``DISTINCT`` different pages
@@ -220,18 +221,13 @@ def simple_tree_matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]
 
 
 class Wrapper:
-    """One tree for all pages of a host; texts: the hash seen at a node, None once they differ; pages: how many had one."""
+    """One tree for all pages of a host."""
 
     def __init__(self):
         self.root = Node("")
-        self.texts: dict[int, int | None] = {}
-        self.pages: dict[int, int] = {}
 
-    def add(self, nodes: list[Node], texts: dict[int, tuple[int | None, int]]) -> list[Node]:
-        """Align a skeleton (texts: by number, the hash if all pages have the same, and how many different pages have one).
-
-        Gives the wrapper's node of each of its nodes.
-        """
+    def add(self, nodes: list[Node]) -> list[Node]:
+        """Align a skeleton.  Gives the wrapper's node of each of its nodes."""
         pairs = {id(s): t for t, s in simple_tree_matching(self.root, nodes[0])[1]}
         place: list[Node] = []
         for s in nodes:
@@ -248,17 +244,10 @@ class Wrapper:
                 else:
                     t.children.insert(after, own)
                     after += 1
-        for number, (text, pages) in texts.items():
-            t = id(place[number])
-            self.texts[t] = text if self.texts.get(t, text) == text else None
-            self.pages[t] = self.pages.get(t, 0) + pages
         return place
 
-    def is_constant(self, node: Node) -> bool:
-        return self.texts.get(id(node)) is not None and self.pages[id(node)] >= DISTINCT
-
-    def roles(self, constants: bool) -> dict[int, bool]:
-        """By id of a node: whether its text is content."""
+    def roles(self) -> dict[int, bool]:
+        """By id of a node: whether its text is content as far as elements tell."""
         content: dict[int, bool] = {}
         todo, has_main = [self.root], False
         while todo:
@@ -272,81 +261,105 @@ class Wrapper:
             is_main = tag in MAIN
             outside |= (tag in OUTSIDE and not (tag == "header" and inside and has_main)) or (not is_main and not OUTSIDE_WORDS.isdisjoint(words))
             inside |= is_main
-            content[id(t)] = inside and not outside and not (constants and self.is_constant(t))
+            content[id(t)] = inside and not outside
             walk.extend((c, inside, outside) for c in t.children)
         return content
 
 
 def induce(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the skeletons of one host: which of their nodes hold content, as a string of 0 and 1."""
-    wrapper, places = Wrapper(), []
-    pdf = pdf.sort_values(["pages", "skeleton_key"], ascending=[False, True])
-    for row in pdf.itertuples():
-        texts = dict(zip(row.numbers, ((h if same else None, n) for h, same, n in zip(row.hashes, row.same, row.seen))))
-        places.append(wrapper.add(read_skeleton(row.skeleton), texts))
-    roles = wrapper.roles(True)
-    return pd.DataFrame({"host": pdf["host"].values, "skeleton_key": pdf["skeleton_key"].values,
-                         "roles": ["".join("1" if roles[id(t)] else "0" for t in place) for place in places]})
+    """Of some trees of one host: the wrapper, its nodes of each tree's nodes, and which of its nodes may hold content."""
+    wrapper = Wrapper()
+    pdf = pdf.sort_values(["pages", "key"], ascending=[False, True])
+    places = [wrapper.add(read_skeleton(tree)) for tree in pdf["tree"]]
+    tree, roles = numbered(wrapper.root), wrapper.roles()
+    bits = ["1" if roles[id(t)] else "0" for t in _in_order(wrapper.root)]
+    # the wrapper is named by its first tree, and told once
+    return pd.DataFrame({"host": pdf["host"].values, "key": pdf["key"].values, "wrapper_key": pdf["key"].iloc[0],
+                         "tree": [tree] + [None] * (len(pdf) - 1), "pages": pdf["pages"].values, "place": [[t.number for t in place] for place in places],
+                         "roles": ["".join(bits[t.number] for t in place) for place in places]})
+
+
+def _in_order(root: Node) -> list[Node]:
+    out, stack = [], [root]
+    while stack:
+        out.append(stack.pop())
+        stack.extend(reversed(out[-1].children))
+    return out
 
 
+INDUCED = "host string, key long, wrapper_key long, tree string, pages long, place array<int>, roles string"
 PARSED = ("page_id long, url string, host string, skeleton_key long, skeleton string, page_hash long, "
-          "blocks array<struct<node: int, text: string>>, nodes array<struct<node: int, hash: long>>")
+          "blocks array<struct<node: int, hash: long, text: string>>")
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """Each page with its skeleton and its blocks of text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {k: [] for k in ("page_id", "url", "host", "skeleton_key", "skeleton", "page_hash", "blocks", "nodes")}
+            out = {k: [] for k in ("page_id", "url", "host", "skeleton_key", "skeleton", "page_hash", "blocks")}
             for page_id, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 root, blocks = parse(source or "")
                 skeleton = numbered(root)
-                by_node: dict[int, list[str]] = {}
-                for node, text in blocks:
-                    by_node.setdefault(node.number, []).append(text)
                 raw = [skeleton.encode(), "\n".join(t for _, t in blocks).encode("utf-8", "surrogatepass"),
-                       *("\n".join(t).encode("utf-8", "surrogatepass") for t in by_node.values())]
+                       *(t.encode("utf-8", "surrogatepass") for _, t in blocks)]
                 ends = np.cumsum([len(x) for x in raw])
                 h = span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends).view(np.int64).tolist()
                 host = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
                 for k, v in zip(out, (page_id, url, host[1].lower() if host else "", h[0], skeleton, h[1],
-                                      [{"node": node.number, "text": text} for node, text in blocks],
-                                      [{"node": k, "hash": x} for k, x in zip(by_node, h[2:])])):
+                                      [{"node": node.number, "hash": x, "text": text} for (node, text), x in zip(blocks, h[2:])])):
                     out[k].append(v)
-            block = pa.struct([("node", pa.int32()), ("text", pa.string())])
-            node = pa.struct([("node", pa.int32()), ("hash", pa.int64())])
+            block = pa.struct([("node", pa.int32()), ("hash", pa.int64()), ("text", pa.string())])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
                 ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("skeleton_key", pa.int64()), ("skeleton", pa.string()),
-                ("page_hash", pa.int64()), ("blocks", pa.list_(block)), ("nodes", pa.list_(node))]))
+                ("page_hash", pa.int64()), ("blocks", pa.list_(block))]))
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, PARSED)
 
 
+def aligned(shapes: DataFrame) -> DataFrame:
+    """(host, skeleton_key, place, roles) of all page structures: the nodes of the host's one wrapper, and which may hold content."""
+    trees, total = shapes.select("host", F.col("skeleton_key").alias("key"), F.col("skeleton").alias("tree"), "pages"), None
+    while True:
+        many = trees.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        got = stored(trees.join(many, "host").withColumn("part", F.expr(f"pmod(xxhash64(key), (n + {VARIANTS - 1}) div {VARIANTS})"))
+                     .groupBy("host", "part").applyInPandas(lambda pdf: induce(pdf), INDUCED), "wrappers")
+        if total is None:
+            total = got.select("host", F.col("key").alias("skeleton_key"), "wrapper_key", "place", "roles")
+        else:
+            step = got.select("host", F.col("key").alias("wrapper_key"), F.col("wrapper_key").alias("next"), F.col("place").alias("to"), F.col("roles").alias("as"))
+            total = stored(total.join(step, ["host", "wrapper_key"]).select(
+                "host", "skeleton_key", F.col("next").alias("wrapper_key"), F.expr("transform(place, x -> to[x])").alias("place"),
+                F.expr("array_join(transform(place, x -> substr(`as`, x + 1, 1)), '')").alias("roles")), "wrappers")
+        pages = got.groupBy("host", "wrapper_key").agg(F.sum("pages").alias("pages"), F.max("tree").alias("tree"))
+        if pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            return total.select("host", "skeleton_key", "place", "roles")
+        trees = pages.select("host", F.col("wrapper_key").alias("key"), "tree", "pages")
+
+
 def wrappers(page_trees: DataFrame) -> DataFrame:
-    """(host, skeleton_key, roles) of all page structures."""
-    hosts = page_trees.groupBy("host").agg(F.countDistinct("skeleton_key").alias("structures"))
-    shapes = page_trees.groupBy("host", "skeleton_key").agg(F.min("skeleton").alias("skeleton"), F.countDistinct("page_hash").alias("pages"))
-    # copies of a page say nothing new; first each different page of a node, then the node
-    texts = page_trees.select("host", "skeleton_key", "page_hash", F.inline("nodes")).groupBy("host", "skeleton_key", "node", "page_hash").agg(F.min("hash").alias("hash")) \
-        .groupBy("host", "skeleton_key", "node") \
-        .agg(F.min("hash").alias("h"), (F.min("hash") == F.max("hash")).alias("one"), F.count(F.lit(1)).alias("n")) \
-        .groupBy("host", "skeleton_key").agg(F.collect_list(F.struct("node", "h", "one", "n")).alias("t"))
-    rows = shapes.join(hosts, "host").join(texts, ["host", "skeleton_key"], "left") \
-        .select("host", "skeleton_key", "skeleton", "pages",
-                F.expr("coalesce(t.node, array())").alias("numbers"), F.expr("coalesce(t.h, array())").alias("hashes"),
-                # constant only if every page of the shape has it
-                F.expr("coalesce(transform(t, x -> x.one and x.n = pages), array())").alias("same"), F.expr("coalesce(t.n, array())").alias("seen"),
-                F.expr(f"pmod(skeleton_key, (structures + {VARIANTS - 1}) div {VARIANTS})").alias("part"))
-    return rows.groupBy("host", "part").applyInPandas(lambda pdf: induce(pdf), "host string, skeleton_key long, roles string")
+    """(host, skeleton_key, roles, template) of all page structures; template: node and hash of the blocks that all pages have."""
+    shapes = stored(page_trees.groupBy("host", "skeleton_key").agg(F.min("skeleton").alias("skeleton"), F.countDistinct("page_hash").alias("pages")), "shapes")
+    total = aligned(shapes)
+    sized = total.join(shapes.select("host", "skeleton_key", "pages"), ["host", "skeleton_key"])
+    met = sized.select("host", "skeleton_key", "pages", F.posexplode("place").alias("node", "at"))
+    all_pages = met.groupBy("host", "at").agg(F.sum("pages").alias("all_pages")).filter(f"all_pages >= {DISTINCT}")
+    # copies of a page say nothing new; a block that a different page of the shape lacks is no template
+    blocks = page_trees.select("host", "skeleton_key", "page_hash", F.explode(F.expr("array_distinct(transform(blocks, b -> struct(b.node, b.hash)))")).alias("b")) \
+        .select("host", "skeleton_key", "b.node", "b.hash", "page_hash").distinct().groupBy("host", "skeleton_key", "node", "hash").agg(F.count(F.lit(1)).alias("seen"))
+    placed = blocks.join(met, ["host", "skeleton_key", "node"]).filter("seen = pages").select("host", "skeleton_key", "node", "hash", "at", "seen")
+    constant = placed.groupBy("host", "at", "hash").agg(F.sum("seen").alias("seen")).join(all_pages, ["host", "at"]).filter("seen = all_pages").select("host", "at", "hash")
+    template = placed.join(constant, ["host", "at", "hash"]).groupBy("host", "skeleton_key").agg(F.collect_list(F.struct("node", "hash")).alias("template"))
+    return total.join(template, ["host", "skeleton_key"], "left") \
+        .select("host", "skeleton_key", "roles", F.expr("coalesce(template, array())").alias("template"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     trees = stored(parsed(pages), "page-trees")
-    roles = wrappers(trees).select(F.col("host").alias("h"), F.col("skeleton_key").alias("k"), "roles")
-    roles = stored(roles, "wrappers")
-    if small_enough(roles, BROADCAST_BYTES, "h", "roles"):
+    roles = stored(wrappers(trees).select(F.col("host").alias("h"), F.col("skeleton_key").alias("k"), "roles", "template"), "roles")
+    if small_enough(roles, BROADCAST_BYTES, "h", "roles", "template"):
         roles = F.broadcast(roles)
-    text = F.expr("array_join(transform(filter(blocks, b -> substr(roles, b.node + 1, 1) = '1'), b -> b.text), '\n')")
+    content = "filter(blocks, b -> substr(roles, b.node + 1, 1) = '1' and not array_contains(template, struct(b.node, b.hash)))"
+    text = F.expr(f"array_join(transform({content}, b -> b.text), '\n')")
     return trees.join(roles, (F.col("host") == F.col("h")) & (F.col("skeleton_key") == F.col("k"))) \
         .select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -59,5 +59,19 @@ def test_wrapper_of_two_shapes(spark):
     assert got == [f"Text {i}" + (f"\nSub\nFigure {i}" if i % 2 else "") for i in range(6)] or got == [f"Text {i}" + (f"\nFigure {i}" if i % 2 else "") for i in range(6)]
 
 
+def test_many_structures(spark, monkeypatch):
+    """The wrappers of a host with many page structures act as one."""
+    def extra(i):
+        return "".join(f"<div class='{c}'>{c} {i}</div>" for k, c in enumerate(("one", "two", "three", "four")) if i >> k & 1)
+
+    # the slot says the same on all pages of a structure; the box says the same on all pages, on one of each structure
+    rows = [(f"http://m.example/{i}", page(f"<div class='box'>Read our terms</div><div class='slot'>Slot {i % 2}</div>{extra(i)}<p>Text {i}</p>")) for i in range(16)]
+    rows += [(f"http://m.example/{i}/{j}", page(f"<div class='box'>Read our terms</div><div class='slot'>Slot 0</div><div class='last'>L {j}</div><p>More {j}</p>")) for i, j in ((0, 1), (0, 2), (0, 3))]
+    want = run(spark, rows)
+    assert all("Read our terms" not in t and "Slot" in t for t in want)
+    monkeypatch.setattr(pages, "VARIANTS", 2)
+    assert run(spark, rows) == want
+
+
 def test_no_pages(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
