@@ -44,6 +44,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 RAW = frozenset("script style".split())
 #: Elements that end an open paragraph, and elements that end their own kind.
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th blockquote pre hr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 #: What is no main text: elements, and words in a class or id.
@@ -67,7 +68,7 @@ class Node:
 
     def child(self, label: str) -> Node:
         """The child a new element belongs to: the last one if it is alike, any alike one for flow elements."""
-        if label in FLOW and label in self.by_label:
+        if label.split(".", 1)[0] in FLOW and label in self.by_label:
             return self.by_label[label]
         if self.children and self.children[-1].label == label:
             return self.children[-1]
@@ -78,11 +79,16 @@ class Node:
 
 
 def _label(tag: str, attrs: str) -> str:
-    if tag in FLOW or not attrs:
+    if not attrs:
         return tag
-    found = [next(filter(None, m.groups()[1:]), "") for m in _ATTR.finditer(attrs)]
-    words = sorted({w for v in found for w in _WORDS.findall(v.lower())})
-    return ".".join([tag, *words])
+    words = set()
+    for m in _ATTR.finditer(attrs):
+        found = set(_WORDS.findall(next(filter(None, m.groups()[1:]), "").lower()))
+        # ids of flow elements number them, those of headings repeat their text
+        if tag in FLOW and m[1].lower() == "id":
+            found = set() if tag in HEADINGS else found & OUTSIDE_WORDS
+        words |= found
+    return ".".join([tag, *sorted(words)])
 
 
 def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:

@@ -59,6 +59,18 @@ def test_wrapper_of_two_shapes(spark):
     assert got == [f"Text {i}" + (f"\nSub\nFigure {i}" if i % 2 else "") for i in range(6)] or got == [f"Text {i}" + (f"\nFigure {i}" if i % 2 else "") for i in range(6)]
 
 
+def test_flow_elements(spark):
+    """Paragraphs, lists and cells go by their class, and by what all pages say, inside and outside an article."""
+    def body(i):
+        return (f"<p class='advert'>Buy {i}</p><p>Read our terms</p><p class='intro'>Intro {i}</p><ul class='menu'><li>M {i}</li></ul><ul><li>Item {i}</li><li>Same item</li>"
+                f"<li class='share'>Share {i}</li></ul><h2 id='related-work'>Head {i}</h2><table><tr><td class='sidebar'>S {i}</td><td>Cell {i}</td><td>Same cell</td></tr></table>"
+                f"<p id='notice'>N {i}</p><p>Text {i}</p>")
+
+    want = [f"Intro {i}\nItem {i}\nHead {i}\nCell {i}\nText {i}" for i in range(4)]
+    assert run(spark, [(f"http://f.example/{i}", f"<body><article>{body(i)}</article></body>") for i in range(4)]) == want
+    assert run(spark, [(f"http://g.example/{i}", f"<body>{body(i)}</body>") for i in range(4)]) == want
+
+
 def test_many_structures(spark, monkeypatch):
     """The wrappers of a host with many page structures act as one."""
     def extra(i):
