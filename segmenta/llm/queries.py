@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
-from . import decontaminate, language, mixing, neardup, pages, pii, quality, spotsigs, substrings, tokens
+from . import codes, decontaminate, language, mixing, neardup, pages, pii, quality, spelling, spotsigs, substrings, tokens, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,18 @@ def op9(spark, sf):
 @query("op10_benchmark_decontamination", decontaminate.SQL)
 def op10(spark, sf):
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op11_warc", warc.SQL)
+def op11(spark, sf):
+    return warc.write_and_read(table(spark, sf, "pages"), f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}")
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query("op13_vector_codes", codes.SQL)
+def op13(spark, sf):
+    return codes.compress(table(spark, sf, "embeddings"))
