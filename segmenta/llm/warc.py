@@ -60,9 +60,10 @@ def chunked(payload: bytes, chunk_bytes: int = CHUNK_BYTES) -> bytes:
     mark, out, at = MARK.encode(), [], 0
     while at < len(payload):
         to = min(at + chunk_bytes, len(payload))
-        met = payload.find(mark, at, to)
+        # the line end of the chunk size counts: with a chunk's first bytes it may make the separator
+        met = (b"\r\n" + payload[at:to]).find(mark)
         if met >= 0:
-            to = met + len(mark) // 2
+            to = at + met + 2
         out.append(b"%X\r\n%s\r\n" % (to - at, payload[at:to]))
         at = to
     return b"".join(out) + b"0\r\n\r\n"

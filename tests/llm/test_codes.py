@@ -321,7 +321,7 @@ def test_foreign_archives(spark, tmp_path):
 
 
 def test_chunks():
-    for payload in (b"", b"a", b"\r\nWARC/1." * 50, bytes(range(256)) * 9):
+    for payload in (b"", b"a", b"\r\nWARC/1." * 50, b"WARC/1." * 9, bytes(range(256)) * 9):
         for size in (1, 7, 1000):
             body = warc.chunked(payload, size)
             assert warc.unchunked(body) == payload and b"\r\nWARC/1." not in body
