@@ -9,8 +9,8 @@ document is cut once into chunks of c words, each chunk is looked up in a broadc
 benchmark, and only around chunks that are found the exact windows are built and compared as text.  One scan, no Python,
 one exchange of a row per document and found window.
 
-Defined cases: NULL text or no words: zero words, nothing hit.  NULL or word-less items never match.  Two rows with the
-same doc_id and text are one document; the same doc_id with different texts are two.  Items with equal windows are all
+Defined cases: NULL text or no words: zero words, nothing hit.  NULL or word-less items never match.  Every row is a
+document: rows that repeat are reported each, as are different texts of one doc_id.  Items with equal windows are all
 reported.  Other columns are ignored by ``hits`` and kept by ``clean``.
 """
 
@@ -50,7 +50,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, text_key, n_words, positions (sorted word positions that are hit), items."""
+    """One row per document and partition that it repeats in: doc_id, text_key, copies (rows of it there), n_words,
+    positions (sorted word positions that are hit), items."""
     windows = benchmark_windows(benchmark, window)
     lengths = sorted(r[0] for r in windows.select("m").distinct().collect())  # at most `window` numbers
     fits = small_enough(windows, BROADCAST_BYTES, "window_text", "items")
@@ -59,37 +60,39 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         .select("m", F.explode(F.expr("transform(sequence(1, m - c + 1), i -> concat(array_join(slice(w, i, c), ' '), ' '))")).alias("g")) \
         .select("m", chunk_key(F.col("g")).alias("k")).distinct()
 
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), spaced(F.col("text")).alias("norm"))
+    # the partition keeps rows that repeat apart, so that no task has to give back more copies than one partition holds
+    own_key = ["doc_id", "text_key", "part_key"]
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.spark_partition_id().alias("part_key"), spaced(F.col("text")).alias("norm"))
     own = "array(named_struct('m', 0, 'c', 0, 'q', -1, 'before', '', 'chunk', '', 'after', ''))"
     # neighbours by position in the same array; the array is bound once by the inner projection
     cut = [f"transform(a{m}, (x, i) -> named_struct('m', {m}, 'c', {(m + 1) // 2}, 'q', i, 'before', coalesce(get(a{m}, i - 1), ''), "
            f"'chunk', x, 'after', coalesce(get(a{m}, i + 1), '')))" for m in lengths]
     base = base.withColumn("n_words", (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))).cast("long"))
-    arrays = base.select("doc_id", "text_key", "n_words", *(
+    arrays = base.select(*own_key, "n_words", *(
         F.expr(f"regexp_extract_all(norm, '(?:[^ ]+ ){{1,{(m + 1) // 2}}}', 0)").alias(f"a{m}") for m in lengths))
-    rows = arrays.select("doc_id", "text_key", "n_words", F.explode(F.expr(f"concat({', '.join([own, *cut])})")).alias("x")) \
-        .select("doc_id", "text_key", "n_words", "x.*").withColumn("k", chunk_key(F.col("chunk")))
+    rows = arrays.select(*own_key, "n_words", F.explode(F.expr(f"concat({', '.join([own, *cut])})")).alias("x")) \
+        .select(*own_key, "n_words", "x.*").withColumn("k", chunk_key(F.col("chunk")))
     found = rows.join(hint(grams.withColumn("found", F.lit(True))), ["m", "k"], "left").filter("found or q < 0")
 
     around = found.withColumn("w", F.expr("split(rtrim(concat(before, chunk, after)), ' ')")) \
         .withColumn("first", F.expr("greatest(0, c * (q - 1))")) \
         .withColumn("starts", F.expr("filter(sequence(greatest(c * q + c - m, 0), c * q), s -> q >= 0 and s - first + m <= size(w))"))
-    tried = around.select("doc_id", "text_key", "n_words", "m", F.explode_outer(F.expr(
+    tried = around.select(*own_key, "n_words", "m", "q", F.explode_outer(F.expr(
         "transform(starts, s -> named_struct('s', s, 't', array_join(slice(w, s - first + 1, m), ' ')))")).alias("y")) \
-        .select("doc_id", "text_key", "n_words", "m", "y.s", lower_ascii(F.col("y.t")).alias("window_text"))
+        .select(*own_key, "n_words", "m", "q", "y.s", lower_ascii(F.col("y.t")).alias("window_text"))
     met = tried.join(hint(windows), ["m", "window_text"], "left")
-    return met.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"),
+    return met.groupBy(*own_key).agg(
+        F.max("n_words").alias("n_words"), F.count_if(F.col("q") < 0).alias("copies"),
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("s", "m"))).alias("at"),
         F.collect_set("items").alias("sets")) \
-        .select("doc_id", "text_key", "n_words",
+        .select("doc_id", "text_key", "copies", "n_words",
                 F.expr("array_sort(array_distinct(flatten(transform(at, x -> sequence(x.s, x.s + x.m - 1)))))").alias("positions"),
                 F.expr("array_sort(array_distinct(flatten(sets)))").alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The digest of ``hits``: counts, and the items as a hash."""
-    h = hits(docs, benchmark, window)
+    h = hits(docs, benchmark, window).withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
     return h.select("doc_id", "n_words", F.size("positions").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("positions") > 0).alias("contaminated"))
 
@@ -101,7 +104,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: s
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
-    bad = hits(docs, benchmark, window).filter("size(positions) > 0") \
+    bad = hits(docs, benchmark, window).filter("size(positions) > 0").dropDuplicates(["doc_id", "text_key"]) \
         .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("positions").alias("__at"))
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
@@ -116,20 +119,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: s
 
 #: The same digest in DuckDB.
 SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 bw AS (SELECT item_id, least(10, len(w)) AS m, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
                   lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS t FROM b WHERE len(w) > 0),
 ms AS (SELECT DISTINCT m FROM bw),
-dw AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS s,
+dw AS (SELECT rid, m, unnest(range(1, len(w) - m + 2)) AS s,
               unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS t FROM d, ms WHERE len(w) >= m),
-h AS (SELECT doc_id, s, m, item_id FROM dw JOIN bw USING (m, t)),
-c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+h AS (SELECT rid, s, m, item_id FROM dw JOIN bw USING (m, t)),
+c AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + m)) AS p FROM h) GROUP BY rid),
+i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY rid)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+FROM d LEFT JOIN c USING (rid) LEFT JOIN i USING (rid)
 """

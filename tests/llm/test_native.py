@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 from fixtures import invented, no_documents, odd_documents
+from pyspark.sql import functions as F
 
 from segmenta.llm import decontaminate, mixing, pii
 
@@ -83,7 +84,15 @@ def test_decontamination_of_odd_documents(spark):
     docs = odd_documents(spark)
     _, items, _, b = benchmark_fixture(spark)
     got = rows_of(decontaminate.report(docs, b), *DIGEST)
-    assert got == Counter(set(brute_hits([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], items)))
+    assert got == Counter(brute_hits([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], items))
+    # every row is reported, also one that is hit and repeats, in one partition or in several
+    again = b.select(F.lit(1).cast("long").alias("doc_id"), "text").union(docs.select("doc_id", "text"))
+    again = again.union(again).repartition(3)
+    rows = [(r.doc_id, r.text) for r in again.collect()]
+    got = rows_of(decontaminate.report(again, b), *DIGEST)
+    assert got == Counter(brute_hits(rows, items)) == in_duckdb(decontaminate.SQL, DIGEST, documents=again, benchmark=b)
+    assert sum(got.values()) == len(rows)
+    assert decontaminate.clean(again, b, remove="spans").count() == len(rows)
     assert decontaminate.report(no_documents(spark), b).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.report(docs, none).collect()} == {0}
