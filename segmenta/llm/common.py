@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import string
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .words import per_process
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +36,9 @@ def small_enough(df: DataFrame, limit_bytes: int, *columns: str) -> bool:
     """Whether the table, measured by one aggregate over it, may be broadcast."""
     per_row = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(0)) + 64
     return (df.agg(F.sum(per_row.cast("long"))).first()[0] or 0) <= limit_bytes
+
+
+def shared(spark: SparkSession, value) -> Callable:
+    """Broadcast a value together with its class, so that executors need no installed package; call the result to get it."""
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: per_process(("shared", key), lambda: pickle.loads(sent.value))

@@ -4,9 +4,9 @@ A word (a run of letters, lower-cased) that the model knows scores each language
 unknown word is scored by its character n-grams of the longest order, of 5 down to 1, at which any of them is known: the
 mean of their log frequencies.  A text takes the language with the greatest sum; its score is that language's posterior.
 
-Learning counts words and n-grams per language in Spark, over at most ``SAMPLE_DOCS`` documents (the smallest hashes of
-doc_id, a documented bound) whose crc32(doc_id as text) mod 3 is not 1 and whose lang is known.  What it keeps is
-bounded by that sample, so it is broadcast.  Predictions read the text alone.
+Learning counts words and n-grams per language in Spark, over at most ``SAMPLE_DOCS`` doc_ids a language (the smallest
+hashes of doc_id, a documented bound) whose crc32(doc_id as text) mod 3 is not 1 and whose lang is known.  A word's n-grams
+count once a language.  What it keeps is bounded by that sample, so it is broadcast.  Predictions read the text alone.
 
 Defined cases: a text that is NULL or has no letter is ``und`` with score 0; so is every text if nothing could be
 learnt.  Equal scores fall to the language that sorts first.  Repeated rows are predicted alike, one row each.  NULL
@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import LETTER, mixed, owner, pieces, runs, span_hashes
+from .common import shared
+from .words import LETTER, byte_view, mixed, owner, pieces, runs, span_hashes
 
-SAMPLE_DOCS = 4_000
+SAMPLE_DOCS = 1_000
 MIN_COUNT = 2
 ORDERS = (5, 4, 3, 2, 1)
 WORD, EDGE = 0, 0x10FFFF
@@ -113,51 +114,62 @@ class Model:
         return best, 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(1)
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_count: int = MIN_COUNT) -> Model | None:
-    """Count words and n-grams per language over a bounded sample of the documents that are not held out."""
+def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
+    """(id, known): the rows to learn from, the smallest hashes of doc_id of every language."""
     ids = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("known")).filter("id is not null and known is not null") \
-        .filter(~held_out(F.col("id"))).dropDuplicates(["id", "known"]).orderBy(F.xxhash64("id"), "id", "known").limit(sample_docs)
+        .filter(~held_out(F.col("id"))).withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 24))
+    # a language's share of hashes that holds about twice the bound is enough to rank, so no task ranks a whole language
+    many = ids.groupBy("known").agg(F.count(F.lit(1)).alias("m"))
+    some = ids.join(many, "known").filter(F.col("h") < F.lit(float(1 << 40)) * (2 * per_language + 100) / F.col("m")).dropDuplicates(["id", "known"])
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("known").orderBy("h", "id"))).filter(F.col("rank") <= per_language).select("id", "known")
+
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS, min_count: int = MIN_COUNT) -> Model | None:
+    """Count words and n-grams per language over a bounded sample of the documents that are not held out."""
+    def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lowered = pc.utf8_lower(batch.column("text").fill_null(""))
             codes = batch.column("known").dictionary_encode()
             lang, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
             for a, b, raw, off in pieces(lowered):
                 doc, h, starts, ends = words_of(raw, off)
-                of = lang[a:b][doc]
+                of, text = lang[a:b][doc], raw.tobytes()
                 for i, name in enumerate(names):
                     mine = np.flatnonzero(of == i)
                     distinct, first, n = np.unique(h[mine], return_index=True, return_counts=True)
-                    if not len(distinct):
-                        continue
-                    text = raw.tobytes()
-                    words = [text[s:e] for s, e in zip(starts[mine[first]].tolist(), ends[mine[first]].tolist())]
-                    for kind in (WORD, *ORDERS):
-                        if kind == WORD:
-                            key, much = distinct, n
-                        else:
-                            key, much = np.unique(grams_of(words, kind)[1], return_counts=True)
-                        yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(key), pa.string()), "kind": pa.array(np.full(len(key), kind, np.int32)),
-                                                          "h": pa.array(key.view(np.int64)), "n": pa.array(much.astype(np.int64))})
-
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("known")))
-    rows = sample.select("text", "known").mapInArrow(counts, "lang string, kind int, h long, n long") \
+                    if len(distinct):
+                        yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(distinct), pa.string()), "n": pa.array(n.astype(np.int64)), "word": pa.array(
+                            [text[s:e] for s, e in zip(starts[mine[first]].tolist(), ends[mine[first]].tolist())], pa.binary())})
+
+    def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, words, n = batch.column("lang"), batch.column("word").to_pylist(), batch.column("n")
+            _, h, _, _ = words_of(*byte_view(batch.column("word")))
+            yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(words), WORD, np.int32)), pa.array(h.view(np.int64)), n], names=["lang", "kind", "h", "n"])
+            for kind in ORDERS:
+                word, g = grams_of(words, kind)
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(word)), pa.array(np.full(len(g), kind, np.int32)), pa.array(g.view(np.int64)),
+                                                  pa.array(np.ones(len(g), np.int64))], names=["lang", "kind", "h", "n"])
+
+    ids = sample(docs, per_language)
+    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("known")))
+    # a word's n-grams count once a language, however many pieces or batches it was met in
+    words = texts.select("text", "known").mapInArrow(word_counts, "lang string, n long, word binary").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = words.mapInArrow(gram_counts, "lang string, kind int, h long, n long") \
         .groupBy("lang", "kind", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.when(F.col("kind") == WORD, min_count).otherwise(1))
     return Model.of(rows.toArrow())
 
 
-def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    model = fit(docs, sample_docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = shared(docs.sparkSession, fit(docs, per_language))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").fill_null("")
             lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
             lowered = pc.utf8_lower(texts)
-            m = shared.value
+            m = model()
             for a, b, raw, off in pieces(lowered):
                 if m is None:
                     names, score = ["und"] * (b - a), np.zeros(b - a)

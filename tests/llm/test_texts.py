@@ -1,5 +1,8 @@
 import hashlib
 import math
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -164,6 +167,45 @@ def test_language(spark):
     assert sorted(map(tuple, language.identify(blind).collect())) == sorted(map(tuple, got))
 
 
+def test_language_does_not_depend_on_the_layout(spark):
+    docs = language_fixture(spark)
+    rare = spark.createDataFrame([(10_000 + i, "zhu shang xia " * 3, "rare") for i in range(4)], "doc_id long, text string, lang string")
+    docs = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 5000)).union(rare)
+    one, many = (sorted(map(tuple, language.identify(docs.repartition(n), per_language=30).collect())) for n in (1, 64))
+    assert one == many
+    # a language of a few documents is learnt, however many the others have
+    assert {r[2] for r in one if r[0] >= 10_000} == {"rare"}
+    picked = language.sample(docs, 30).groupBy("known").count().collect()
+    assert {r.known: r["count"] for r in picked if r.known != "rare"} == {"aa": 30, "bb": 30, "cc": 30}
+
+
+ALONE = """
+import sys
+sys.path.insert(0, {repo!r}); sys.path.insert(0, {tests!r})
+from segmenta.session import session
+from segmenta.llm import language, quality
+from test_texts import language_fixture, quality_fixture
+spark = session("alone", spark__master="local[2]", spark__ui__enabled="false", spark__driver__host="127.0.0.1")
+print(spark.range(1).mapInArrow(lambda b: iter([]), "id long").count())
+print(language.identify(language_fixture(spark)).count(), quality.classify(*quality_fixture(spark, 60)).count())
+"""
+
+
+def test_models_reach_workers_that_lack_the_package(tmp_path):
+    here = os.path.dirname(os.path.abspath(__file__))
+    script = ALONE.format(repo=os.path.dirname(os.path.dirname(here)), tests=here)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert got.stdout.split() == ["0", "240", "60"], got.stderr[-2000:]
+
+
+def test_quality_of_a_doc_id_that_repeats(spark):
+    docs, labels = quality_fixture(spark, 60)
+    hot = spark.range(50_000).select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("hot text "), (F.col("id") % 20_000).cast("string")).alias("text"))
+    got = quality.classify(docs.union(hot), labels, sample_rows=50)
+    assert got.count() == 50_060
+
+
 def test_language_backs_off():
     """Known words decide; unknown ones go down to the n-grams that are known."""
     rows = [("aa", language.WORD, "xyz", 5), ("bb", language.WORD, "pqr", 5)]
