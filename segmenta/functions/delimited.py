@@ -508,28 +508,15 @@ class Parsed:
         level split, the level's own and higher ones are data."""
         return escape(value, self.d, self.spec, keep=self._below(level))
 
-    def set(self, path: str, value) -> "Parsed":
-        """A new message with ``value`` at ``path``; structure is created as
-        needed (segments after their group, padded fields, promoted leaves)."""
-        spec, p = self.spec, compile_path(self.spec, path)
-        if not p.field:
-            raise ValueError(f"{spec.name}: path {path}: set requires a field or deeper")
-        value = text_or_empty(value)
-        if p.field <= spec.raw_fields(p.seg):
-            if p.comp or p.sub:
-                raise ValueError(f"{spec.name}: path {path}: {p.seg}-{p.field} holds a delimiter and has no components")
-            return self._set_delimiters(p, value)
-        level = "sub" if p.sub else "comp" if p.comp else "rep"
-        wire = self._encode(value, level)
+    def _field_write(self, p: Path, value: Column):
+        """What writing a field or deeper does to one segment."""
+        wire = self._encode(value, "sub" if p.sub else "comp" if p.comp else "rep")
 
         def put(arr, idx, new):
             return F.transform(pad_to(arr, idx), lambda x, i: F.when(i == idx - 1, new(x)).otherwise(x))
 
-        def in_sub(x):
-            return wire
-
         def in_comp(x):
-            return join_with(put(split_on(x, self.d["sub"]), p.sub, in_sub), self.d["sub"]) if p.sub else wire
+            return join_with(put(split_on(x, self.d["sub"]), p.sub, lambda _: wire), self.d["sub"]) if p.sub else wire
 
         def in_rep(x):
             return join_with(put(split_on(x, self.d["comp"]), p.comp, in_comp), self.d["comp"]) if p.comp else wire
@@ -537,7 +524,50 @@ class Parsed:
         def in_field(x):
             return join_with(put(split_on(x, self.d["rep"]), max(p.rep, 1), in_rep), self.d["rep"])
 
-        occ = max(p.occ, 1)
+        return lambda seg: put(seg, p.field + 1, in_field)
+
+    def each_segment(self, name: str, write, where=None) -> "Parsed":
+        """Write to every segment of a name, in one pass that reads them by occurrence and puts them back by position.
+
+        ``write(segment, i, segments)`` gets a handle with ``get`` and ``set`` on paths relative to the segment, its number
+        from 0 and the handles of all of them as they were (``segments[2]``, ``segments.count``); ``where(segment, i)``
+        leaves out segments."""
+        if name in self.spec.headers:
+            raise ValueError(f"{self.spec.name}: {name} is written with set")
+
+        def written(segs):
+            at = F.filter(F.transform(segs, lambda s, i: F.when(s[0] == name, i)), lambda i: i.isNotNull())
+
+            def put(at):
+                handles = Segments(self, name, segs, at)
+
+                def one(pos, i):
+                    old = F.get(segs, pos)
+                    unit = Segment(self, name, old)
+                    new = write(unit, i, handles).fields
+                    new = new if where is None else F.when(where(unit, i), new).otherwise(old)
+                    until = F.coalesce(F.get(at, i + 1), F.size(segs))
+                    return F.concat(F.array(new), F.slice(segs, pos + 2, F.greatest(until - pos - 1, F.lit(0))))
+
+                before = F.slice(segs, F.lit(1), F.coalesce(F.get(at, F.lit(0)), F.size(segs)))
+                return F.concat(before, F.flatten(F.transform(at, one)))
+
+            return let(at, put)
+
+        return self._with(segs=let(self.segs, written))
+
+    def set(self, path: str, value) -> "Parsed":
+        """A new message with ``value`` at ``path``; structure is created as
+        needed (segments after their group, padded fields, promoted leaves)."""
+        spec, p = self.spec, compile_path(self.spec, path)
+        if not p.field:
+            raise ValueError(f"{spec.name}: path {path}: set requires a field or deeper")
+        value = text_or_empty(value)
+        if p.field <= spec.raw_fields(p.seg):
+            if p.comp or p.sub:
+                raise ValueError(f"{spec.name}: path {path}: {p.seg}-{p.field} holds a delimiter and has no components")
+            return self._set_delimiters(p, value)
+        write, occ = self._field_write(p, value), max(p.occ, 1)
 
         def positions(segs):
             return F.filter(F.transform(segs, lambda s, i: F.when(s[0] == p.seg, i)), lambda i: i.isNotNull())
@@ -551,7 +581,7 @@ class Parsed:
 
         def written(segs):
             return let(F.get(positions(segs), F.lit(occ - 1)), lambda target: F.transform(
-                segs, lambda s, i: F.when(i == target, put(s, p.field + 1, in_field)).otherwise(s)))
+                segs, lambda s, i: F.when(i == target, write(s)).otherwise(s)))
 
         return self._with(segs=let(self.segs, lambda segs: let(
             let(positions(segs), lambda pos: ensured(segs, pos)), written)))
@@ -622,3 +652,33 @@ class Parsed:
             F.filter(numbered, lambda x: x["name"] == nm),
             lambda x, k: F.struct(x["pos"].alias("pos"), (k + 1).alias("occ")))))
         return F.array_sort(counted)
+
+
+class Segment:
+    """One segment of a message; paths are relative to it, e.g. ``3[2].1``."""
+
+    def __init__(self, message: Parsed, name: str, fields: Column):
+        self.message, self.name, self.fields = message, name, fields
+
+    def _path(self, rel: str) -> Path:
+        p = compile_path(self.message.spec, f"{self.name}-{rel}")
+        if not p.field:
+            raise ValueError(f'{self.message.spec.name}: segment-relative path "{rel}": a field is required')
+        return p
+
+    def get(self, rel: str) -> Column:
+        self._path(rel)
+        return self.message.at(self.fields, self.name, rel)
+
+    def set(self, rel: str, value) -> "Segment":
+        return Segment(self.message, self.name, self.message._field_write(self._path(rel), text_or_empty(value))(self.fields))
+
+
+class Segments:
+    """The handles of all segments of a name, as they were."""
+
+    def __init__(self, message: Parsed, name: str, segs: Column, at: Column):
+        self.message, self.name, self.segs, self.at, self.count = message, name, segs, at, F.size(at)
+
+    def __getitem__(self, k: int) -> Segment:
+        return Segment(self.message, self.name, F.get(self.segs, F.get(self.at, F.lit(k))))

@@ -1,16 +1,19 @@
 """CSV, JSON and XML payloads held in a column.
 
-One Arrow-batched pass per payload yields a struct column
+A parsed payload is a struct column
 
     error     STRING
-    canon     STRING                      canonical text
-    nodes     ARRAY<STRUCT<path, value, kind>>   every node in document order
-
-because no built-in keeps what these dialects need: key order, duplicate keys
-and number literals (JSON), strictness without failing the job (XML), or
-quoted rows inside a column (CSV).  Everything after that pass (path lookup,
-leaves, diff) is plain column work on ``nodes``.  CSV without quotes never
-enters Python.
+    decl      STRING                      XML declaration, rewritten for UTF-8
+    nodes     ARRAY<STRUCT<path, value, kind, name, depth, up, at>>   JSON and XML, every node in document order
+    rows      ARRAY<ARRAY<STRING>>        CSV
+
+``at`` is a node's position, ``depth`` its level and ``up`` the closing marks of its ancestors, innermost first.  A node's
+subtree is the run of deeper nodes behind it, so a branch is rendered, cut out or replaced as a slice of the array, and
+nothing is stored twice.  An XML element of simple content is a ``tag`` node, its attributes and a ``simple`` node.
+
+JSON and XML are read by one Arrow-batched pass per payload, because no built-in keeps what these dialects need: key
+order, duplicate keys and number literals, strictness without failing the job.  CSV is read without Python.  Everything
+after that (path lookup, writes, rendering, leaves, diff) is column work.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..paths import csv_path, json_key_text, json_pattern, json_string, xml_pattern
-from .columns import let, materialise
+from ..paths import csv_path, json_key_text, json_pattern, xml_pattern
+from . import edits
+from .columns import bind, let, materialise
 from .scalars import csv_row
 
 MAX_DEPTH = 512
-NODE = "struct<path:string,value:string,kind:string>"
-PARSED = f"struct<error:string,canon:string,nodes:array<{NODE}>>"
-_ARROW = pa.struct([("error", pa.string()), ("canon", pa.string()), ("nodes", pa.list_(
-    pa.struct([("path", pa.string()), ("value", pa.string()), ("kind", pa.string())])))])
-BRANCHES = ("object", "array", "element", "row")
+PARSED = f"struct<error:string,decl:string,nodes:{edits.NODES}>"
+_FIELDS = [("path", pa.string()), ("value", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("depth", pa.int32()), ("up", pa.string()),
+           ("at", pa.int32())]
+_ARROW = pa.struct([("error", pa.string()), ("decl", pa.string()), ("nodes", pa.list_(pa.struct(_FIELDS)))])
+#: Kinds that are not leaves; a tag is not even addressed, its simple node is.
+BRANCHES = ("object", "array", "element", "tag")
 
 
 class BadPayload(ValueError):
@@ -72,40 +77,33 @@ def json_nodes(raw: bytes):
         raise BadPayload("json: trailing data after document")
     nodes = []
 
-    def walk(v, path, depth):
+    def walk(v, path, name, depth, up):
+        add = lambda value, kind: nodes.append((path, value, kind, name, depth, up))
         if isinstance(v, list):
             if depth >= MAX_DEPTH:
                 raise BadPayload(f"json: nesting deeper than {MAX_DEPTH} levels")
-            at = len(nodes)
-            obj = isinstance(v, _Members)
-            nodes.append(None)
-            if obj:
-                parts = [json_string(k) + ":" + walk(x, json_key_text(path, k), depth + 1) for k, x in v]
-                out = "{" + ",".join(parts) + "}"
+            if isinstance(v, _Members):
+                add(None, "object")
+                for k, x in v:
+                    walk(x, json_key_text(path, k), k, depth + 1, "}" + up)
             else:
-                out = "[" + ",".join([walk(x, f"{path}[{i}]", depth + 1) for i, x in enumerate(v)]) + "]"
-            nodes[at] = (path, out, "object" if obj else "array")
-            return out
-        if isinstance(v, _Literal):
-            nodes.append((path, str(v), "number"))
-            return str(v)
-        if isinstance(v, str):
-            v = v.encode("utf-8", "replace").decode("utf-8") if any("\ud800" <= c <= "\udfff" for c in v) else v
-            nodes.append((path, v, "string"))
-            return json_string(v)
-        lit = "null" if v is None else "true" if v else "false"
-        nodes.append((path, "" if v is None else lit, "null" if v is None else "bool"))
-        return lit
-
-    return walk(doc, "", 0), nodes
-
+                add(None, "array")
+                for i, x in enumerate(v):
+                    walk(x, f"{path}[{i}]", f"[{i}]", depth + 1, "]" + up)
+        elif isinstance(v, _Literal):
+            add(str(v), "number")
+        elif isinstance(v, str):
+            add(v.encode("utf-8", "replace").decode("utf-8") if any("\ud800" <= c <= "\udfff" for c in v) else v, "string")
+        elif v is None:
+            add("", "null")
+        else:
+            add("true" if v else "false", "bool")
 
-# ---- XML ------------------------------------------------------------------
+    walk(doc, "", "", 0, "")
+    return None, nodes
 
-def _xml_escape(s, attr):
-    s = s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\r", "&#xD;")
-    return s.replace('"', "&quot;").replace("\n", "&#xA;").replace("\t", "&#x9;") if attr else s
 
+# ---- XML ------------------------------------------------------------------
 
 _DECLARED = re.compile(rb"^\xef?\xbb?\xbf?\s*<\?xml([^>]*?)\?>", re.S)
 _ENCODING = re.compile(r"""encoding\s*=\s*(?:"([^"]*)"|'([^']*)')""")
@@ -183,21 +181,16 @@ def xml_nodes(raw: bytes):
         raise BadPayload(f"xml: {e}") from None
     nodes = []
 
-    def walk(item, path):
+    def walk(item, path, depth, up):
         name, attrs, content, has_elements = item
-        at = len(nodes)
-        nodes.append(None)
-        head = "<" + name
+        nodes.append((path, None, "element" if has_elements else "tag", name, depth, up))
+        up, depth = f"</{name}>{up}", depth + 1
         for k, v in attrs:
-            nodes.append((f"{path}/@{k}", v, "attr"))
-            head += f' {k}="{_xml_escape(v, True)}"'
+            nodes.append((f"{path}/@{k}", v, "attr", k, depth, up))
         if not has_elements:
-            value = "".join(content)
-            out = head + (f">{_xml_escape(value, False)}</{name}>" if value else "/>")
-            del nodes[at]
-            nodes.append((path, value, "simple"))
-            return out
-        inner, seen = "", {}
+            nodes.append((path, "".join(content), "simple", "", depth, up))
+            return
+        seen = {}
         for c in content:
             if isinstance(c, str) and not c.strip():
                 continue
@@ -205,71 +198,57 @@ def xml_nodes(raw: bytes):
             seen[key] = seen.get(key, 0) + 1
             child = f"{path}/{key}" + (f"[{seen[key]}]" if seen[key] > 1 else "")
             if isinstance(c, str):
-                nodes.append((child, c, "text"))
-                inner += _xml_escape(c, False)
+                nodes.append((child, c, "text", key, depth, up))
             else:
-                inner += walk(c, child)
-        out = f"{head}>{inner}</{name}>"
-        nodes[at] = (path, out, "element")
-        return out
+                walk(c, child, depth, up)
 
-    out = walk(top[0], top[0][0])
-    return (f"<?xml {decl}?>" if decl else "<?xml?>" if decl == "" else "") + out, nodes
+    walk(top[0], top[0][0], 0, "")
+    return (f"<?xml {decl}?>" if decl else "<?xml?>" if decl == "" else ""), nodes
 
 
 # ---- CSV ------------------------------------------------------------------
 
-def csv_rows(raw: bytes) -> list[list[str]]:
-    """Strict RFC 4180 rows; blank lines are skipped, CR inside values is LF."""
-    text = raw.decode("utf-8", "replace").replace("\r\n", "\n")
-    rows, row, at, n = [], [], 0, len(text)
-    line = 1
-    while at < n:
-        if not row and text[at] == "\n":
-            at += 1
-            line += 1
-            continue
-        if text[at] == '"':
-            m = _QUOTED.match(text, at)
-            if m is None or (m.end() < n and text[m.end()] not in ",\n"):
-                raise BadPayload(f'csv: record on line {line}: extraneous or missing " in quoted-field')
-            cell, at = m[1].replace('""', '"'), m.end()
-        else:
-            m = _BARE.match(text, at)
-            cell, at = m[0], m.end()
-            if '"' in cell:
-                raise BadPayload(f'csv: record on line {line}: bare " in non-quoted-field')
-        row.append(cell.replace("\r", "\n"))
-        line += cell.count("\n")
-        if at < n and text[at] == ",":
-            at += 1
-            if at == n or text[at] == "\n":
-                row.append("")
-            else:
-                continue
-        rows.append(row)
-        row = []
-        at += 1
-        line += 1
-    if not rows:
-        raise BadPayload("csv: empty message")
-    return rows
+#: Mark of structure inside the text while it is cut; where the text has it itself it is written as mark and x.
+_MARK = "\ufdd0"
 
 
-_QUOTED = re.compile(r'"((?:[^"]|"")*)"')
-_BARE = re.compile(r"[^,\n]*")
+def _csv_error(p: str = "p") -> str:
+    """The first place where quotes are wrong, of the pieces between quotes."""
+    sep = "[,\\\\n]"
+    lines = lambda upto: f"size(split(array_join(slice({p}, 1, {upto}), ''), '\\\\n'))"
+    # the quoted field that the quote behind piece i - 1 closes opens at the last piece that follows structure
+    opened = f"array_max(filter(sequence(1, greatest(i - 1, 1), 2), j -> j = 1 OR {p}[j - 1] != ''))"
+    quoted = f"concat('csv: record on line ', {lines(opened)}, ': extraneous or missing \" in quoted-field')"
+    bare = f"concat('csv: record on line ', {lines('i + 1')}, ': bare \" in non-quoted-field')"
+    return f"""get(filter(transform(sequence(0, size({p}) - 1), i -> CASE
+        WHEN size({p}) = 1 THEN NULL
+        WHEN i % 2 = 1 THEN IF(i = size({p}) - 1, {quoted.replace("i - 1", "i")}, NULL)
+        WHEN i > 0 AND {p}[i] != '' AND NOT {p}[i] RLIKE '^{sep}' THEN {quoted}
+        WHEN i < size({p}) - 1 AND {p}[i] != '' AND NOT {p}[i] RLIKE '{sep}\\\\z' THEN {bare} END), e -> e IS NOT NULL), 0)"""
 
 
-def csv_nodes(raw: bytes):
-    rows = csv_rows(raw)
-    nodes = []
-    for r, row in enumerate(rows):
-        prefix = "R" if r == 0 else f"R[{r + 1}]"
-        nodes += [(f"{prefix}.{c + 1}", v, "cell") for c, v in enumerate(row)]
-    return None, nodes
+def _csv_cells(p: str = "p") -> str:
+    """Rows of cells from the pieces between quotes: even ones are structure, odd ones text.
 
+    An empty even piece between two odd ones is a doubled quote; a piece that opens a quoted field is marked, so that a
+    quoted empty line is not taken for a blank one."""
+    m = _MARK
+    marked = (f"array_join(transform({p}, (x, i) -> CASE WHEN i % 2 = 1 THEN IF(i = 1 OR {p}[i - 1] != '', concat('{m}q', x), x) "
+              f"WHEN x = '' AND i > 0 AND i < size({p}) - 1 THEN '\"' ELSE replace(replace(x, ',', '{m},'), '\\n', '{m}n') END), '')")
+    cell = f"replace(replace(IF(c LIKE '{m}q%', substring(c, 3), c), '{m}x', '{m}'), '\\r', '\\n')"
+    return f"transform(filter(split({marked}, '{m}n'), l -> l != ''), l -> transform(split(l, '{m},'), c -> {cell}))"
 
-_PARSERS = {"json": json_nodes, "xml": xml_nodes, "csv": csv_nodes}
+
+def _csv(raw: Column) -> Column:
+    """The parsed struct of strict RFC 4180 text; blank lines are skipped, CR inside values is LF."""
+    text = F.replace(F.make_valid_utf8(F.coalesce(raw, F.lit(""))), F.lit("\r\n"), F.lit("\n"))
+    pieces = F.split(F.replace(text, F.lit(_MARK), F.lit(_MARK + "x")), '"')
+    both = bind(pieces, f"p -> named_struct('error', {_csv_error()}, 'rows', {_csv_cells()})")
+    return bind(both, "x -> named_struct('error', coalesce(x.error, IF(size(x.rows) = 0, 'csv: empty message', NULL)), "
+                      "'rows', IF(x.error IS NULL, x.rows, slice(x.rows, 1, 0)))")
+
+
+_PARSERS = {"json": json_nodes, "xml": xml_nodes}
 
 
 # The parsers travel with the task, so executors need no installed package.
@@ -278,17 +257,16 @@ for _module in (__name__, json_key_text.__module__):
 
 
 def _arrow_parser(fmt: str):
-    parse = _PARSERS[fmt]
+    parse, names = _PARSERS[fmt], [n for n, _ in _FIELDS]
 
     def run(batch: pa.Array) -> pa.Array:
         out = []
         for raw in batch.to_pylist():
             try:
-                canon, nodes = parse(raw or b"")
-                out.append({"error": None, "canon": canon, "nodes": [
-                    {"path": p, "value": v, "kind": k} for p, v, k in nodes]})
+                decl, nodes = parse(raw or b"")
+                out.append({"error": None, "decl": decl, "nodes": [dict(zip(names, (*n, i))) for i, n in enumerate(nodes)]})
             except BadPayload as e:
-                out.append({"error": str(e), "canon": None, "nodes": []})
+                out.append({"error": str(e), "decl": None, "nodes": []})
         return pa.array(out, type=_ARROW)
 
     run.__annotations__ = {"batch": pa.Array, "return": pa.Array}
@@ -297,42 +275,35 @@ def _arrow_parser(fmt: str):
 
 def parse_tree(df: DataFrame, fmt: str, raw: str = "raw", out: str = "msg") -> DataFrame:
     """Add the parsed struct column of a json, xml or csv payload."""
-    payload = F.col(raw).cast("binary")
-    if fmt != "csv":
-        return materialise(df.withColumn(f"__{out}", _arrow_parser(fmt)(payload)), out, F.col(f"__{out}"), df.columns)
-    text = F.col(raw).cast("string")
-    simple = ~F.contains(text, F.lit('"')) & F.is_valid_utf8(text)
-    # the Python side sees NULL for rows the native branch covers
-    given = df.columns
-    df = df.withColumn(f"__{out}_py", _arrow_parser("csv")(F.when(simple, F.lit(None)).otherwise(payload)))
-    lines = F.filter(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: x != "")
-    cells = lambda line: F.split(F.replace(line, F.lit("\r"), F.lit("\n")), ",")
-    native = F.flatten(F.transform(lines, lambda line, r: F.transform(cells(line), lambda v, c: F.struct(
-        F.concat(F.when(r == 0, F.lit("R.")).otherwise(F.concat(F.lit("R["), (r + 1).cast("string"), F.lit("]."))),
-                 (c + 1).cast("string")).alias("path"), v.alias("value"), F.lit("cell").alias("kind")))))
-    py = F.col(f"__{out}_py")
-    return materialise(df, out, F.when(simple, F.struct(
-        F.when(F.size(lines) == 0, F.lit("csv: empty message")).alias("error"),
-        F.lit(None).cast("string").alias("canon"), native.alias("nodes"))).otherwise(py), given)
+    if fmt == "csv":
+        return materialise(df, out, _csv(F.col(raw).cast("string")))
+    return materialise(df.withColumn(f"__{out}", _arrow_parser(fmt)(F.col(raw).cast("binary"))), out, F.col(f"__{out}"), df.columns)
 
 
 class Tree:
-    """Accessors over a parsed tree column, same contract as ``Parsed``."""
+    """Accessors over a parsed tree column, same contract as ``Parsed``.
+
+    Writes give a new Tree; a write that the message's structure does not allow leaves it as it is and sets ``error``."""
 
     def __init__(self, col: Column | str, fmt: str):
+        self.name = col if isinstance(col, str) else None
         self.col = F.col(col) if isinstance(col, str) else col
-        self.fmt = fmt
-        self.error, self.nodes = self.col["error"], self.col["nodes"]
+        self.fmt, self.pending = fmt, None
+        self.error = self.col["error"]
+        self.nodes, self.grid = (None, self.col["rows"]) if fmt == "csv" else (self.col["nodes"], None)
+
+    def _written(self, write) -> "Tree":
+        """The message after ``write(view)`` gave (error, nodes) or, for CSV, rows; the message before is bound once."""
+        def after(m):
+            view = Tree(m, self.fmt)
+            if self.fmt == "csv":
+                return F.struct(m["error"].alias("error"), write(view).alias("rows"))
+            return let(write(view), lambda done: F.struct(F.coalesce(m["error"], done["error"]).alias("error"), m["decl"].alias("decl"), done["nodes"].alias("nodes")))
+
+        return Tree(let(self.col, after), self.fmt)
 
     def _matches(self, path: str) -> Column:
-        if self.fmt == "csv":
-            row, col = csv_path(path)
-            if not col:
-                raise ValueError(f'csv: path "{path}" addresses a row, use rows()')
-            if row == 0:
-                return F.filter(self.nodes, lambda x: x["path"].rlike(rf"^R(\[\d+\])?\.{col}$"))
-            text = f"R.{col}" if row == 1 else f"R[{row}].{col}"
-            return F.filter(self.nodes, lambda x: x["path"] == text)
+        """The nodes a path addresses."""
         if self.fmt == "json":
             pattern = json_pattern(path)
             own, elems = f"^{pattern}$", rf"^{pattern}(\[\d+\])?$"
@@ -341,45 +312,172 @@ class Tree:
         pattern = xml_pattern(path)
         if "(?:" not in pattern:
             exact = re.sub(r"\\(.)", r"\1", pattern)
-            return F.filter(self.nodes, lambda x: x["path"] == exact)
-        return F.filter(self.nodes, lambda x: x["path"].rlike(f"^{pattern}$"))
+            return F.filter(self.nodes, lambda x: (x["path"] == exact) & (x["kind"] != "tag"))
+        return F.filter(self.nodes, lambda x: x["path"].rlike(f"^{pattern}$") & (x["kind"] != "tag"))
+
+    def _shown(self, node: Column, nodes: Column) -> Column:
+        """A leaf's value, a branch as text."""
+        return F.when(~node["kind"].isin(*BRANCHES), node["value"]).when(
+            node["at"].isNotNull(), edits.render(self.fmt, edits.subtree(nodes, node["at"])))
+
+    def _cells(self, row: int, col: int) -> Column:
+        """CSV cells, or with no column re-encoded rows, of one row or all (0)."""
+        rows = F.slice(self.grid, row, 1) if row else self.grid
+        if not col:
+            return F.transform(rows, csv_row)
+        return F.transform(F.filter(rows, lambda r: F.size(r) >= col), lambda r: r[col - 1])
 
     def get_all(self, path: str) -> Column:
-        return F.transform(self._matches(path), lambda x: x["value"])
+        if self.fmt == "csv":
+            return self._cells(*csv_path(path))
+        return let(self.nodes, lambda ns: F.transform(self._over(ns)._matches(path), lambda x: self._shown(x, ns)))
 
     def get(self, path: str) -> Column:
-        return F.get(self._matches(path), F.lit(0))["value"]
+        if self.fmt == "csv":
+            return F.get(self._cells(*csv_path(path)), F.lit(0))
+        return let(self.nodes, lambda ns: let(F.get(self._over(ns)._matches(path), F.lit(0)), lambda x: self._shown(x, ns)))
 
-    def rows(self) -> Column:
-        """CSV rows as ARRAY<ARRAY<STRING>>."""
-        start = F.struct(F.array().cast("array<array<string>>").alias("rows"), F.array().cast("array<string>").alias("cur"))
+    def _over(self, nodes: Column) -> "Tree":
+        view = Tree.__new__(Tree)
+        view.__dict__.update(self.__dict__, nodes=nodes)
+        return view
+
+    def set(self, path: str, value) -> "Tree":
+        """A new message with ``value`` at ``path``; structure is created as needed.
+
+        JSON keeps the value's type (NULL is null), XML and CSV write its text (NULL is empty)."""
+        if self.fmt == "csv":
+            row, col = csv_path(path)
+            if not col:
+                raise ValueError(f'csv: path "{path}": set requires a column')
+            return self._written(lambda t: edits.csv_set(t.grid, row or 1, col, value))
+        # writes in a row are one fold over the message as it was before them
+        before, writes = self.pending or (self, [])
+        writes = [*writes, edits.json_edit(path, value) if self.fmt == "json" else edits.xml_edit(path, value)]
+        done = before._written(lambda t: edits.edited(self.fmt, t.nodes, writes))
+        done.pending = before, writes
+        return done
+
+    def each_segment(self, name: str, write, where=None) -> "Tree":
+        """Write to every top-level unit of a name: rows 'R', members of a JSON object (arrays fanned out), XML children.
+
+        ``write(unit, i, units)`` gets a handle with ``get`` and ``set`` on paths relative to the unit, its number from 0
+        and the handles of all units as they were (``units[2]``); ``where(unit, i)`` leaves out units.  One pass, in
+        which every unit is read and put back at its place."""
+        if self.fmt == "csv":
+            if name != "R":
+                return self
+
+            def rows(t):
+                units = _Units(lambda k: CsvUnit(F.get(t.grid, F.lit(k))), F.size(t.grid))
+
+                def one(row, i):
+                    unit = CsvUnit(row)
+                    new = write(unit, i, units).row
+                    return new if where is None else F.when(where(unit, i), new).otherwise(row)
+
+                return F.transform(t.grid, one)
+
+            return self._written(rows)
+
+        def unit(sub, i, subs):
+            unit, units = TreeUnit(self.fmt, sub), _Units(lambda k: TreeUnit(self.fmt, subs(k)), subs(None))
+            new = write(unit, i, units).result()
+            return new if where is None else F.when(where(unit, i), new).otherwise(F.struct(edits.no_error().alias("error"), sub.alias("nodes")))
+
+        return self._written(lambda t: edits.each_unit(t.nodes, t._units(name), unit))
 
-        def step(acc, x):
-            fresh = x["path"].endswith(".1") & (F.size(acc["cur"]) > 0)
-            return F.struct(
-                F.when(fresh, F.concat(acc["rows"], F.array(acc["cur"]))).otherwise(acc["rows"]).alias("rows"),
-                F.when(fresh, F.array(x["value"])).otherwise(F.concat(acc["cur"], F.array(x["value"]))).alias("cur"))
+    def _units(self, name: str) -> Column:
+        """The nodes that begin a top-level unit."""
+        if self.fmt == "json":
+            return self._matches(json_key_text("", name))
+        root = F.get(self.nodes, F.lit(0))
+        is_unit = lambda x: x["kind"].isin("element", "tag") & (x["name"] == name)
+        return F.when(root["name"] == name, F.slice(self.nodes, 1, 1)).otherwise(F.filter(self.nodes, lambda x: (x["depth"] == 1) & is_unit(x)))
 
-        return let(F.aggregate(self.nodes, start, step), lambda a: F.concat(a["rows"], F.array(a["cur"])))
+    def rows(self) -> Column:
+        """CSV rows as ARRAY<ARRAY<STRING>>."""
+        return self.grid
 
     def serialize(self) -> Column:
-        if self.fmt == "csv":
-            return F.concat(F.array_join(F.transform(self.rows(), csv_row), "\n"), F.lit("\n"))
-        return self.col["canon"]
+        """Canonical text; NULL for a message with an error."""
+        def text(m):
+            if self.fmt == "csv":
+                got = F.concat(F.array_join(F.transform(m["rows"], csv_row), "\n"), F.lit("\n"))
+            elif self.fmt == "json":
+                got = edits.render("json", m["nodes"])
+            else:
+                got = F.concat(F.coalesce(m["decl"], F.lit("")), edits.render("xml", m["nodes"]))
+            return F.when(m["error"].isNull(), got)
+
+        return let(self.col, text)
 
     def segments(self, name: str) -> Column:
         """Top-level units of a name as their rendered values: CSV rows 'R',
         JSON members (arrays fanned out), XML child elements."""
         if self.fmt == "csv":
-            return F.transform(self.rows(), csv_row) if name == "R" else F.array().cast("array<string>")
+            return F.transform(self.grid, csv_row) if name == "R" else F.array().cast("array<string>")
         if self.fmt == "json":
             return self.get_all(json_key_text("", name))
-        doc = F.get(self.nodes, F.lit(0))["path"]
-        root = F.regexp_extract(doc, r"^([^/]+)", 1)
-        child = F.filter(self.nodes, lambda x: x["path"].rlike(rf"^[^/]+/{re.escape(name)}(\[\d+\])?$"))
-        own = F.filter(self.nodes, lambda x: x["path"] == name)
-        return F.transform(F.when(root == name, own).otherwise(child), lambda x: x["value"])
+        simple = lambda ns, u: F.get(F.filter(edits.subtree(ns, u["at"]), lambda x: (x["kind"] == "simple") & (x["depth"] == u["depth"] + 1)), F.lit(0))["value"]
+        return let(self.nodes, lambda ns: F.transform(self._over(ns)._units(name), lambda u: F.when(u["kind"] == "tag", simple(ns, u)).otherwise(self._shown(u, ns))))
 
     def leaves(self) -> Column:
         """Non-empty leaves, ARRAY<STRUCT<path, value, kind>>."""
+        if self.fmt == "csv":
+            path = lambda r, c: F.concat(F.when(r == 0, F.lit("R.")).otherwise(F.concat(F.lit("R["), (r + 1).cast("string"), F.lit("]."))), (c + 1).cast("string"))
+            cells = F.flatten(F.transform(self.grid, lambda row, r: F.transform(row, lambda v, c: F.struct(
+                path(r, c).alias("path"), v.alias("value"), F.lit("cell").alias("kind")))))
+            return F.filter(cells, lambda x: x["value"] != "")
         return F.filter(self.nodes, lambda x: ~x["kind"].isin(*BRANCHES) & (x["value"] != ""))
+
+
+class _Units:
+    """All units of a name as they were: ``units[k]`` is a handle, ``count`` their number."""
+
+    def __init__(self, handle, count: Column):
+        self._handle, self.count = handle, count
+
+    def __getitem__(self, k: int):
+        return self._handle(k)
+
+
+class CsvUnit:
+    """One CSV row; paths are column numbers."""
+
+    def __init__(self, row: Column):
+        self.row = row
+
+    @staticmethod
+    def _column(rel: str) -> int:
+        if not re.fullmatch(r"[1-9]\d*", rel):
+            raise ValueError(f'csv: row-relative path "{rel}" must be a column number')
+        return int(rel)
+
+    def get(self, rel: str) -> Column:
+        return F.get(self.row, F.lit(self._column(rel) - 1))
+
+    def set(self, rel: str, value) -> "CsvUnit":
+        return CsvUnit(edits.cell_set(self.row, self._column(rel), value))
+
+
+class TreeUnit:
+    """A subtree of a JSON or XML message; paths are relative to it."""
+
+    def __init__(self, fmt: str, nodes: Column, writes: tuple = ()):
+        self.fmt, self.nodes, self.writes = fmt, nodes, writes
+
+    def get(self, rel: str) -> Column:
+        """The first match, a branch as text."""
+        return let(self.result()["nodes"], lambda ns: edits.relative_get(self.fmt, ns, rel))
+
+    def set(self, rel: str, value) -> "TreeUnit":
+        write = edits.json_edit(rel, value) if self.fmt == "json" else edits.xml_edit(rel, value, inside=True)
+        return TreeUnit(self.fmt, self.nodes, (*self.writes, write))
+
+    def result(self) -> Column:
+        """(error, nodes) after the writes."""
+        nodes = edits.numbered(self.nodes)
+        if not self.writes:
+            return F.struct(edits.no_error().alias("error"), nodes.alias("nodes"))
+        return edits.edited(self.fmt, nodes, list(self.writes))

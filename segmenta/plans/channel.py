@@ -75,6 +75,10 @@ class Message:
         self.view = self.view.set(path, value)
         return self
 
+    def each_segment(self, name: str, write, where=None) -> "Message":
+        self.view = self.view.each_segment(name, write, where)
+        return self
+
     def meta(self, key: str) -> Column:
         return F.try_element_at(self._meta, F.lit(key))
 
@@ -247,11 +251,14 @@ class _Run:
     def translate(self, fns: list[Callable]) -> None:
         for i, fn in enumerate(fns, 1):
             m, got = self.step(fn, f"translator {i}")
-            if got is None or isinstance(got, (Message, Parsed)):
+            if got is None or isinstance(got, (Message, Parsed, Tree)):
                 view = got.view if isinstance(got, Message) else got if got is not None else m.view
-                if isinstance(view, Parsed) and view.name is None:
+                if view.name is None:
                     self.msg = f"{self.p}msg"
                     self.df = materialise(self.df, self.msg, view.col)
+                    if isinstance(view, Tree):  # a write that the structure does not allow stops its message
+                        refused = F.col(f"{self.msg}.error")
+                        self.fail(refused.isNotNull(), F.concat(F.lit(f"translator {i}: "), refused))
                 continue
             # a built message replaces the tree and the data type
             self.data_type = _type_of(got)

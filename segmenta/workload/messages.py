@@ -421,3 +421,64 @@ def xml_errors(spark, sf):
            .when(k % 5 == 3, F.concat(F.lit('<!DOCTYPE c [<!ENTITY e "x">]>'), good)).otherwise(F.concat(good, good)))
     df = parse_tree(table(spark, sf, "customer").select(k.alias("msg_id"), raw.alias("raw")), "xml")
     return df.select("msg_id", F.col("msg.error").isNull().alias("well_formed"), Tree("msg", "xml").get("c/n").alias("name"))
+
+
+# ---- writes on received messages --------------------------------------------
+
+_GIVEN = "CASE WHEN c_nationkey % 3 <> 0 THEN '\"given\":[\"' || c_mktsegment || '\",\"Q\"]' ELSE '\"given\":[null,\"Q\"]' END"
+
+
+@query("json_edits", f"""
+SELECT c_custkey AS msg_id, '{{"resourceType":"' || CASE WHEN c_custkey % 10 = 9 THEN 'Device' ELSE 'Patient' END || '","id":"pat-' || c_custkey
+  || '","identifier":[{{"system":"urn:mrn","value":' || c_custkey || '}},null,{{"use":"old"}}],"name":[{{"family":"' || c_name || '",' || {_GIVEN}
+  || '}}],"birthDate":null,"gender":{{"text":"' || CASE WHEN c_nationkey % 2 = 0 THEN 'male' ELSE 'female' END || '"}},"meta":{{"odd.key":{{"nation":'
+  || c_nationkey || ',"even":' || CASE WHEN c_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || '}}}}}}' AS text FROM customer""")
+def json_edits(spark, sf):
+    """Received resources rewritten: typed values, padded arrays, a leaf that becomes an object, created members."""
+    own = table(spark, sf, "customer").select(F.col("c_custkey").alias("msg_id"), "c_custkey", "c_nationkey")
+    df, t = parse_tree(feeds.patients_json(spark, sf).join(own, "msg_id"), "json"), Tree("msg", "json")
+    new = t.set("identifier[0].value", F.col("c_custkey")).set("identifier[2].use", "old").set("name.given[1]", "Q").set("birthDate", None) \
+        .set("gender.text", t.get("gender")).set('meta["odd.key"].nation', F.col("c_nationkey")).set('meta["odd.key"].even', F.col("c_nationkey") % 2 == 0)
+    return df.select("msg_id", new.serialize().alias("text"))
+
+
+@query("xml_edits", """
+SELECT c_custkey AS msg_id, '<Patient xmlns="http://hl7.org/fhir"><id value="x-' || c_custkey || '"/><identifier><value value="' || c_custkey
+  || '" use="old"/></identifier><name><family value="' || c_name || '"/><given value="' || c_mktsegment || '"/><given/><given>Q &amp; A</given></name><gender value="' || g || '">'
+  || g || '</gender><contact><name><family value="' || c_name || '"/></name></contact></Patient>' AS text
+FROM (SELECT *, CASE WHEN c_nationkey % 2 = 0 THEN 'male' ELSE 'female' END AS g FROM customer)""")
+def xml_edits(spark, sf):
+    """Received resources rewritten: attributes, text in place of content, further occurrences, created elements."""
+    df, t = parse_tree(feeds.patients_xml(spark, sf), "xml"), Tree("msg", "xml")
+    new = t.set("Patient/id/@value", F.concat(F.lit("x-"), t.get("Patient/identifier/value/@value"))).set("Patient/identifier/value/@use", "old") \
+        .set("Patient/name/given[3]", "Q & A").set("Patient/gender", t.get("Patient/gender/@value")).set("Patient/contact/name/family/@value", t.get("Patient/name/family/@value"))
+    return df.select("msg_id", new.serialize().alias("text"))
+
+
+@query("csv_edits", """
+SELECT c_custkey AS msg_id, '0,' || c_custkey || ',"' || c_name || ', Ltd",' || c_mktsegment || chr(10) || '1,,' || c_name || chr(10) || '""' || chr(10)
+  || ',,"a ""b"' || '""' || chr(10) AS text FROM customer""")
+def csv_edits(spark, sf):
+    """Received rows rewritten: a number before each of the first rows, a cell beyond the last, a row beyond the last."""
+    k, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    raw = F.concat(F.lit("x,"), k, F.lit(',"'), name, F.lit('"\r\ny,,"'), name, F.lit('"\n""\n'))
+    df = parse_tree(table(spark, sf, "customer").select(F.col("c_custkey").alias("msg_id"), "c_mktsegment", raw.alias("raw")), "csv")
+    t = Tree("msg", "csv")
+    new = t.set("R.3", F.concat(t.get("R.3"), F.lit(", Ltd"))).set("R[1].4", F.col("c_mktsegment")).set("R[4].3", 'a "b"')
+    new = new.each_segment("R", lambda row, i, rows: row.set("1", i), where=lambda row, i: i < 2)
+    return df.select("msg_id", new.serialize().alias("text"))
+
+
+@query("renumbered_observations", """
+SELECT l_partkey AS part, count(*) AS n, '100;101' AS numbers, CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS BIGINT) AS first_cents,
+       l_partkey || '/PRICE' AS second_code, min('L' || l_suppkey) AS least_rep, max('L' || l_suppkey) AS greatest_rep FROM lineitem GROUP BY l_partkey""")
+def renumbered_observations(spark, sf):
+    """Every observation gets a new number and the second one a code made of both, through segment handles."""
+    df, m = parsed_hl7(feeds.results_oru(spark, sf))
+    new = m.each_segment("OBX", lambda s, i, all_: s.set("1", i + 100).set("3.1", F.when(i == 1, F.concat(all_[0].get("3.1"), F.lit("/"), s.get("3.1"))).otherwise(s.get("3.1"))))
+    new = new.each_segment("PID", lambda s, i, all_: s.set("3[2].4.2", F.concat(F.lit("L"), s.get("3.1"))))
+    df, r = parsed_hl7(df.select("msg_id", new.serialize().alias("raw")))
+    got = df.select(r.get("OBR-4.1").cast("long").alias("part"), F.array_join(r.get_all("OBX-1"), ";").alias("numbers"), cents(r.get("OBX[1]-5")).alias("cents"),
+                    r.get("OBX[2]-3.1").alias("second_code"), r.get("PID-3[2].4.2").alias("rep"))
+    return got.groupBy("part", "numbers", "second_code").agg(F.count("*").alias("n"), F.sum("cents").alias("first_cents"),
+                                                             F.min("rep").alias("least_rep"), F.max("rep").alias("greatest_rep"))
