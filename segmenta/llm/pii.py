@@ -13,7 +13,9 @@ itself and a salt: the same entity is replaced alike everywhere, however it is w
   they never run out.
 
 Collision check: as long as two entities of a type share a surrogate, or a surrogate is itself an entity of the table,
-all but the smallest take the next salt.  So distinct entities stay distinct, and nobody's real data is a surrogate.
+all but the smallest take the next salt.  So distinct entities stay distinct, and nobody's real data is a surrogate.  Where
+a format has too few values for that (one-letter addresses of a domain, short telephone numbers), every salt above
+``SAME_LENGTH`` makes a surrogate longer by a letter or digit, so there is always one more and no table is refused.
 
 How: documents that may hold an entity are marked by one regular expression and stored; entities, surrogates and their
 written forms are tables joined by equality; a document is put together from its own pieces and its own map.  All other
@@ -58,6 +60,8 @@ DETECTORS = [
     ("surname", rf"(?:{_after(_ANY)}|(?<=(?<![\p{{L}}])(?:{_ANY})\.?[ ]{_NAME}[ ])){_NAME}"),
 ]
 MAY_HOLD = rf"[@0-9]|(?:{_ANY})\.?[ ]\p{{Lu}}"
+#: Salts for which a surrogate keeps its entity's length.
+SAME_LENGTH = 4
 _MASTER = "|".join(f"({p})" for _, p in DETECTORS)
 
 #: Given names by script and gender, and syllables of surnames by script.
@@ -130,24 +134,27 @@ def _letters(text: str, stream: str) -> str:
 
 def _surrogate(table: DataFrame, key: str) -> DataFrame:
     """(type, canon, salt) with the canonical surrogate that the key and the salt give."""
+    extra = f"greatest(salt - {SAME_LENGTH}, 0)"
     seeded = table.withColumn("seed", F.concat_ws("|", F.lit(key), "type", "canon", F.col("salt").cast("string"))) \
-        .withColumn("stream", F.expr("array_join(transform(sequence(0, length(canon) div 64), j -> sha2(concat(seed, '|', j), 512)), '')")) \
+        .withColumn("grown", F.expr(f"if(type = 'email', concat(substring_index(canon, '@', 1), repeat('x', {extra})), concat(canon, repeat('0', {extra})))")) \
+        .withColumn("stream", F.expr("array_join(transform(sequence(0, length(grown) div 64), j -> sha2(concat(seed, '|', j), 512)), '')")) \
         .withColumn("first", F.expr("cast(conv(substr(stream, 1, 12), 16, 10) as bigint)")) \
         .withColumn("second", F.expr("cast(conv(substr(stream, 13, 12), 16, 10) as bigint)")).withColumn("script", F.expr(_script("canon")))
-    hexes = "array_join(transform(split(canon, ''), (c, i) -> if(c rlike '[0-9]', cast(cast(conv(substr(stream, 2 * i + 1, 2), 16, 10) % 10 as int) as string), " \
+    hexes = "array_join(transform(split(grown, ''), (c, i) -> if(c rlike '[0-9]', cast(cast(conv(substr(stream, 2 * i + 1, 2), 16, 10) % 10 as int) as string), " \
             "substr('abcdef', cast(conv(substr(stream, 2 * i + 1, 2), 16, 10) % 6 + 1 as int), 1))), '')"
     domain = "regexp_extract(canon, '@(.*)$', 1)"
     label = f"concat('d', substr(sha2(concat('{key}|domain|', {domain}), 256), 1, 9))"
-    email = f"concat({_letters('substring_index(canon, ' + chr(39) + '@' + chr(39) + ', 1)', 'stream')}, '@', {label}, '.example.', " \
+    email = f"concat({_letters('grown', 'stream')}, '@', {label}, '.example.', " \
             f"if({domain} rlike '[.](com|net|org)$', regexp_extract({domain}, '([a-z]+)$', 1), 'com'))"
     octets = "array_join(transform(sequence(0, 3), i -> cast(cast(if(i = 0, 1 + conv(substr(stream, 1, 4), 16, 10) % 223, " \
              "conv(substr(stream, 4 * i + 1, 4), 16, 10) % 256) as int) as string)), '.')"
+    octets = f"concat({octets}, if({extra} > 0, concat(':', substr(cast(first as string), 1, {extra})), ''))"
     # doubled at every second place from the right; a number is valid if the sum ends in 0
     def luhn(s: str) -> str:
         d = f"cast(substr({s}, length({s}) - i + 1, 1) as int)"
         return f"aggregate(sequence(1, length({s})), 0, (a, i) -> a + if(i % 2 = 0, if({d} > 4, 2 * {d} - 9, 2 * {d}), {d}))"
-    card = f"concat(substr(canon, 1, 1), substr({_letters('canon', 'stream')}, 2))"
-    phone = f"concat(substring_index(canon, '|', 1), '|', {_letters('substring_index(canon, ' + chr(39) + '|' + chr(39) + ', -1)', 'stream')})"
+    card = f"concat(substr(canon, 1, 1), substr({_letters('grown', 'stream')}, 2))"
+    phone = f"concat(substring_index(canon, '|', 1), '|', {_letters('substring_index(grown, ' + chr(39) + '|' + chr(39) + ', -1)', 'stream')})"
     given = " ".join(f"when type = '{kind}' and script = '{script}' then concat({_pick(names, 'first')}, {_more(names, '-')})" for (script, kind), names in GIVEN.items())
     surname = " ".join(f"when type = 'surname' and script = '{script}' then initcap(concat({_pick(s, 'first')}, {_pick(s, 'second')}, {_pick(s, 'shiftright(first, 16)')}, {_more(s, '')}))"
                        for script, s in SYLLABLES.items())
@@ -155,14 +162,14 @@ def _surrogate(table: DataFrame, key: str) -> DataFrame:
         .withColumn("card", F.expr(f"if(type = 'card' and {luhn('canon')} % 10 = 0, concat(substr(card, 1, length(card) - 1), "
                                    f"(10 - {luhn('concat(substr(card, 1, length(card) - 1), ' + chr(39) + '0' + chr(39) + ')')} % 10) % 10), card)"))
     return out.withColumn("sur", F.expr(f"case when type = 'email' then {email} when type = 'secret' then {hexes} when type = 'ipv4' then {octets} "
-                                        f"when type = 'phone' then {phone} when type = 'card' then card when type = 'ssn' then {_letters('canon', 'stream')} {given} {surname} end")) \
+                                        f"when type = 'phone' then {phone} when type = 'card' then card when type = 'ssn' then {_letters('grown', 'stream')} {given} {surname} end")) \
         .select("type", "canon", "salt", "sur")
 
 
-def surrogates(entities: DataFrame, key: str, max_rounds: int = 40) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(type, canon, sur): one surrogate for every distinct (type, canon), all distinct and none of them an entity."""
     current = stored(_surrogate(entities.select("type", "canon").distinct().withColumn("salt", F.lit(0)), key), "surrogates")
-    for _ in range(max_rounds):
+    while True:  # surrogates grow, so the rounds end
         shared = current.groupBy("type", "sur").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         real = current.select(F.col("type").alias("t2"), F.col("canon").alias("c2"))
         clash = current.join(shared, ["type", "sur"]).filter("canon != owner").select("type", "canon") \
@@ -172,15 +179,15 @@ def surrogates(entities: DataFrame, key: str, max_rounds: int = 40) -> DataFrame
         again = current.join(clash.withColumn("again", F.lit(1)), ["type", "canon"], "left")
         moved = _surrogate(again.filter("again = 1").select("type", "canon", (F.col("salt") + 1).alias("salt")), key)
         current = stored(again.filter("again is null").select("type", "canon", "salt", "sur").union(moved), "surrogates")
-    raise RuntimeError(f"surrogates still collide after {max_rounds} rounds")
 
 
 def _written(entities: DataFrame) -> DataFrame:
     """(piece, out): the surrogate in the layout of the occurrence."""
     laid = "aggregate(split(raw, ''), named_struct('k', 1, 'o', ''), (a, c) -> if(c rlike '[0-9A-Za-z]', named_struct('k', a.k + 1, " \
-           "'o', concat(a.o, if(c rlike '[A-Z]', upper(substr(flat, a.k, 1)), substr(flat, a.k, 1)))), named_struct('k', a.k, 'o', concat(a.o, c))), a -> a.o)"
+           "'o', concat(a.o, if(c rlike '[A-Z]', upper(substr(flat, a.k, 1)), substr(flat, a.k, 1)))), named_struct('k', a.k, 'o', concat(a.o, c))), a -> concat(a.o, substr(flat, a.k)))"
     mail = "if(upper(raw) = raw and lower(raw) != raw, upper(sur), concat(array_join(transform(split(substring_index(raw, '@', 1), ''), (c, i) -> " \
-           "if(c = lower(c), substr(sur, i + 1, 1), upper(substr(sur, i + 1, 1)))), ''), '@', substring_index(sur, '@', -1)))"
+           "if(c = lower(c), substr(sur, i + 1, 1), upper(substr(sur, i + 1, 1)))), ''), substr(substring_index(sur, '@', 1), length(substring_index(raw, '@', 1)) + 1), " \
+           "'@', substring_index(sur, '@', -1)))"
     return entities.withColumn("flat", F.expr("replace(sur, '|', '')")) \
         .withColumn("out", F.expr(f"case when type = 'email' then {mail} when type in ('secret', 'phone', 'card', 'ssn') then {laid} else sur end")) \
         .select("piece", "out")

@@ -226,6 +226,26 @@ def test_names_never_run_out(spark):
     assert all(script(r.canon) == script(r.sur) for r in got)
 
 
+def test_full_pools_grow(spark):
+    """All one-letter and one-digit addresses of a domain, nearly all short telephone numbers: distinct all the same, and not real."""
+    mails = [("email", f"{c}@host{d}.com") for d in range(20) for c in string.ascii_lowercase + string.digits]
+    phones = [("phone", f"49|{i:04d}") for i in range(9_000)]
+    got = pii.surrogates(spark.createDataFrame(mails + phones, "type string, canon string"), "k").collect()
+    assert {(r.type, r.canon) for r in got} == set(mails + phones) and len({(r.type, r.sur) for r in got}) == len(got) == len(mails + phones)
+    assert not {r.sur for r in got} & {c for _, c in mails + phones}
+    by_domain = {r.canon.split("@")[1]: set() for r in got if r.type == "email"}
+    for r in got:
+        if r.type == "email":
+            by_domain[r.canon.split("@")[1]].add(r.sur.split("@")[1])
+    assert all(len(x) == 1 for x in by_domain.values())
+    # written out, in the case and layout of the occurrence
+    text = " ".join(f"{c.upper()}@HOST1.COM" for c in string.ascii_lowercase) + " call +49 12-34 or +49 1234"
+    out = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    found = re.findall(r"[A-Z0-9]+@\S+", out.text)
+    assert len(set(found)) == 26 and not set(found) & set(text.split()) and out.n_entities == 28
+    assert re.search(r"call \+49 (\d\d)-(\d\d) or \+49 \1\2$", out.text)
+
+
 def test_surrogates_of_odd_documents(spark):
     docs = odd_documents(spark)
     got = pii.pseudonymise(docs)
