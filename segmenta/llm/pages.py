@@ -4,7 +4,13 @@ A page is parsed into a tree of its block elements.  Its skeleton is that tree w
 together.  The distinct skeletons of a host are aligned by simple tree matching into one wrapper.  A block of text that
 all of the host's pages with its node of the wrapper have there is template; the other blocks vary.  Content are the
 varying blocks of the article (of the body, on pages without one) outside menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments, which are known by their elements and by words of their class or id.
+adverts, forms and reader comments, which are known by their elements and by whole tokens of their class, id or role.
+
+A token names such a thing by its last word (``site-footer``, ``cookie-notice``), general words and numbers at its end
+aside (``comments-area``, ``ad-slot-2``).  It does not where the word describes a layout (``has-sidebar``,
+``content-sidebar-wrap``) or the article's own header (``article-header``; ``header`` inside an article).  What holds all of
+a page's articles is never outside, whatever its tokens, so a page's body or layout may be named after its sidebar; an
+article may be an advert by a token of its own.
 
 How: pages are parsed once and stored as blocks with their skeleton's number of the node and a 64-bit hash of the text;
 only distinct skeletons meet in a task, at most about ``VARIANTS``; a host with more page structures gets several
@@ -22,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,6 +60,10 @@ OUTSIDE_WORDS = frozenset("ad ads adv advert adverts advertisement sponsor spons
                           "navigation breadcrumb breadcrumbs sidebar aside masthead header footer comment comments disqus respond replies share social related "
                           "recommended newsletter subscribe signup login popup modal pagination pager widget toolbar skip".split())
 MAIN = frozenset("article main".split())
+#: Words of a token that say nothing of what it names, that say it describes a state, and that make a header the article's.
+GENERAL = frozenset("area areas list wrap wrapper container box bar block blocks section left right top bottom slot unit inner outer holder group row col zone region".split())
+STATES = frozenset("has with no show hide is without".split())
+OF_ARTICLE = frozenset("article post entry content story news blog main body text".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -60,6 +71,20 @@ _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def names_outside(token: str) -> str:
+    """The word by which a token of a class, id or role names something that is no main text, or nothing."""
+    words = _WORDS.findall(token)
+    if not words or words[0] in STATES:
+        return ""
+    while len(words) > 1 and (words[-1] in GENERAL or words[-1].isdigit()):
+        words.pop()
+    last = words[-1]
+    if last not in OUTSIDE_WORDS or last in ("header", "sidebar", "aside") and not OF_ARTICLE.isdisjoint(words[:-1]):
+        return ""
+    return last
+
+
 class Node:
     __slots__ = ("label", "children", "number", "by_label")
 
@@ -81,14 +106,49 @@ class Node:
 def _label(tag: str, attrs: str) -> str:
     if not attrs:
         return tag
-    words = set()
+    tokens = set()
     for m in _ATTR.finditer(attrs):
-        found = set(_WORDS.findall(next(filter(None, m.groups()[1:]), "").lower()))
+        found = {"-".join(_WORDS.findall(t)) for t in next(filter(None, m.groups()[1:]), "").lower().split()} - {""}
         # ids of flow elements number them, those of headings repeat their text
         if tag in FLOW and m[1].lower() == "id":
-            found = set() if tag in HEADINGS else found & OUTSIDE_WORDS
-        words |= found
-    return ".".join([tag, *sorted(words)])
+            found = set() if tag in HEADINGS else set(filter(names_outside, found))
+        tokens |= found
+    return ".".join([tag, *sorted(tokens)])
+
+
+def _is_main(label: str) -> bool:
+    """An article, unless a token that is one word makes it something else."""
+    tag, *tokens = label.split(".")
+    return tag in MAIN and not any(t in OUTSIDE_WORDS and t != "header" for t in tokens)
+
+
+def _is_outside(label: str, in_article: bool) -> bool:
+    tag, *tokens = label.split(".")
+    if tag in MAIN:
+        return not _is_main(label)
+    if tag in ("html", "body"):
+        return False
+    named = {names_outside(t) for t in tokens} - {""}
+    if in_article:  # the header of an article is its own
+        return tag in OUTSIDE and tag != "header" or bool(named - {"header"})
+    return tag in OUTSIDE or bool(named)
+
+
+def spare_holders(root: Node) -> None:
+    """Where all of a page's articles lie in nodes that are outside, those nodes lose what makes them so."""
+    holders, todo = [], [(root, ())]
+    while todo:
+        node, above = todo.pop()
+        if _is_main(node.label):
+            if not above:
+                return
+            holders.extend(above)
+        if _is_outside(node.label, False):
+            above = (*above, node)
+        todo.extend((c, above) for c in node.children)
+    for node in holders:
+        tag, *tokens = node.label.split(".")
+        node.label = ".".join(["div" if tag in OUTSIDE else tag, *(t for t in tokens if not names_outside(t))])
 
 
 def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -153,6 +213,7 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
         elif tag not in VOID and not m["attrs"].rstrip().endswith("/") or tag in FLOW and tag not in VOID:
             open_tags.append((tag, node))
     end_block()
+    spare_holders(root)
     return root, blocks
 
 
@@ -255,18 +316,12 @@ class Wrapper:
     def roles(self) -> dict[int, bool]:
         """By id of a node: whether its text is content as far as elements tell."""
         content: dict[int, bool] = {}
-        todo, has_main = [self.root], False
-        while todo:
-            t = todo.pop()
-            has_main |= t.label.split(".")[0] in MAIN
-            todo.extend(t.children)
+        has_main = any(_is_main(t.label) for t in _in_order(self.root))
         walk = [(self.root, not has_main, False)]
         while walk:
             t, inside, outside = walk.pop()
-            tag, *words = t.label.split(".")
-            is_main = tag in MAIN
-            outside |= (tag in OUTSIDE and not (tag == "header" and inside and has_main)) or (not is_main and not OUTSIDE_WORDS.isdisjoint(words))
-            inside |= is_main
+            outside |= _is_outside(t.label, inside and has_main)
+            inside |= _is_main(t.label)
             content[id(t)] = inside and not outside
             walk.extend((c, inside, outside) for c in t.children)
         return content

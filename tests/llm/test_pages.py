@@ -87,3 +87,73 @@ def test_many_structures(spark, monkeypatch):
 
 def test_no_pages(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_tokens_name_things_as_a_whole(spark):
+    """Layouts named after a sidebar keep the article, headers of the article are its own, adverts are none."""
+    def wrapped(before, after=""):
+        return lambda i: f"<body>{before}<article><h1>Title {i}</h1><p>Text {i}</p></article>{after}</body>"
+
+    whole = "Title {i}\nText {i}"
+    cases = {
+        "body": (lambda i: f"<body class='single right-sidebar'><article><p>Text {i}</p></article></body>", "Text {i}"),
+        "wrap": (wrapped("<div class='content-sidebar-wrap'>", "</div>"), whole), "layout": (wrapped("<div class='right-sidebar'>", "</div>"), whole),
+        "form": (wrapped("<form id='aspnet'>", "</form>"), whole),
+        "header": (lambda i: f"<body><article><div class='article-header'><h1>Title {i}</h1></div><div class='header'><p>By {i}</p></div><p>Text {i}</p></article></body>",
+                   "Title {i}\nBy {i}\nText {i}"),
+        "price": (lambda i: f"<body><article><p class='share-price'>Price {i}</p><p>Text {i}</p></article></body>", "Price {i}\nText {i}"),
+        "advert": (lambda i: f"<body><article class='advert sponsored'><p>Buy {i}</p></article><article class='post has-sidebar'><p>Text {i}</p></article></body>", "Text {i}"),
+        "teasers": (lambda i: f"<body><article><p>Text {i}</p></article><div class='sidebar-left'><article><p>Teaser {i}</p></article></div></body>", "Text {i}"),
+        "tails": (lambda i: f"<body><article><p>Text {i}</p><div class='comments-area'><p>C {i}</p></div><div id='ad-slot-2'>A {i}</div><div class='post-comments'>D {i}</div>"
+                            f"<div class='social-share'>S {i}</div></article><div class='site-footer'>F {i}</div></body>", "Text {i}"),
+    }
+    rows = [(f"http://{name}.example/{i}", make(i)) for name, (make, _) in cases.items() for i in range(4)]
+    want = [text.format(i=i) for _, text in cases.values() for i in range(4)]
+    assert run(spark, rows) == want
+
+
+def plain_reading(html):
+    """Article paragraphs that no cut element holds, by a parser of its own."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append((tag, dict(attrs).get("class", "")))
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.stack]
+            cut = any(c in CUT for t, c in self.stack if t != "body")
+            if data.strip() and "article" in tags and not cut and not set(tags) & {"aside", "nav", "footer"}:
+                self.out.append(data.strip())
+
+    reader = Reader()
+    reader.feed(html)
+    return "\n".join(reader.out)
+
+
+CUT = ("advert", "top-menu", "comments-list", "cookie-notice", "related")
+KEPT = ("intro", "share-price", "has-sidebar", "story", "box-1", "article-header")
+
+
+def test_generated_pages(spark):
+    import random
+
+    def some(rng, depth, i):
+        kind = rng.choice(["div", "section", "p", "aside"] if depth else ["p"])
+        name = rng.choice(KEPT + CUT)
+        inner = f"T {i} {rng.randrange(10 ** 9)}" if kind == "p" else "".join(some(rng, depth - 1, i) for _ in range(rng.randrange(1, 4)))
+        return f"<{kind} class='{name}'>{inner}</{kind}>"
+
+    rng, rows = random.Random(12), []
+    for i in range(60):
+        parts = ["".join(some(rng, 2, i) for _ in range(3)) for _ in range(3)]
+        rows.append((f"http://r{i % 7}.example/{i}", f"<html><body class='{rng.choice(['left-sidebar', 'home'])}'><nav>N {i}</nav>{parts[0]}"
+                     f"<article class='{rng.choice(KEPT[:5])}'>{parts[1]}</article>{parts[2]}</body></html>"))
+    assert run(spark, rows) == [plain_reading(h) for _, h in rows]
