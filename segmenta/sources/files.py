@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.trees import parse_tree
 from ..operators.chunked import id_chunk, numbered, running
+from ..session import durable
 
 MANIFEST = T.StructType([T.StructField(n, t) for n, t in (
     ("seq", T.LongType()), ("feed", T.StringType()), ("trigger", T.StringType()), ("controlId", T.StringType()),
-    ("at", T.TimestampType()), ("event", T.StringType()), ("offset", T.LongType()), ("length", T.IntegerType()))])
+    ("at", T.TimestampType()), ("event", T.StringType()), ("part", T.LongType()), ("offset", T.LongType()), ("length", T.IntegerType()))])
+#: Values of the order that make a part of a corpus, which is read whole.
+PART_ROWS = 1 << 17
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
                       T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
@@ -52,13 +56,13 @@ def read_corpus_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_rows(spark: SparkSession, path: str, width: int, header: bool = False) -> DataFrame:
-    """Whole CSV files: c1..c<width> and ``wider``, true where a row has more cells than that.
+    """CSV files: c1..c<width> and ``rest``, an array of the cells beyond.
 
-    Short rows end in NULL columns, and an empty cell is NULL, so an empty cell right after the last column does not
-    count as wider."""
-    schema = ", ".join(f"c{i} string" for i in range(1, width + 2))
-    rows = spark.read.schema(schema).option("header", header).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.select(*(f"c{i}" for i in range(1, width + 1)), F.col(f"c{width + 1}").isNotNull().alias("wider"))
+    Short rows end in NULL columns and have no rest.  A file is one text, so it is read in one task; rows come in its order."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+    rows = parse_tree(files, "csv").select(F.posexplode(F.slice("msg.rows", F.lit(2 if header else 1), F.greatest(F.size("msg.rows"), F.lit(1)))).alias("at", "r"))
+    cells = [F.get("r", F.lit(i)).alias(f"c{i + 1}") for i in range(width)]
+    return rows.select(*cells, F.slice("r", F.lit(width + 1), F.greatest(F.size("r"), F.lit(1))).alias("rest"))
 
 
 def unique_names(df: DataFrame, id_col: str, name: str = "name", chunk_rows: int = 1 << 20) -> DataFrame:
@@ -79,21 +83,41 @@ def write_append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
-def corpus_manifest(df: DataFrame, order: str = "msg_id", chunk_rows: int = 1 << 20) -> DataFrame:
-    """Add seq, offset and length in one global order, by two-level sums."""
-    size = F.length(F.col("raw").cast("binary"))
-    out = running(df.withColumn("length", size), [], [order], id_chunk(F.col(order), chunk_rows),
-                  offset=("sum", F.col("length").cast("long")), before=("sum", F.lit(1).cast("long")))
+def corpus_manifest(df: DataFrame, order: str = "msg_id", part_rows: int = PART_ROWS) -> DataFrame:
+    """Add seq in one global order, and part, offset and length of each message within its part."""
+    sized = df.withColumn("length", F.octet_length(F.col("raw"))).withColumn("part", id_chunk(F.col(order), part_rows))
+    out = running(sized, [], [order], id_chunk(F.col(order), part_rows), before=("sum", F.lit(1).cast("long")))
+    out = running(out, ["part"], [order], F.lit(0), offset=("sum", F.col("length").cast("long")))
     return out.withColumn("seq", F.col("before") + 1).drop("before")
 
 
-def write_corpus(df: DataFrame, path: str, order: str = "msg_id") -> None:
-    """Messages and manifest, both range-partitioned by the order."""
+def write_corpus(df: DataFrame, path: str, order: str = "msg_id", part_rows: int = PART_ROWS) -> None:
+    """Messages in parts of at most ``part_rows`` values of the order, one file a part, and a manifest that points into them.
+
+    The input is computed once, into the shared checkpoint folder."""
     text = F.col("raw").cast("string")
-    ended = df.withColumn("raw", F.when(text.endswith("\r"), text).otherwise(F.concat(text, F.lit("\r"))))
-    ranged = corpus_manifest(ended, order).repartitionByRange(order).sortWithinPartitions(order)
+    kept = [c for c in ("feed", "trigger", "control_id", "ts", "event") if c in df.columns]
+    ended = durable(df.select(order, *kept, F.when(text.endswith("\r"), text).otherwise(F.concat(text, F.lit("\r"))).alias("raw")))
     # the writer's separator is the CR that ends every message
     body = F.substring("raw", F.lit(1), F.length("raw") - 1)
-    ranged.select(body.alias("value")).write.mode("overwrite").option("lineSep", "\r").text(f"{path}/messages")
-    ranged.select("seq", "feed", "trigger", F.col("control_id").alias("controlId"), F.col("ts").alias("at"),
-                  F.lit("").alias("event"), "offset", "length").write.mode("overwrite").json(f"{path}/manifest")
+    ended.withColumn("part", id_chunk(F.col(order), part_rows)).repartition("part").sortWithinPartitions("part", order) \
+        .select("part", body.alias("value")).write.mode("overwrite").partitionBy("part").option("lineSep", "\r").text(f"{path}/messages")
+    has = lambda c, kind: (F.col(c) if c in kept else F.lit(None)).cast(kind)
+    corpus_manifest(ended, order, part_rows).select(
+        "seq", has("feed", "string").alias("feed"), has("trigger", "string").alias("trigger"), has("control_id", "string").alias("controlId"),
+        has("ts", "timestamp").alias("at"), F.coalesce(has("event", "string"), F.lit("")).alias("event"), "part", "offset", "length") \
+        .repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").json(f"{path}/manifest")
+
+
+def corpus_messages(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """The manifest's rows (all, or those given) with ``raw``, cut from their parts by offset and length.
+
+    A part meets its entries as one row, so its bytes are read once and not copied per message.  A row whose part is
+    missing or too short has a NULL raw."""
+    rows = read_corpus_manifest(spark, f"{path}/manifest") if manifest is None else manifest
+    entries = rows.groupBy("part").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "part"))).alias("entries"))
+    files = spark.read.format("binaryFile").option("basePath", f"{path}/messages").load(f"{path}/messages") \
+        .select(F.col("part").cast("long").alias("of"), "content")
+    cut = F.expr("transform(entries, e -> named_struct('e', e, 'raw', substring(content, e.offset + 1, e.length)))")
+    got = entries.join(files, F.col("part") == F.col("of"), "left").select("part", F.explode(cut).alias("x")).select("part", "x.e.*", "x.raw")
+    return got.withColumn("raw", F.when(F.octet_length("raw") == F.col("length"), F.col("raw")))

@@ -388,15 +388,19 @@ def stage_payloads(spark, sf):
 
 
 @query("manifest_messages", """
-SELECT c_custkey AS seq, 'C' || c_custkey AS control_id, c_name AS family FROM customer""")
+SELECT c_custkey - (SELECT min(c_custkey) FROM customer) + 1 AS seq, c_custkey // 400 AS part, 'C' || c_custkey AS control_id, c_name AS family, 'crm' AS feed FROM customer""")
 def manifest_messages(spark, sf):
-    """Corpus manifest joined to its messages on the control id."""
-    from ..sources.files import corpus_manifest
-    c = feeds.customers_hl7(spark, sf)
-    df, m = parsed_hl7(c)
-    man = corpus_manifest(c, "msg_id").select((F.col("seq") - 1).alias("seq"), F.concat(F.lit("C"), F.col("msg_id").cast("string")).alias("control_id"))
-    return man.join(df.select(m.get("MSH-10").alias("control_id"), m.get("PID-5.1").alias("family")), "control_id").select(
-        "seq", "control_id", "family")
+    """A corpus written in parts; each message is cut from its part by what the manifest says, and parsed."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.files import corpus_messages, write_corpus
+    c = feeds.customers_hl7(spark, sf).select("msg_id", "raw", F.lit("crm").alias("feed"), F.concat(F.lit("C"), F.col("msg_id").cast("string")).alias("control_id"))
+    path = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    write_corpus(c, path, part_rows=400)
+    df, m = parsed_hl7(corpus_messages(spark, path).withColumnRenamed("raw", "bytes").withColumn("raw", F.col("bytes").cast("string")))
+    # the message itself must be the one that the manifest names
+    return df.filter(m.get("MSH-10") == F.col("controlId")).select("seq", "part", m.get("MSH-10").alias("control_id"), m.get("PID-5.1").alias("family"), "feed")
 
 
 @query("state_change_feed", """

@@ -295,9 +295,18 @@ def test_files(spark, tmp_path):
         at += len(r[1])
     assert [(r.seq, r.controlId, r.offset, r.length) for r in man] == want
     files.write_append_csv(spark.createDataFrame([("a,b", 'q"x')], "x string, y string"), str(tmp_path / "csv"))
-    assert [tuple(r) for r in files.read_csv_rows(spark, str(tmp_path / "csv"), 2, header=True).collect()] == [("a,b", 'q"x', False)]
+    # several parts: every message is cut from its own part, whatever is asked for
+    files.write_corpus(df.drop("feed"), str(tmp_path / "parts"), part_rows=3)
+    man = files.read_corpus_manifest(spark, str(tmp_path / "parts" / "manifest"))
+    assert sorted((r.seq, r.part, r.offset) for r in man.collect())[2:4] == [(3, 1, 0), (4, 1, len(rows[2][1]))] and {r.feed for r in man.collect()} == {None}
+    got = files.corpus_messages(spark, str(tmp_path / "parts")).collect()
+    assert sorted((r.seq, bytes(r.raw).decode()) for r in got) == [(i, r[1]) for i, r in enumerate(rows, 1)]
+    some = files.corpus_messages(spark, str(tmp_path / "parts"), man.filter("seq in (2, 7)").withColumn("length", F.when(F.col("seq") == 7, 10_000).otherwise(F.col("length"))))
+    assert sorted((r.seq, r.raw and bytes(r.raw).decode()) for r in some.collect()) == [(2, rows[1][1]), (7, None)]
+    assert [tuple(r) for r in files.read_csv_rows(spark, str(tmp_path / "csv"), 2, header=True).collect()] == [("a,b", 'q"x', [])]
     (tmp_path / "wide.csv").write_text("a,b,c\nd\ne,\nf,g,h,i\n")
-    assert [tuple(r) for r in files.read_csv_rows(spark, str(tmp_path / "wide.csv"), 2).collect()] == [("a", "b", True), ("d", None, False), ("e", None, False), ("f", "g", True)]
+    assert [tuple(r) for r in files.read_csv_rows(spark, str(tmp_path / "wide.csv"), 2).collect()] == [
+        ("a", "b", ["c"]), ("d", None, []), ("e", "", []), ("f", "g", ["h", "i"])]
 
 
 def test_value_text(spark):
@@ -309,3 +318,33 @@ def test_value_text(spark):
 
 def test_registry_is_consistent():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 90
+
+
+def test_sessions_of_one_hot_key(spark, monkeypatch):
+    """One key, thousands of slices, chunks of a few: the same as a plain scan, and no option of the session changes."""
+    import random
+
+    from segmenta.streaming import windows
+
+    monkeypatch.setattr(windows, "SLICES", 3)
+    rng, at, rows = random.Random(3), 0, []
+    for i in range(4000):
+        at += rng.choice([0, 1, 59, 60, 61, 600])
+        rows.append(("hot" if i % 3 else "cold", at))
+    rows += [(None, 5), (None, 70), ("odd", None)]
+    df = spark.createDataFrame([(k, None if t is None else T0 + dt.timedelta(seconds=t)) for k, t in rows], "k string, ts timestamp").repartition(4)
+    want = []
+    for key in ("hot", "cold", None):
+        times = sorted(t for k, t in rows if k == key and t is not None)
+        begin = last = times[0]
+        n = 0
+        for t in times + [10 ** 9]:
+            if t - last >= 60 and n:
+                want.append((key, begin, last + 60, n))
+                begin, n = t, 0
+            last, n = t, n + 1
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.sessionWindow.merge.sessions.in.local.partition")
+    got = windows.sessions(df, "1 minute", "k").collect()
+    secs = lambda t: int((t - T0).total_seconds())
+    assert sorted(((r.k, secs(r.start), secs(r.end), r.n) for r in got), key=str) == sorted(want, key=str)
+    assert before[1] == spark.conf.get("spark.sql.sessionWindow.merge.sessions.in.local.partition")
