@@ -62,6 +62,24 @@ def occupied_beds(spark, sf):
     return ops.occupied_beds(feeds.visits(spark, sf), chunk_rows=2_000)
 
 
+_TAKEN = "SELECT bed, arg_max(visit, seq * 2 + step) AS visit FROM f GROUP BY 1 HAVING arg_max(kind, seq * 2 + step) = 'claim'"
+
+
+@query("streamed_bed_map", _BEDS + _TAKEN)
+def streamed_bed_map(spark, sf):
+    """The bed map of a stream over the events' messages, as it is when all have come."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..streaming import beds
+    own = beds.state_session(spark)
+    at = f"{checkpoint_dir(spark)}/beds-{uuid.uuid4().hex}"
+    # as a pattern: the table may be one file or a folder of them
+    stream = own.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    beds.keep_bed_map(feeds.visits_of(feeds.adt_of(stream)), f"{at}/map", f"{at}/checkpoint", available_now=True).awaitTermination()
+    return beds.current_beds(spark, f"{at}/map")
+
+
 _CENSUS = EV + """, s AS (SELECT visit, arg_max(trigger, seq) FILTER (trigger IN ('A01', 'A03', 'A11')) AS state,
   arg_max(location, seq) FILTER (trigger IN ('A01', 'A02')) AS location FROM e GROUP BY 1),
 c AS (SELECT split_part(location, '^', 1) AS unit, count(*) AS census FROM s WHERE state = 'A01' GROUP BY 1) """

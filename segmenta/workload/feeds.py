@@ -105,8 +105,11 @@ def bed(n: Column) -> Column:
 
 
 def events_adt(spark: SparkSession, sf: str) -> DataFrame:
-    """msg_id, raw: one ADT message per event; the user is the visit."""
-    e = table(spark, sf, "events")
+    return adt_of(table(spark, sf, "events"))
+
+
+def adt_of(e: DataFrame) -> DataFrame:
+    """msg_id, raw: one ADT message per event, of a table or a stream; the user is the visit."""
     trig = mapped(F.col("event_type"), EVENT_TRIGGERS)
     text = render_adt({
         "trigger": trig, "at": F.col("ts"), "control_id": F.concat(F.lit("E"), F.col("event_id").cast("string")),
@@ -126,8 +129,12 @@ def parsed_hl7(df: DataFrame) -> tuple[DataFrame, Parsed]:
 
 
 def visits(spark: SparkSession, sf: str) -> DataFrame:
+    return visits_of(events_adt(spark, sf))
+
+
+def visits_of(messages: DataFrame) -> DataFrame:
     """Event rows read back from the ADT text."""
-    df, m = parsed_hl7(events_adt(spark, sf))
+    df, m = parsed_hl7(messages)
     return df.select(
         F.col("msg_id").alias("seq"), m.get("PV1-19").alias("visit"), m.get("MSH-9.2").alias("trigger"),
         parse_hl7_time(m.get("EVN-2")).alias("ts"), m.get("PV1-3").alias("location"), m.get("PV1-6").alias("prior"),

@@ -343,8 +343,28 @@ def test_sessions_of_one_hot_key(spark, monkeypatch):
                 want.append((key, begin, last + 60, n))
                 begin, n = t, 0
             last, n = t, n + 1
-    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.sessionWindow.merge.sessions.in.local.partition")
+    option = "spark.sql.sessionWindow.merge.sessions.in.local.partition"
+    spark.conf.unset(option)
     got = windows.sessions(df, "1 minute", "k").collect()
     secs = lambda t: int((t - T0).total_seconds())
     assert sorted(((r.k, secs(r.start), secs(r.end), r.n) for r in got), key=str) == sorted(want, key=str)
-    assert before[1] == spark.conf.get("spark.sql.sessionWindow.merge.sessions.in.local.partition")
+    assert spark.conf.get(option, "unset") == "unset"
+
+
+def test_bed_map_on_a_stream(spark, tmp_path):
+    """Late acts within the lateness are put in their place, also over a restart; free beds lose their state."""
+    from segmenta.streaming import beds
+
+    own = beds.state_session(spark)
+    schema = "visit string, seq long, ts timestamp, trigger string, location string, prior string"
+    row = lambda seq, visit, trigger, location, prior="", at=None: (visit, seq, T0 + dt.timedelta(minutes=seq if at is None else at), trigger, location, prior)
+    rows = [row(1, "a", "A01", "b1"), row(2, "b", "A01", "b2"), row(4, "a", "A02", "b3", "b1"), row(6, "c", "A01", "b1"), row(9, "b", "A03", "b2"), row(7, "c", "A02", "b2", "b1"),
+            row(8, "x", "A03", "b3"), row(12, "d", "A01", "b1"), row(5, "e", "A01", "b4"), row(13, "e", "A03", "b4"), row(900, "f", "A01", "b5"), row(901, "b", "A01", "b4")]
+    parts, so_far, src, out = [rows[:4], rows[4:7], rows[7:10], rows[10:11], rows[11:]], [], str(tmp_path / "src"), str(tmp_path / "map")
+    for part in parts:  # one run each: state comes back from the checkpoint
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        so_far += part
+        beds.keep_bed_map(own.readStream.schema(schema).parquet(src), out, str(tmp_path / "cp"), available_now=True).awaitTermination()
+        want = {(r.bed, r.visit) for r in feeds.occupied_beds(spark.createDataFrame(so_far, schema)).collect()}
+        assert {(r.bed, r.visit) for r in beds.current_beds(spark, out).collect()} == want
+    assert beds.fold("a", True, [("release", "b"), ("claim", "c"), ("release", "c")]) == ("c", False)
