@@ -50,6 +50,18 @@ def test_chains_with_cycles(spark):
     assert got == {p: survivor(p) for p in links}
 
 
+def test_chain_rounds_shrink(spark):
+    """A long chain, many short ones and a ring: later rounds look at what is open alone, and the ring at itself."""
+    links = {i: i - 1 for i in range(1, 300)} | {0: None} | {1000 + i: 1000 + i // 3 * 3 for i in range(600) if i % 3} | {1000 + i: None for i in range(0, 600, 3)}
+    links |= {5000 + i: 5000 + (i + 1) % 7 for i in range(7)} | {6000: 5003, 6001: 6000}
+    rounds = []
+    got = {r.id: r.survivor for r in chains.follow(spark.createDataFrame(list(links.items()), "id long, nxt long"), "id", "nxt", rounds.append).collect()}
+    want = {i: 0 for i in range(300)} | {1000 + i: 1000 + i // 3 * 3 for i in range(600)} | {5000 + i: 5000 + i for i in range(7)} | {6000: 5003, 6001: 5003}
+    assert got == want
+    first = rounds[:rounds.index(9) + 1]  # 9 records lead into the ring
+    assert first[0] == 299 + 400 + 9 and all(a > b for a, b in zip(first, first[1:])) and first[1] < first[0] / 2 and len(rounds) < 16
+
+
 def test_retention_keeps_queued(spark):
     m = spark.createDataFrame([(i, "a") for i in range(1, 11)] + [(i, "b") for i in range(11, 14)], "msg_id long, channel_id string")
     q = spark.createDataFrame([("a", 2)], "channel_id string, msg_id long")
