@@ -179,6 +179,23 @@ def distinct_patients(spark, sf):
     return feeds.visits(spark, sf).agg(F.count_distinct("mrn").alias("patients"), F.count("*").alias("messages"))
 
 
+@query("hourly_sketches", EV + """, d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM e GROUP BY 1)
+SELECT day, n, true AS distinct_near, true AS median_near FROM d""")
+def hourly_sketches(spark, sf):
+    """Sketches of every hour, merged to days, against the exact answers: distinct patients within four standard errors,
+    the median's rank within 2 %."""
+    from ..operators import sketches
+    v = feeds.visits(spark, sf).select("ts", "mrn", F.pmod(F.xxhash64("control_id"), F.lit(100_000)).alias("value"))
+    hours = sketches.hourly(v, "ts", F.col("mrn"), F.col("value"))
+    days = sketches.merged(hours, F.to_date("hour").alias("day"), shares=(0.5,))
+    told = v.withColumn("day", F.to_date("ts")).join(days.select("day", "distinct", "q50"), "day")
+    return told.groupBy("day").agg(
+        F.count("*").alias("n"), F.count_distinct("mrn").alias("patients"), F.max("distinct").alias("told"),
+        F.count_if(F.col("value") < F.col("q50")).alias("below"), F.count_if(F.col("value") <= F.col("q50")).alias("up_to")) \
+        .select("day", "n", (F.abs(F.col("told") - F.col("patients")) <= F.greatest(F.lit(1.0), F.col("patients") * 4 * 1.04 / 2 ** (sketches.LG / 2))).alias("distinct_near"),
+                ((F.col("below") <= F.col("n") * 0.52) & (F.col("up_to") >= F.col("n") * 0.48)).alias("median_near"))
+
+
 @query("identity_crosswalk", """SELECT DISTINCT 'MAIN' AS facility, 'MAIN' || lpad(user_id::VARCHAR, 7, '0') AS mrn,
   'EID' || lpad((user_id % 40)::VARCHAR, 7, '0') AS enterprise_id FROM events""")
 def identity_crosswalk(spark, sf):

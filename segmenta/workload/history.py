@@ -244,9 +244,10 @@ def attempt_backoff(spark, sf):
 
 @query("delivery_latency", _ATTEMPTS + """
 SELECT destination_id, count(*) AS deliveries, count(*) FILTER (state = 'SENT') AS sent, count(*) FILTER (state = 'ERROR') AS dead,
-  max(epoch(last_at - first_at)) FILTER (state = 'SENT') AS max_latency FROM r GROUP BY 1""")
+  max(epoch(last_at - first_at)) FILTER (state = 'SENT') AS max_latency,
+  quantile_disc(epoch(last_at - first_at), 0.5) FILTER (state = 'SENT') AS median_latency FROM r GROUP BY 1""")
 def delivery_latency(spark, sf):
-    return delivery.latency(delivery.replay_deliveries(feeds.attempts(spark, sf), 3)).drop("median_latency")
+    return delivery.latency(delivery.replay_deliveries(feeds.attempts(spark, sf), 3))
 
 
 # ---- captures -------------------------------------------------------------
