@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import materialise
-from ..functions.delimited import SPECS, Parsed, parse_delimited
+from ..functions.delimited import Parsed
 from ..functions.outcome import ack_decision
 from ..functions.scalars import DURATION_UNITS
-from ..functions.trees import Tree, parse_tree
+from ..functions.trees import Tree
 from ..operators.store import ERROR, FILTERED, QUEUED, TRANSFORMED
+from . import formats
 
-FORMATS = ("astm", "csv", "hl7v2", "json", "xml")
 # Adapter kinds a channel may name.
 SOURCES = ("astm-listener", "file-reader", "http-listener", "mllp-listener")
 ADAPTERS = ("astm-sender", "file-writer", "http-sender", "mllp-sender")
@@ -48,15 +48,12 @@ def seconds_of(text) -> float:
 
 def parse_messages(df: DataFrame, data_type: str, raw: str = "raw", out: str = "msg") -> DataFrame:
     """Add the parsed column of any registered format."""
-    if data_type in SPECS:
-        return parse_delimited(df, SPECS[data_type], raw, out)
-    if data_type in FORMATS:
-        return parse_tree(df, data_type, raw, out)
-    raise ValueError(f'unknown data type "{data_type}" (registered: {list(FORMATS)})')
+    return formats.codec(data_type).parse(df, raw, out)
 
 
-def reader(data_type: str, col: str = "msg") -> Parsed | Tree:
-    return Parsed(col, SPECS[data_type]) if data_type in SPECS else Tree(col, data_type)
+def reader(data_type: str, col: str = "msg"):
+    """Accessors over a parsed column of any registered format."""
+    return formats.codec(data_type).view(col)
 
 
 class Message:
@@ -166,7 +163,7 @@ class Channel:
         need(self.source, "source.type is required")
         need(self.source in SOURCES, f'unknown source type "{self.source}" (registered: {list(SOURCES)})')
         need(self.data_type, "source.dataType is required")
-        need(self.data_type in FORMATS, f'unknown source dataType "{self.data_type}" (registered: {list(FORMATS)})')
+        need(self.data_type in formats.names(), f'unknown source dataType "{self.data_type}" (registered: {formats.names()})')
         need(self.destinations, "at least one destination is required")
         seen = set()
         for i, d in enumerate(self.destinations, 1):
@@ -174,7 +171,7 @@ class Channel:
             need(d.id not in seen, f'duplicate destination id "{d.id}"')
             seen.add(d.id)
             at = f"destination {d.id}: "
-            need(d.data_type in FORMATS, f'{at}unknown dataType "{d.data_type}" (registered: {list(FORMATS)})')
+            need(d.data_type in formats.names(), f'{at}unknown dataType "{d.data_type}" (registered: {formats.names()})')
             need(d.adapter, f"{at}adapter.type is required")
             need(d.adapter in ADAPTERS, f'{at}unknown adapter type "{d.adapter}" (registered: {list(ADAPTERS)})')
             need(d.max_attempts > 0 or d.max_attempts == -1, f"{at}queue.maxAttempts must be positive or -1")
@@ -251,15 +248,23 @@ class _Run:
     def translate(self, fns: list[Callable]) -> None:
         for i, fn in enumerate(fns, 1):
             m, got = self.step(fn, f"translator {i}")
-            if got is None or isinstance(got, (Message, Parsed, Tree)):
+            if got is None or isinstance(got, (Message, type(m.view))):
                 view = got.view if isinstance(got, Message) else got if got is not None else m.view
-                if view.name is None:
+                if getattr(view, "name", "") is None:
                     self.msg = f"{self.p}msg"
                     self.df = materialise(self.df, self.msg, view.col)
-                    if isinstance(view, Tree):  # a write that the structure does not allow stops its message
+                    if not isinstance(view, Parsed):  # a write that the structure does not allow stops its message
                         refused = F.col(f"{self.msg}.error")
                         self.fail(refused.isNotNull(), F.concat(F.lit(f"translator {i}: "), refused))
                 continue
+            if isinstance(got, formats.ArrowText):
+                made = f"{self.p}made"
+                kept = self.df.columns
+                self.df = materialise(self.df.withColumn(f"__{made}", got.result()), made, F.col(f"__{made}"), kept)
+                self.fail(F.col(f"{made}.error").isNotNull(), F.concat(F.lit(f"translator {i}: "), F.col(f"{made}.error")))
+                self.data_type, self.built = got.data_type, f"{self.p}text"
+                self.df = self.df.withColumn(self.built, F.when(F.col(f"{self.p}error").isNull(), F.col(f"{made}.text"))).drop(made)
+                continue
             # a built message replaces the tree and the data type
             self.data_type = _type_of(got)
             self.built = f"{self.p}text"

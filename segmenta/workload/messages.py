@@ -11,6 +11,7 @@ from ..functions.trees import Tree, parse_tree
 from ..operators.leaves import added_removed, diff, flatten_delimited, flatten_tree, invalid_and_valid, rebuild, segment_rows
 from ..plans import translators as tr
 from ..plans.channel import Channel, Destination, run_channel
+from ..plans.formats import ArrowText
 from . import feeds
 from .feeds import parsed_hl7, table
 from .registry import query
@@ -482,3 +483,25 @@ def renumbered_observations(spark, sf):
                     r.get("OBX[2]-3.1").alias("second_code"), r.get("PID-3[2].4.2").alias("rep"))
     return got.groupBy("part", "numbers", "second_code").agg(F.count("*").alias("n"), F.sum("cents").alias("first_cents"),
                                                              F.min("rep").alias("least_rep"), F.max("rep").alias("greatest_rep"))
+
+
+@query("arrow_step", """
+SELECT c_custkey AS msg_id, CASE WHEN c_custkey % 97 = 5 THEN 'ERROR' ELSE 'TRANSFORMED' END AS state,
+  CASE WHEN c_custkey % 97 = 5 THEN 'translator 1: ValueError: no code for ' || c_name ELSE '' END AS error_text,
+  CASE WHEN c_custkey % 97 <> 5 THEN c_custkey || ',"' || reverse(c_name) || ', ' || c_mktsegment || '"' END AS line FROM customer""")
+def arrow_step(spark, sf):
+    """A user's function over Arrow batches as a step of a chain; the rows it fails on stop alone."""
+    def coded(batch):
+        out = []
+        for mrn, name, given in zip(*(c.to_pylist() for c in batch.columns)):
+            if int(mrn) % 97 == 5:
+                raise ValueError(f"no code for {name}")
+            out.append(f'{mrn},"{name[::-1]}, {given}"\n')
+        return out
+
+    def translate(m):
+        return ArrowText(coded, "csv", mrn=m.get("PID-3"), name=m.get("PID-5.1"), given=m.get("PID-5.2"))
+
+    ch = Channel("codes", "mllp-listener", "hl7v2", [Destination("out", "file-writer", "csv")], transformers=[translate])
+    msgs, _ = run_channel(ch, feeds.customers_hl7(spark, sf).withColumn("meta", F.create_map().cast("map<string,string>")))
+    return msgs.select("msg_id", "state", "error_text", F.rtrim(F.replace(F.col("transformed").cast("string"), F.lit("\n"), F.lit(" "))).alias("line"))

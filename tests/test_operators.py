@@ -380,3 +380,58 @@ def test_bed_map_on_a_stream(spark, tmp_path):
         want = {(r.bed, r.visit) for r in feeds.occupied_beds(spark.createDataFrame(so_far, schema)).collect()}
         assert {(r.bed, r.visit) for r in beds.current_beds(spark, out).collect()} == want
     assert beds.fold("a", True, [("release", "b"), ("claim", "c"), ("release", "c")]) == ("c", False)
+
+
+def test_further_format_and_arrow_step(spark):
+    """A sixth format is registered, read and written by a channel; an Arrow step fails on its own rows alone."""
+    from segmenta.plans import formats
+
+    class Pairs:
+        """Lines of key=value."""
+        def __init__(self, col, name=None):
+            self.name, self.col = name, col
+            self.error, self.map = col["error"], col["pairs"]
+
+        def get(self, path):
+            return F.try_element_at(self.map, F.lit(path))
+
+        def set(self, path, value):
+            changed = F.map_concat(F.map_filter(self.map, lambda k, _: k != path), F.create_map(F.lit(path), F.lit(value)))
+            return Pairs(F.struct(self.error.alias("error"), changed.alias("pairs")))
+
+        def serialize(self):
+            return F.array_join(F.transform(F.array_sort(F.map_entries(self.map)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
+
+    def parse(df, raw, out):
+        text = F.col(raw).cast("string")
+        error = F.when(~text.contains("="), F.lit("pairs: no pair"))
+        return df.withColumn(out, F.struct(error.alias("error"), F.str_to_map(text, F.lit("\n"), F.lit("=")).alias("pairs")))
+
+    formats.register(formats.Codec("pairs", parse, lambda col: Pairs(F.col(col), col)))
+    try:
+        with pytest.raises(ValueError):
+            formats.register(formats.Codec("pairs", parse, Pairs))
+        assert formats.names() == ["astm", "csv", "hl7v2", "json", "pairs", "xml"]
+        rows = spark.createDataFrame([(1, "a=1\nb=2"), (2, "nothing"), (3, "b=x"), (4, "b=8")], "msg_id long, raw string").withColumn("meta", F.create_map().cast("map<string,string>"))
+        ch = Channel("c", "mllp-listener", "pairs", [Destination("d", "file-writer", "pairs")], transformers=[lambda m: m.set("c", "new")])
+        got = {r.msg_id: r for r in run_channel(ch, rows)[0].collect()}
+        assert {i: r.transformed and bytes(r.transformed).decode() for i, r in got.items()} == {1: "a=1\nb=2\nc=new", 2: None, 3: "b=x\nc=new", 4: "b=8\nc=new"}
+        assert got[2].error_text == "parse (pairs): pairs: no pair"
+
+        def half(batch):
+            return [f"b={int(b) // 2}" for b in batch["b"].to_pylist()]
+
+        ch = Channel("c", "mllp-listener", "pairs", [Destination("d", "file-writer", "pairs")],
+                     transformers=[lambda m: formats.ArrowText(half, "pairs", b=m.get("b")), lambda m: m.set("z", "after")])
+        got = {r.msg_id: (r.state, r.error_text, r.transformed and bytes(r.transformed).decode()) for r in run_channel(ch, rows)[0].collect()}
+        assert got[1] == ("TRANSFORMED", "", "b=1\nz=after") and got[4] == ("TRANSFORMED", "", "b=4\nz=after") and got[2][0] == got[3][0] == "ERROR"
+        assert got[3][1].startswith("translator 1: ValueError: invalid literal") and got[3][2] is None
+        short = Channel("c", "mllp-listener", "pairs", [Destination("d", "file-writer", "pairs")], transformers=[lambda m: formats.ArrowText(lambda b: [], "pairs", b=m.get("b"))])
+        assert {r.error_text for r in run_channel(short, rows.filter("msg_id = 1"))[0].collect()} == {"translator 1: ValueError: 0 texts for 1 messages"}
+    finally:
+        formats.unregister("pairs")
+    # a write that a received message does not allow stops that message
+    ch = Channel("j", "http-listener", "json", [Destination("d", "file-writer", "json")], transformers=[lambda m: m.set("a[0]", 1)])
+    rows = spark.createDataFrame([(1, '{"a":{"b":1}}'), (2, '{"a":[2,3]}')], "msg_id long, raw string").withColumn("meta", F.create_map().cast("map<string,string>"))
+    got = {r.msg_id: (r.state, r.error_text) for r in run_channel(ch, rows)[0].collect()}
+    assert got == {1: ("ERROR", 'translator 1: json: path "a[0]": [0] applied to an object with keys'), 2: ("TRANSFORMED", "")}
