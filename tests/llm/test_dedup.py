@@ -54,6 +54,26 @@ def test_repeated_bytes_of_odd_documents(spark):
     assert left.columns == docs.columns and left.count() == docs.count()
 
 
+def test_passages_of_over_fifty_words(spark):
+    """Passages of 51 to 90 words that repeat across documents, among clean ones that share shorter lines: byte for byte as by
+    brute force, whole passages of 400 bytes and more, and nothing of those below, which the length leaves alone."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    passages = [" ".join(word() for _ in range(rng.randint(51, 90))) for _ in range(40)]
+    lines = [" ".join(word() for _ in range(30)) for _ in range(6)]
+    rows = []
+    for i in range(160):
+        body = [word() for _ in range(rng.randint(20, 300))]
+        body.insert(rng.randrange(len(body)), passages[i // 2] if i < 80 else rng.choice(lines))
+        rows.append((i, " ".join(body)))
+    got = {r.doc_id: r for r in substrings.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_bytes([t for _, t in rows], 400)
+    assert all((got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w for (i, _), w in zip(rows, want))
+    long = {i for i in range(80) if len(passages[i // 2]) >= 400}
+    assert 20 < len(long) < 70 and {i for i, r in got.items() if r.n_removed} >= long and all(got[i].n_removed >= len(passages[i // 2]) for i in long)
+    assert all(got[i].n_removed == 0 for i in range(80, 160))
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     texts = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(1, 60))) for _ in range(12)] + [b"aaaa", b"aaaa"]
