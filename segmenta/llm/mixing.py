@@ -7,8 +7,9 @@ budget.  Every epoch of a source is a keyed permutation of its documents; whole
 lasts and the last one up to the document that reaches it.  The copies, in that order, are dealt evenly over the blocks
 of the output, so that every block holds the sources at their weights.
 
-How: sources' totals are one aggregate; the bisection is an expression over the array of totals (one row a source, its
-number is checked); running token counts of a permutation are taken in slices of the hash range whose number grows with
+How: sources' totals are one stored aggregate.  Up to ``MAX_SOURCES`` of them the bisection is an expression over the array
+of totals and the plan is broadcast; above, every step's sums are an aggregate over the sources and the plan is joined by
+a shuffle.  Running token counts of a permutation are taken in slices of the hash range whose number grows with
 the source, so a source with a third of all rows is spread like any other.  No Python; texts are not shuffled.
 
 Defined cases: NULL text has no tokens; NULL source is a source of its own; a source without tokens gets nothing; rows
@@ -17,9 +18,13 @@ that repeat are separate rows; an empty table gives an empty mix; ties in the pe
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 STEPS = 60
 MAX_SOURCES = 100_000
 SLICE_ROWS = 4096
@@ -31,9 +36,35 @@ def n_tokens(text: Column) -> Column:
 
 def source_plan(counted: DataFrame, target_entropy: float, max_epochs: float, budget_share: float, block_tokens: int) -> DataFrame:
     """One row per source with tokens: source, tokens, n_docs, exponent, weight, quota, full_epochs, rest, n_blocks."""
-    per = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).filter("tokens > 0")
+    return _plan(_sources(counted), target_entropy, max_epochs, budget_share, block_tokens)
+
+
+def _sources(counted: DataFrame) -> DataFrame:
+    return stored(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).filter("tokens > 0"), "sources")
+
+
+def _by_sums(per: DataFrame, target_entropy: float, max_epochs: float, budget_share: float) -> DataFrame:
+    """The sources with total, budget, exponent and z, the sums of every step taken over the table."""
+    one = per.agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("k"), F.min("tokens").alias("least")).first()
+    share = F.col("tokens").cast("double") / one.total
+    sums = lambda a: per.agg(F.sum(F.pow(share, F.lit(a))).alias("z"), F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias("l")).first()
+    low, high, low_epochs, high_epochs = 0.0, 1.0, 0.0, 1.0
+    for _ in range(STEPS):
+        mid = (low + high) / 2
+        at = sums(mid)
+        low, high = (mid, high) if math.log(at.z) - mid * at.l / at.z >= target_entropy * math.log(one.k) else (low, mid)
+        mid = (low_epochs + high_epochs) / 2
+        epochs = (one.least / one.total) ** mid / sums(mid).z / (one.least / one.total) * budget_share
+        low_epochs, high_epochs = (mid, high_epochs) if epochs > max_epochs else (low_epochs, mid)
+    exponent = round(max(low, high_epochs), 9)
+    return per.select(F.lit(one.total).alias("total"), F.lit(math.floor(one.total * budget_share)).cast("long").alias("budget"), F.lit(exponent).alias("exponent"),
+                      F.lit(sums(exponent).z).alias("z"), "tokens", "n_docs", "source")
+
+
+def _by_array(per: DataFrame, target_entropy: float, max_epochs: float, budget_share: float) -> DataFrame:
+    """The same for sources that fit an array, as one expression."""
     one = per.agg(F.collect_list(F.struct("tokens", "n_docs", "source")).alias("all"), F.sum("tokens").alias("total")) \
-        .withColumn("all", F.expr(f"if(size(all) > {MAX_SOURCES}, raise_error('too many sources'), array_sort(all))")) \
+        .withColumn("all", F.expr("array_sort(all)")) \
         .withColumn("ps", F.expr("transform(all, x -> cast(x.tokens as double) / total)")) \
         .withColumn("budget", F.expr(f"cast(floor(total * {budget_share}D) as bigint)"))
     z = "aggregate(ps, 0D, (s, p) -> s + power(p, {a}))"
@@ -51,7 +82,12 @@ def source_plan(counted: DataFrame, target_entropy: float, max_epochs: float, bu
         .withColumn("by_epochs", F.expr(bisect(f"{epochs} > {max_epochs}D"))) \
         .withColumn("exponent", F.expr("round(greatest(by_entropy.lo, by_epochs.hi), 9)")) \
         .withColumn("z", F.expr(z.format(a="exponent")))
-    plan = one.select("total", "budget", "exponent", "z", F.inline("all")) \
+    return one.select("total", "budget", "exponent", "z", F.inline("all"))
+
+
+def _plan(per: DataFrame, target_entropy: float, max_epochs: float, budget_share: float, block_tokens: int, many: bool | None = None) -> DataFrame:
+    many = per.count() > MAX_SOURCES if many is None else many
+    plan = (_by_sums if many else _by_array)(per, target_entropy, max_epochs, budget_share) \
         .withColumn("weight", F.expr("power(cast(tokens as double) / total, exponent) / z")) \
         .withColumn("quota", F.expr("cast(floor(weight * budget + 0.5D) as bigint)")) \
         .withColumn("full_epochs", F.expr("quota div tokens")).withColumn("rest", F.expr("quota % tokens")) \
@@ -59,7 +95,7 @@ def source_plan(counted: DataFrame, target_entropy: float, max_epochs: float, bu
     return plan.select("source", "tokens", "n_docs", "exponent", "weight", "quota", "full_epochs", "rest", "n_blocks")
 
 
-def mix(docs: DataFrame, target_entropy: float = 0.98, max_epochs: float = 4.0, budget_share: float = 0.5,
+def mix(docs: DataFrame, target_entropy: float = 0.98, max_epochs: float = 4.0, budget_share: float = 1.0,
         block_tokens: int = 100_000, seed: int = 7) -> DataFrame:
     """One row per copy in the mix: doc_id, source, epoch, block, token_offset, n_tokens, perm.
 
@@ -69,13 +105,16 @@ def mix(docs: DataFrame, target_entropy: float = 0.98, max_epochs: float = 4.0,
     return mix_counted(counted, target_entropy, max_epochs, budget_share, block_tokens, seed)
 
 
-def mix_counted(counted: DataFrame, target_entropy: float = 0.98, max_epochs: float = 4.0, budget_share: float = 0.5,
+def mix_counted(counted: DataFrame, target_entropy: float = 0.98, max_epochs: float = 4.0, budget_share: float = 1.0,
                 block_tokens: int = 100_000, seed: int = 7) -> DataFrame:
     """The same from (doc_id, source, n_tokens)."""
-    plan = source_plan(counted, target_entropy, max_epochs, budget_share, block_tokens).filter("quota > 0") \
+    per = _sources(counted)
+    many = per.count() > MAX_SOURCES
+    plan = _plan(per, target_entropy, max_epochs, budget_share, block_tokens, many).filter("quota > 0") \
         .withColumn("slices", F.expr(f"greatest(1L, (n_docs + {SLICE_ROWS - 1}) div {SLICE_ROWS})"))
-    # one short row a source, and source_plan has checked how many there are
-    copies = counted.join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))) \
+    # one short row a source, broadcast where their number is known to be small
+    plan = plan.withColumnRenamed("source", "s")
+    copies = counted.join(plan if many else F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))) \
         .drop("s").withColumn("epoch", F.explode(F.expr("sequence(0, full_epochs)"))) \
         .filter("epoch < full_epochs or rest > 0") \
         .withColumn("perm", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))) \
@@ -116,7 +155,7 @@ SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
 per AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY source HAVING sum(n) > 0),
 tot AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, CAST(min(tokens) AS DOUBLE) / CAST(sum(tokens) AS BIGINT) AS p0, count(*) AS k,
-               CAST(floor(CAST(sum(tokens) AS BIGINT) * 0.5::DOUBLE) AS BIGINT) AS budget, list(CAST(tokens AS DOUBLE) ORDER BY tokens) AS ts FROM per),
+               CAST(floor(CAST(sum(tokens) AS BIGINT) * 1.0::DOUBLE) AS BIGINT) AS budget, list(CAST(tokens AS DOUBLE) ORDER BY tokens) AS ts FROM per),
 sh AS (SELECT list_transform(ts, lambda t: t / total) AS ps, p0, k, total, budget FROM tot),
 bis AS (SELECT 0 AS i, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0::DOUBLE AS lo2, 1::DOUBLE AS hi2
   UNION ALL SELECT i + 1,
@@ -125,7 +164,7 @@ bis AS (SELECT 0 AS i, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0::DOUBLE AS lo2, 1::DO
   FROM (SELECT bis.*, k,
       ln(list_sum(list_transform(ps, lambda p: power(p, (lo + hi) / 2)))) - (lo + hi) / 2 * list_sum(list_transform(ps, lambda p: power(p, (lo + hi) / 2) * ln(p)))
          / list_sum(list_transform(ps, lambda p: power(p, (lo + hi) / 2))) AS h,
-      power(p0, (lo2 + hi2) / 2) / list_sum(list_transform(ps, lambda p: power(p, (lo2 + hi2) / 2))) / p0 * 0.5 AS e
+      power(p0, (lo2 + hi2) / 2) / list_sum(list_transform(ps, lambda p: power(p, (lo2 + hi2) / 2))) / p0 * 1.0 AS e
     FROM bis, sh WHERE i < 60)),
 ex AS (SELECT round(greatest(lo, hi2), 9) AS a FROM bis WHERE i = 60),
 pl AS (SELECT source, tokens, CAST(floor(power(CAST(tokens AS DOUBLE) / total, a) / z * budget + 0.5) AS BIGINT) AS quota,

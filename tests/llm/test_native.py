@@ -109,13 +109,16 @@ def mixing_fixture(spark, big=600):
 MIXED = ("doc_id", "source", "epoch", "block", "token_offset", "n_tokens", "perm")
 
 
-def test_mixing(spark, monkeypatch):
+@pytest.mark.parametrize("max_sources", [100_000, 0])
+def test_mixing(spark, monkeypatch, max_sources):
     monkeypatch.setattr(mixing, "SLICE_ROWS", 16)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", max_sources)  # 0: sums by aggregates, the plan by a shuffle
+    monkeypatch.setattr(mixing, "STEPS", 60 if max_sources else 32)
     docs = mixing_fixture(spark)
     got = mixing.mix(docs).collect()
     assert Counter(tuple(r[n] for n in MIXED) for r in got) == in_duckdb(mixing.SQL, MIXED, documents=docs)
     tokens = {r.source: r.t for r in docs.select("source", mixing.n_tokens(docs.text).alias("t")).groupBy("source").sum("t").withColumnRenamed("sum(t)", "t").collect()}
-    plan = {r.source: r for r in mixing.source_plan(docs.select("source", mixing.n_tokens(docs.text).alias("n_tokens")), 0.98, 4.0, 0.5, 100_000).collect()}
+    plan = {r.source: r for r in mixing.source_plan(docs.select("source", mixing.n_tokens(docs.text).alias("n_tokens")), 0.98, 4.0, 1.0, 100_000).collect()}
     assert abs(sum(r.weight for r in plan.values()) - 1) < 1e-9
     read = Counter()
     for r in got:
