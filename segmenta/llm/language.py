@@ -23,10 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared
+from .common import shared, small_enough, stored
 from .words import LETTER, byte_view, mixed, owner, pieces, runs, span_hashes
 
 SAMPLE_DOCS = 1_000
+BROADCAST_BYTES = 8 << 20
 MIN_COUNT = 2
 ORDERS = (5, 4, 3, 2, 1)
 WORD, EDGE = 0, 0x10FFFF
@@ -119,8 +120,10 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     ids = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("known")).filter("id is not null and known is not null") \
         .filter(~held_out(F.col("id"))).withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 24))
     # a language's share of hashes that holds about twice the bound is enough to rank, so no task ranks a whole language
-    many = ids.groupBy("known").agg(F.count(F.lit(1)).alias("m"))
-    some = ids.join(many, "known").filter(F.col("h") < F.lit(float(1 << 40)) * (2 * per_language + 100) / F.col("m")).dropDuplicates(["id", "known"])
+    many = stored(ids.groupBy("known").agg(F.count(F.lit(1)).alias("m")), "languages")
+    # broadcast where measured as small, so that only what is ranked is dealt out by language
+    hint = F.broadcast if small_enough(many, BROADCAST_BYTES, "known") else (lambda df: df)
+    some = ids.join(hint(many), "known").filter(F.col("h") < F.lit(float(1 << 40)) * (2 * per_language + 100) / F.col("m")).dropDuplicates(["id", "known"])
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("known").orderBy("h", "id"))).filter(F.col("rank") <= per_language).select("id", "known")
 
 
