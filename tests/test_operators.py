@@ -435,3 +435,45 @@ def test_further_format_and_arrow_step(spark):
     rows = spark.createDataFrame([(1, '{"a":{"b":1}}'), (2, '{"a":[2,3]}')], "msg_id long, raw string").withColumn("meta", F.create_map().cast("map<string,string>"))
     got = {r.msg_id: (r.state, r.error_text) for r in run_channel(ch, rows)[0].collect()}
     assert got == {1: ("ERROR", 'translator 1: json: path "a[0]": [0] applied to an object with keys'), 2: ("TRANSFORMED", "")}
+
+
+def test_small_rules(spark, tmp_path):
+    """Outcomes, error texts, single rows and routes, unique channels, states of messages, payload files, several sinks."""
+    df = spark.createDataFrame([("AA", True), ("CA", False), ("", None), ("AE", True), (None, False)], "code string, ok boolean")
+    assert [r[0] for r in df.select(outcome.ack_accepted(F.col("code"))).collect()] == [True, True, True, False, True]
+    assert [r[0] for r in df.select(outcome.e1381_outcome(F.col("ok"))).collect()] == ["sent", "transient", "transient", "sent", "transient"]
+    body = spark.createDataFrame([("  oops \n",), ("",), (" \n",), ("x" * 600,), ("é" * 300,)], "b string")
+    assert [r[0] for r in body.select(sc.snippet(F.col("b"))).collect()][:4] == [": oops", "", "", ": " + "x" * 512]
+    raw = "MSH|^~\\&|A||||||ADT^A31|1\rPID|1||M1||DOE^JO||19800102\r"
+    msgs = parse_delimited(spark.createDataFrame([(raw,), (raw.replace("A31", "A08"),)], "raw string"), HL7V2)
+    m = Parsed("msg", HL7V2)
+    assert [r[0] for r in msgs.select(tr.patient_csv_row(m).text()).collect()] == ["M1,DOE,JO,19800102\n"] * 2
+    route = tr.fhir_patient_routing(m)
+    assert [tuple(r) for r in msgs.select(route["http.method"], route["http.path"]).collect()] == [("PUT", "/fhir/Patient/M1"), (None, None)]
+    from segmenta.functions.trees import Tree, parse_tree
+    from segmenta.plans.channel import check_unique
+    x = parse_tree(spark.createDataFrame([("<Patient><id value='1'/></Patient>",), ("<Device><id/></Device>",)], "raw string"), "xml")
+    assert [r[0] for r in x.select(tr.fhir_xml_rejection(Tree("msg", "xml"))[0]).collect()] == [False, True]
+    a, b = (Channel(i, "mllp-listener", "hl7v2", [Destination("d", "file-writer", "hl7v2")]) for i in "ab")
+    assert [c.id for c in check_unique([b, a])] == ["a", "b"]
+    with pytest.raises(ValueError):
+        check_unique([a, b, a])
+    log = spark.createDataFrame([(1, None, 1, "RECEIVED", None, T0), (1, None, 3, "ERROR", "bad", T0), (1, "d", 4, "SENT", None, T0), (2, None, 2, "RECEIVED", None, T0)],
+                                "msg_id long, destination_id string, event_seq long, state string, error string, ts timestamp")
+    assert sorted((r.msg_id, r.state, r.error_text) for r in store.latest_message_state(log).collect()) == [(1, "ERROR", "bad"), (2, "RECEIVED", "")]
+    out = spark.createDataFrame([(i, "c", "d", f"p{i}") for i in range(4)], "msg_id long, channel_id string, destination_id string, payload string")
+    files.write_payloads(out, str(tmp_path / "p"), F.when(F.col("msg_id") < 3, "same").otherwise("own"))
+    got = spark.read.parquet(str(tmp_path / "p"))
+    assert sorted((r.unique_name, r.payload, r.channel_id) for r in got.collect()) == [("own", "p3", "c"), ("same", "p0", "c"), ("same.1", "p1", "c"), ("same.2", "p2", "c")]
+    rows = spark.createDataFrame([("v1", 1, "A01", "b1"), ("v1", 2, "A02", "b2"), ("v2", 3, "A01", "b1")], "visit string, seq long, trigger string, location string")
+    assert sorted(map(tuple, stateful.live_locations(rows).collect())) == [("v1", "A02", "b2"), ("v2", "A01", "b1")]
+    rows.write.parquet(str(tmp_path / "s"))
+    met = []
+
+    def bad(batch, number):
+        raise RuntimeError("down")
+
+    q = intake.multi_sink(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "s")), {"bad": bad, "good": lambda b, n: met.append(b.count())}, str(tmp_path / "cpm"), True)
+    with pytest.raises(Exception, match="bad: down"):
+        q.awaitTermination()
+    assert met == [3]
