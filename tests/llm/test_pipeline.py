@@ -34,7 +34,7 @@ def test_stages(spark, tmp_path):
     assert set(seen["quality"]) == set(texts) - set(range(100, 200))
     assert clean <= set(seen["near_dup"]) and not set(seen["near_dup"]) & set(range(200, 205))
     assert set(seen["decontaminate"]) == set(seen["near_dup"]) - {300}
-    assert set(seen["mix"]) <= set(seen["decontaminate"]) and len(seen["mix"]) >= 20
+    assert set(seen["mix"]) <= set(seen["decontaminate"]) and len(seen["mix"]) >= 55
     assert sorted(seen["tokens"]) == sorted(seen["mix"])
 
 
@@ -46,5 +46,5 @@ def test_run(spark, tmp_path):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert set(queries.QUERIES) | {"pipeline"} <= names and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.QUERIES) | {"pipeline"} <= names and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
