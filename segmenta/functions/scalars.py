@@ -84,6 +84,9 @@ def value_text(col: Column, type_name: str) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+_JSON_SPECIAL = '[\\\\"\\x00-\\x1f\u2028\u2029]'
+
+
 def json_quote_sql(t: str) -> str:
     """JSON string literal of ``t`` as SQL text; markup is not escaped."""
     pairs = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"),
@@ -96,13 +99,13 @@ def json_quote_sql(t: str) -> str:
     rare = (f"array_join(transform(split({short}, {cut}), j -> CASE WHEN j RLIKE {ctl} "
             f"THEN concat({sql_text(chr(92) + 'u00')}, lower(hex(j))) ELSE j END), '')")
     odd = sql_text(r"[\x00-\x07\x0b\x0e-\x1f]")
-    special = sql_text('[\\\\"\\x00-\\x1f\u2028\u2029]')
-    return (f"concat('\"', CASE WHEN {t} RLIKE {special} THEN CASE WHEN {t} RLIKE {odd} THEN {rare} ELSE {short} END "
+    return (f"concat('\"', CASE WHEN {t} RLIKE {sql_text(_JSON_SPECIAL)} THEN CASE WHEN {t} RLIKE {odd} THEN {rare} ELSE {short} END "
             f"ELSE {t} END, '\"')")
 
 
 def json_quote(text: Column) -> Column:
-    return bind(text, "t -> " + json_quote_sql("t"))
+    """The same of a column; texts without anything to escape stay in compiled code."""
+    return F.coalesce(F.when(text.rlike(_JSON_SPECIAL), bind(text, "t -> " + json_quote_sql("t"))), F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def json_number_ok(text: Column) -> Column:
@@ -162,14 +165,24 @@ def duration_seconds(text: Column) -> Column:
 
 def checksum(number: Column, text: Column, terminator: Column) -> Column:
     """Frame checksum: byte sum of number, text and terminator, mod 256, as
-    two upper-case hex digits.  ``text`` holds one byte per character."""
-    hexed = F.hex(F.encode(F.concat(number, text, terminator), "ISO-8859-1"))
-    # Counting each hex digit among the high and the low halves costs a fixed
-    # number of string passes, where a fold would evaluate once per byte.
-    count = lambda part, digit: f"(length(x.{part}) - length(replace(x.{part}, '{digit}', '')))"
-    total = " + ".join(f"{v} * (16 * {count('hi', f'{v:X}')} + {count('lo', f'{v:X}')})" for v in range(1, 16))
-    halves = "named_struct('hi', regexp_replace(h, '(.).', '$1'), 'lo', regexp_replace(h, '.(.)', '$1'))"
-    return bind(hexed, f"h -> get(transform(array({halves}), x -> lpad(hex(({total}) % 256), 2, '0')), 0)")
+    two upper-case hex digits.  ``text`` holds one byte per character.
+
+    No built-in sums bytes, so a batch of frames is summed at once in Arrow."""
+    import numpy as np
+    import pyarrow as pa
+
+    digits = [f"{v:02X}" for v in range(256)]
+
+    def sums(batch: pa.Array) -> pa.Array:
+        _, offsets, data = batch.cast(pa.large_binary()).buffers()
+        ends = np.frombuffer(offsets, np.int64)[batch.offset:batch.offset + len(batch) + 1] if len(batch) else np.zeros(1, np.int64)
+        held = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.zeros(0, np.uint8)
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(held, dtype=np.int64)])[ends - ends[0]]
+        missing = batch.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(digits).take(pa.array(np.diff(total) % 256, mask=missing))
+
+    sums.__annotations__ = {"batch": pa.Array, "return": pa.Array}
+    return F.arrow_udf(sums, returnType="string")(F.encode(F.concat(number, text, terminator), "ISO-8859-1"))
 
 
 def frame_number(index: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import materialise
 from ..functions.scalars import checksum, frame_number
 
 # Control characters of the two framings.
@@ -76,7 +77,7 @@ def deframe_e1381(frames: DataFrame, col: str = "frame", max_text: int = FRAME_S
     df = df.withColumn("__before", F.regexp_extract(body, "^([^\x03\x17]*)", 1))
     df = df.withColumns({"__term": F.call_function("substring", body, F.length(before) + 1, F.lit(1)),
                          "__tail": F.call_function("substring", body, F.length(before) + 2, F.lit(4))})
-    df = df.withColumn("__want", checksum(number, before, term))
+    df = df.withColumn("__want", checksum(number, F.substring(before, 1, max_text), term))
     error = (F.when(t == "", "unexpected EOF")
              .when(~t.startswith(STX), F.concat(F.lit("astm1381: expected STX, got 0x"), F.hex(_bytes(F.substring(t, 1, 1)))))
              .when(F.length(t) < 2, "unexpected EOF")
@@ -103,7 +104,8 @@ def frame_e1381(df: DataFrame, key: list[str], col: str = "raw", frame_size: int
     cut = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.length(r) - 1) / frame_size).cast("int")),
                                 lambda k: F.call_function("substring", r, k * frame_size + 1, F.lit(frame_size)))
     texts = F.flatten(F.transform(F.filter(records, lambda r: r != ""), cut))
-    got = df.select(*key, F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit(""))).alias("__x"))
+    # materialised, else the filter that an explode implies would cut every payload again, at the scan
+    got = materialise(df, "__x", F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit(""))), key)
     got = got.select(*key, F.size("__x").alias("__n"), F.posexplode("__x").alias("__i", "text"))
     last = F.col("__i") == F.col("__n") - 1
     number = frame_number(F.col("__i") + 1)
@@ -123,40 +125,47 @@ def assemble_e1381(frames: DataFrame, max_message: int = MAX_MESSAGE) -> DataFra
     the same; a gap refuses the rest of the session.  A message is the text of the frames taken up to a last one, in
     order; an unfinished one is dropped, a too large one noted.
 
-    All of it is running values and aggregates: a connection or session with very many frames is spread over tasks."""
+    All of it is running values and aggregates: a connection or session with very many frames is spread over tasks.  Each
+    pass keeps what later passes read and nothing else, so that its rows and its totals come from one exchange, and
+    messages and notes come from one aggregate: no pass is run twice."""
     from ..operators.chunked import id_chunk, running
     at, signal, quiet = F.col("arrival"), F.col("signal"), F.col("signal").isNull()
-    seen = running(frames, ["conn"], ["arrival"], id_chunk(at), session=("sum", F.when(signal == ENQ, 1).otherwise(0)),
-                   under=("last", signal)).withColumn("session", (F.col("session") + F.when(signal == ENQ, 1).otherwise(0)).cast("int"))
+    chunk, number, own = id_chunk(at), F.col("__n"), F.col("__own")
+    seen = running(frames.select("conn", "arrival", "signal", "number", "text", "last", "error"), ["conn"], ["arrival"], chunk,
+                   session=("sum", F.when(signal == ENQ, 1).otherwise(0)), under=("last", signal))
     foreign = F.coalesce(F.col("error").startswith("astm1381: expected STX"), F.lit(False))
-    stray = quiet & ((F.coalesce("under", F.lit(EOT)) == EOT) | foreign)
-    ends = seen.filter(stray).groupBy(F.col("conn").alias("__conn")).agg(F.min("arrival").alias("__end"))
-    live = seen.join(ends, F.col("conn") == F.col("__conn"), "left").filter(F.col("__end").isNull() | (at <= F.col("__end"))).filter(quiet) \
-        .withColumn("outside", F.coalesce(at == F.col("__end"), F.lit(False)))
-    number = F.when(~F.col("outside") & F.col("error").isNull(), F.col("number").cast("int"))
+    heard = seen.filter(quiet).select(
+        "conn", "arrival", F.col("session").cast("int").alias("session"), F.when(F.col("error").isNull(), F.col("number").cast("int")).alias("__n"),
+        "text", "last", "error", ((F.coalesce("under", F.lit(EOT)) == EOT) | foreign).alias("__stray"))
+    # the first stray of a connection, as seen from the rows behind it, is its end
+    ended = running(heard, ["conn"], ["arrival"], chunk, __end=("max", F.when(F.col("__stray"), -at))).withColumn("__end", -F.col("__end"))
+    outside = F.coalesce(at == F.col("__end"), F.col("__stray"))
+    fault = (F.when(outside & foreign, F.col("error")).when(outside, "frame outside a session")
+             .when(F.col("error").isNotNull(), F.concat(F.lit("nak: "), F.col("error"))))
+    live = ended.filter(F.col("__end").isNull() | (at <= F.col("__end"))).select(
+        "conn", "session", "arrival", "text", "last", fault.alias("__fault"), F.when(~outside, number).alias("__n"))
     beyond = lambda n, before: F.pmod(n - F.coalesce(F.col(before), F.lit(0)), F.lit(8))  # a session's first frame is number 1
-    key, chunk = ["conn", "session"], id_chunk(at)
-    near = running(live.withColumn("__n", number), key, ["arrival"], chunk, __prev=("last", number), __next=("next", number))
-    foreign_number = (beyond(F.col("__n"), "__prev") > 1) & F.coalesce(beyond(F.col("__next"), "__prev") <= 1, F.lit(False))
-    own = F.when(~foreign_number, F.col("__n"))
-    steps = running(near.withColumn("__own", own), key, ["arrival"], chunk, __before=("last", own)) \
-        .withColumn("__step", beyond(F.col("__own"), "__before"))
-    gaps = running(steps, key, ["arrival"], chunk, gaps=("sum", F.when(F.col("__step") > 1, 1).otherwise(0)))
-    judged = gaps.withColumn("taken", F.coalesce((F.col("__step") == 1) & (F.col("gaps") == 0), F.lit(False)))
-    placed = running(judged, key, ["arrival"], chunk, message=("sum", F.when(F.col("taken") & F.col("last"), 1).otherwise(0)))
-    texts = placed.filter("taken").groupBy("conn", "session", "message").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "text"))), lambda x: x["text"]), "").alias("text"),
+    key, rest = ["conn", "session"], ["conn", "session", "arrival", "text", "last", "__fault"]
+    near = running(live, key, ["arrival"], chunk, __prev=("last", number), __next=("next", number))
+    foreign_number = (beyond(number, "__prev") > 1) & F.coalesce(beyond(F.col("__next"), "__prev") <= 1, F.lit(False))
+    steps = running(near.select(*rest, F.when(~foreign_number, number).alias("__own")), key, ["arrival"], chunk, __before=("last", own))
+    step, gaps = F.col("__step"), F.col("__gaps")
+    judged = steps.select(*rest, beyond(own, "__before").alias("__step"), F.col("__before").isNotNull().alias("__again"))
+    # before a gap every next number was taken; behind it nothing is, so its count of messages is of no matter
+    placed = running(judged, key, ["arrival"], chunk, __gaps=("sum", F.when(step > 1, 1).otherwise(0)),
+                     __message=("sum", F.when((step == 1) & F.col("last"), 1).otherwise(0)))
+    taken = F.col("__taken")
+    note = F.when(F.col("__fault").isNotNull(), F.col("__fault")).when((step == 0) & (gaps == 0) & F.col("__again"), "duplicate").otherwise("nak: wrong frame number")
+    # a message is a group; every other frame is one of its own, with its note
+    groups = placed.withColumn("__taken", F.coalesce((step == 1) & (gaps == 0), F.lit(False))).groupBy(
+        "conn", "session", taken, F.when(taken, F.col("__message")).alias("__message"), F.when(~taken, at).alias("__at"), F.when(~taken, note).alias("__note")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(taken, F.struct("arrival", "text")))), lambda x: x["text"]), "").alias("text"),
         F.min("arrival").alias("first_arrival"), F.count("*").cast("int").alias("frames"), F.bool_or("last").alias("done"), F.sum(F.length("text")).alias("size"))
-    fits = F.col("size") <= max_message
-    messages = texts.filter("done").select(
+    fits = taken & (F.col("size") <= max_message)
+    rows = F.array_repeat(F.lit(0), F.when(taken, F.when(F.col("done"), 1).otherwise(0)).otherwise(F.col("frames")))
+    return groups.select("*", F.explode(rows).alias("__row")).select(
         "conn", "session", F.when(fits, _bytes(F.col("text"))).alias("raw"), "first_arrival", F.when(fits, F.col("frames")).otherwise(0).alias("frames"),
-        F.when(~fits, "message too large").alias("note"))
-    note = (F.when(F.col("outside") & foreign, F.col("error")).when(F.col("outside"), "frame outside a session")
-            .when(F.col("error").isNotNull(), F.concat(F.lit("nak: "), F.col("error")))
-            .when((F.col("__step") == 0) & (F.col("gaps") == 0) & F.col("__before").isNotNull(), "duplicate").otherwise("nak: wrong frame number"))
-    notes = judged.filter(~F.col("taken")).select("conn", "session", F.lit(None).cast("binary").alias("raw"), at.alias("first_arrival"),
-                                                  F.lit(0).alias("frames"), note.alias("note"))
-    return messages.unionByName(notes)
+        F.when(~taken, F.col("__note")).when(~fits, "message too large").alias("note"))
 
 
 def ingest_http(df: DataFrame, path: str, max_body: int = MAX_MESSAGE, authorized: Column | None = None) -> DataFrame:

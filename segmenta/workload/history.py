@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import outcome
@@ -301,21 +299,19 @@ def e1381_assembly(spark, sf):
     f = captures.frame_e1381(_astm_orders(spark, sf), ["conn"])
     again = F.when((F.col("conn") % 5 == 0) & (F.col("idx") == 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     f = captures.deframe_e1381(f.select("*", F.explode(again).alias("copy")).drop("number", "text", "last"))
-    key = F.col("conn") * 1000
-    data = f.select("conn", (key + F.col("idx") * 2 + F.col("copy")).alias("arrival"), F.lit(None).cast("string").alias("signal"),
-                    "number", "text", "last", "error")
-    enq = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("conn"), (F.col("o_orderkey") * 1000).alias("arrival"), F.lit(captures.ENQ).alias("signal"),
-        *(F.lit(None).cast(t).alias(n) for n, t in (("number", "string"), ("text", "string"), ("last", "boolean"), ("error", "string"))))
-    k, none = F.col("conn"), {"number": "string", "text": "string", "last": "boolean"}
-    blank = lambda df, signal, error: df.withColumns({"signal": signal, "error": error, **{c: F.lit(None).cast(t) for c, t in none.items()}}).select(data.columns)
-    stray = blank(enq.filter(k % 7 == 3).withColumn("arrival", k * 1000 + 3), F.lit(None).cast("string"), F.lit("astm1381: expected STX, got 0x58"))
-    close = blank(enq.filter(k % 7 == 4).withColumn("arrival", k * 1000 + 900), F.lit(captures.EOT), F.lit(None).cast("string"))
-    once = data.filter((k % 7 == 4) & ((F.col("arrival") - k * 1000) % 2 == 0))
-    late = once.filter(F.col("arrival") == k * 1000 + 2).withColumn("arrival", k * 1000 + 901)
-    again_open = blank(enq.filter(k % 7 == 4).withColumn("arrival", k * 1000 + 902), F.lit(captures.ENQ), F.lit(None).cast("string"))
-    unheard = once.withColumn("arrival", F.col("arrival") + 902)
-    every = reduce(lambda a, b: a.unionByName(b), [data, enq, stray, close, late, again_open, unheard])
+    k = F.col("conn")
+    at = k * 1000 + F.col("idx") * 2 + F.col("copy")
+    once = (k % 7 == 4) & ((at - k * 1000) % 2 == 0)
+    arrivals = F.concat(F.array(at), F.array_compact(F.array(F.when(once & (at == k * 1000 + 2), k * 1000 + 901), F.when(once, at + 902))))
+    data = f.select("conn", F.explode(arrivals).alias("arrival"), F.lit(None).cast("string").alias("signal"), "number", "text", "last", "error")
+    row = lambda at, signal, error=None: F.struct(at.alias("arrival"), F.lit(signal).cast("string").alias("signal"), F.lit(error).cast("string").alias("error"))
+    others = F.array_compact(F.array(
+        F.when(k % 7 == 3, row(k * 1000 + 3, None, "astm1381: expected STX, got 0x58")),
+        F.when(k % 7 == 4, row(k * 1000 + 900, captures.EOT)), F.when(k % 7 == 4, row(k * 1000 + 902, captures.ENQ))))
+    marks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("conn")).select(
+        "conn", F.explode(F.concat(F.array(row(k * 1000, captures.ENQ)), others)).alias("x")).select(
+        "conn", "x.arrival", "x.signal", *(F.lit(None).cast(t).alias(n) for n, t in (("number", "string"), ("text", "string"), ("last", "boolean"))), "x.error")
+    every = data.unionByName(marks)
     got = captures.assemble_e1381(every.withColumn("conn", F.col("conn").cast("string")))
     df, a = parse_delimited(got, ASTM), Parsed("msg", ASTM)
     return df.groupBy(F.col("conn").cast("long").alias("conn")).agg(

@@ -477,3 +477,40 @@ def test_small_rules(spark, tmp_path):
     with pytest.raises(Exception, match="bad: down"):
         q.awaitTermination()
     assert met == [3]
+
+
+def _final_plan(df):
+    """The plan as it ran, without the plan it began with."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_assembly_reads_its_frames_once(spark):
+    f = captures.frame_e1381(spark.range(60).select(F.col("id").alias("conn"), F.concat(F.lit("H|\\^&\rO|1|"), F.col("id").cast("string"), F.lit("\r")).alias("raw")), ["conn"])
+    f = captures.deframe_e1381(f.select("conn", "idx", "frame")).select(
+        F.col("conn").cast("string").alias("conn"), (F.col("conn") * 100 + F.col("idx")).alias("arrival"), F.lit(None).cast("string").alias("signal"), "number", "text", "last", "error")
+    opened = spark.range(1000, 1060).select((F.col("id") - 1000).alias("k")).select(F.col("k").cast("string").alias("conn"), (F.col("k") * 100).alias("arrival"), F.lit(captures.ENQ).alias("signal"), *(
+        F.lit(None).cast(t).alias(n) for n, t in (("number", "string"), ("text", "string"), ("last", "boolean"), ("error", "string"))))
+    out = captures.assemble_e1381(f.unionByName(opened))
+    assert _final_plan(out).count("Range (") == 2  # frames and openings
+    assert {bytes(r.raw).decode() for r in out.collect()} == {f"H|\\^&\rO|1|{k}\r" for k in range(60)}
+
+
+def test_notes_of_repeated_rows_are_kept(spark):
+    rows = [("c", 0, captures.ENQ, None, None, None, None)] + [("c", 5, None, "4", "x", False, None)] * 3 + [("c", 9, None, None, None, None, "checksum")]
+    s = spark.createDataFrame(rows, "conn string, arrival long, signal string, number string, text string, last boolean, error string")
+    assert sorted(r.note for r in captures.assemble_e1381(s).collect()) == ["nak: checksum"] + ["nak: wrong frame number"] * 3
+
+
+def test_payloads_are_cut_once(spark):
+    f = captures.frame_e1381(spark.range(3).select("id", F.concat(F.lit("H|"), F.col("id").cast("string"), F.lit("\r")).alias("raw")), ["id"])
+    filters = [x for x in f._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("split(" in x for x in filters)
+
+
+def test_checksum_of_bytes(spark):
+    draw = random.Random(3)
+    rows = [(k, None if k % 11 == 0 else "".join(chr(draw.randrange(256)) for _ in range(draw.choice([0, 1, 240])))) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(3)
+    want = {k: None if t is None else f"{(sum(t.encode('latin-1')) + ord('1') + 3) % 256:02X}" for k, t in rows}
+    assert {r.k: r.c for r in df.select("k", sc.checksum(F.lit("1"), F.col("t"), F.lit("\x03")).alias("c")).collect()} == want
