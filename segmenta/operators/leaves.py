@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import materialise
 from ..functions.delimited import DelimitedSpec, Parsed, split_on
 from ..functions.trees import Tree
 
@@ -93,7 +94,8 @@ def segment_rows(df: DataFrame, keys: list[str], spec: DelimitedSpec, msg: str =
     p = Parsed(msg, spec)
     segs = p.segs if name is None else p.segments(name)
     explode = F.posexplode_outer if outer else F.posexplode
-    return df.select(*keys, explode(segs).alias("pos", "fields"))
+    # materialised, else the filter that an explode implies would search the message again
+    return materialise(df, "__segs", segs, keys).select(*keys, explode("__segs").alias("pos", "fields"))
 
 
 def invalid_and_valid(df: DataFrame, data_type: str, msg: str = "msg") -> tuple[DataFrame, DataFrame]:

@@ -514,3 +514,22 @@ def test_checksum_of_bytes(spark):
     df = spark.createDataFrame(rows, "k int, t string").repartition(3)
     want = {k: None if t is None else f"{(sum(t.encode('latin-1')) + ord('1') + 3) % 256:02X}" for k, t in rows}
     assert {r.k: r.c for r in df.select("k", sc.checksum(F.lit("1"), F.col("t"), F.lit("\x03")).alias("c")).collect()} == want
+
+
+def test_odd_leaves_of_every_rule(spark):
+    """Leaves with and without anything to encode, of several rules, in fixed and in repeated segments."""
+    from segmenta.functions.builder import new_message
+    vals = ["plain", "a^b~c&d|e\\f", "x\ty", "", None, "\\X41\\ & \\Q\\"]
+    df = spark.createDataFrame([(i, v, w) for i, v in enumerate(vals) for w in vals], "i int, v string, w string")
+    v, w = F.col("v"), F.col("w")
+    fixed = new_message("hl7v2").set("OBX-1", v).set("OBX-2.1", w).set("OBX-3.1.1", v).set("OBX-4", "k").text()
+    again = new_message("hl7v2").repeat("OBX", F.array(F.struct("v", "w")), lambda s, x, i: s.set("1", x["v"]).set("2.1", x["w"]).set("3.1.1", x["v"]).set("4", "k")).text()
+    codes = {"|": "\\F\\", "^": "\\S\\", "&": "\\T\\", "~": "\\R\\", "\\": "\\E\\", "\t": "\\X09\\"}
+    plain = lambda t, keep: "".join(c if c in keep else codes.get(c, c) for c in t or "")
+    for r in df.select("v", "w", fixed.alias("f"), again.alias("g")).collect():
+        assert r.f == r.g
+        if "Q" not in (r.v or "") + (r.w or ""):  # sequences that no reader knows stay as they are
+            assert r.f == f"OBX|{plain(r.v, '^&')}|{plain(r.w, '&')}|{plain(r.v, '')}|k\r"
+    quoted = df.select("v", new_message("json").set("a", v).set("b[1]", w).text().alias("j"), "w").collect()
+    import json
+    assert all(json.loads(r.j) == {"a": r.v or "", "b": [None, r.w or ""]} for r in quoted)
