@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import materialise
 from .chunked import id_chunk, running, time_chunk
 
 # Trigger events by what they do to a visit.
@@ -153,8 +154,10 @@ def identity_crosswalk(messages: DataFrame, identifiers: Column) -> DataFrame:
 
     ``identifiers``: ARRAY<STRUCT<id, authority, type>> of one message; both
     ids sit in the same message, so pairing needs no join."""
-    of = lambda kind: F.filter(identifiers, lambda x: (x["type"] == kind) & (x["id"] != ""))
-    mr = messages.select(F.explode(of("MR")).alias("mr"), F.get(of("PI"), F.lit(0)).alias("pi"))
+    of = lambda kind: F.filter("__ids", lambda x: (x["type"] == kind) & (x["id"] != ""))
+    # materialised, else the filter that an explode implies would read the identifiers again
+    both = materialise(messages.select(identifiers.alias("__ids")), "__kinds", F.struct(of("MR").alias("mr"), F.get(of("PI"), F.lit(0)).alias("pi")), [])
+    mr = both.select(F.explode("__kinds.mr").alias("mr"), F.col("__kinds.pi").alias("pi"))
     return mr.filter(F.col("pi").isNotNull()).select(
         F.col("mr.authority").alias("facility"), F.col("mr.id").alias("mrn"), F.col("pi.id").alias("enterprise_id")).distinct()
 

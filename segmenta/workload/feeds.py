@@ -24,11 +24,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
+ROWS_A_TASK = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rendering and parsing are far more work than reading, so a scan with
-    fewer splits than cores is dealt out first; a large one stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rendering and parsing are far more work than reading, so rows are dealt
+    out where the scan has too few splits: at least one a core, and no task
+    with many more rows than ``ROWS_A_TASK`` however few files hold them."""
+    splits = df.rdd.getNumPartitions()
+    least = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    return df.repartition(least) if splits < least else df
 
 
 def numbered_lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:

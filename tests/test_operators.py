@@ -533,3 +533,28 @@ def test_odd_leaves_of_every_rule(spark):
     quoted = df.select("v", new_message("json").set("a", v).set("b[1]", w).text().alias("j"), "w").collect()
     import json
     assert all(json.loads(r.j) == {"a": r.v or "", "b": [None, r.w or ""]} for r in quoted)
+
+
+def test_rows_are_dealt_to_more_tasks_than_cores(spark, tmp_path, monkeypatch):
+    from segmenta.workload import feeds
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(feeds, "ROWS_A_TASK", 90)
+    df = feeds.table(spark, str(tmp_path), "t")
+    sizes = [len(p) for p in df.rdd.glom().collect()]
+    assert len(sizes) == 12 and max(sizes) <= 90
+    assert sorted(r.id for r in df.collect()) == list(range(1000))
+
+
+def test_identifiers_and_segments_are_read_once(spark):
+    """The filter that an explode implies must not hold the search through the message."""
+    from segmenta.operators.leaves import segment_rows
+    raw = "MSH|^~\\&|A\rPID|1||7^^^F^MR~9^^^E^PI\rOBX|1\rOBX|2\r"
+    df, m = parse_delimited(spark.createDataFrame([(1, raw)], "msg_id int, raw string").repartition(2), HL7V2), Parsed("msg", HL7V2)
+    rows = segment_rows(df, ["msg_id"], HL7V2, name="OBX")
+    ids = F.transform(F.arrays_zip(m.get_all("PID-3.1").alias("id"), m.get_all("PID-3.4").alias("authority"), m.get_all("PID-3.5").alias("type")),
+                      lambda x: F.struct(x["id"].alias("id"), x["authority"].alias("authority"), x["type"].alias("type")))
+    pairs = feeds.identity_crosswalk(df, ids)
+    for out in (rows, pairs):
+        assert not any("lambdafunction" in x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x)
+    assert [(r.pos, r.fields) for r in rows.orderBy("pos").collect()] == [(0, ["OBX", "1"]), (1, ["OBX", "2"])]
+    assert [tuple(r) for r in pairs.collect()] == [("F", "7", "9")]
