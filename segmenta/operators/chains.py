@@ -56,8 +56,10 @@ def follow(df: DataFrame, id_col: str, next_col: str, on_round: Callable[[int],
 
     Cycles are safe: a record on a cycle is its own survivor, and a chain that leads into a cycle ends at the first record
     of the cycle it meets.  ``on_round`` is told how many records a round has to look at."""
-    links = durable(df.filter(F.col(next_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(next_col).alias("to")))
-    own = df.filter(F.col(next_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("to"))
+    # read once: ``df`` may be parsed from text
+    known = durable(df.select(F.col(id_col).alias("id"), F.col(next_col).alias("to")))
+    links = known.filter(F.col("to").isNotNull())
+    own = known.filter(F.col("to").isNull()).select("id", F.col("id").alias("to"))
     parts, circling = _ends(links, on_round)
     parts = [own, *parts]
     if circling is not None:

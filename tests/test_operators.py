@@ -558,3 +558,16 @@ def test_identifiers_and_segments_are_read_once(spark):
         assert not any("lambdafunction" in x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x)
     assert [(r.pos, r.fields) for r in rows.orderBy("pos").collect()] == [(0, ["OBX", "1"]), (1, ["OBX", "2"])]
     assert [tuple(r) for r in pairs.collect()] == [("F", "7", "9")]
+
+
+def test_chains_read_their_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(k):
+        read.add(1)
+        return k
+
+    df = spark.range(40).select(seen.asNondeterministic()("id").alias("id")).select("id", F.when(F.col("id") >= 10, F.col("id") - 10).alias("to"))
+    assert {(r.id, r.survivor) for r in chains.follow(df, "id", "to").collect()} == {(k, k % 10) for k in range(40)}
+    assert read.value == 40
