@@ -571,3 +571,19 @@ def test_chains_read_their_input_once(spark):
     df = spark.range(40).select(seen.asNondeterministic()("id").alias("id")).select("id", F.when(F.col("id") >= 10, F.col("id") - 10).alias("to"))
     assert {(r.id, r.survivor) for r in chains.follow(df, "id", "to").collect()} == {(k, k % 10) for k in range(40)}
     assert read.value == 40
+
+
+def test_rendered_admissions_compile_to_short_methods(spark):
+    """A method of more than 8,000 bytes is never compiled to machine code."""
+    from segmenta.workload import feeds as work
+    kinds = F.array(*(F.lit(k) for k in work.EVENT_TRIGGERS))
+    events = spark.range(10).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 1000).alias("ts"),
+                                    F.col("id").alias("user_id"), F.get(kinds, (F.col("id") % 6).cast("int")).alias("event_type"))
+    df = work.adt_of(events)
+    code = df._jdf.queryExecution().debug().codegenToSeq()
+    assert 0 < max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.length())) < 8000
+    raw = {r.msg_id: r.raw for r in df.collect()}
+    assert raw[5] is None and raw[2] == (
+        "MSH|^~\\&|SIM|SIMNET|RCV|TEST|19700101003320||ADT^A03^ADT_A03|E2|T|2.5.1\rEVN|A03|19700101003320||||19700101003320\r"
+        "PID|1||MAIN0000002^^^MAIN^MR~EID0000002^^^SIMNET^PI||FAM2^G^||19800101|F\r"
+        "PV1|1|I|U0^R2^1^MAIN||||||||||||||||V000000002|||||||||||||||||||||||||19700101003320|19700101003320\r")
