@@ -244,7 +244,9 @@ def _delims_error(d: str, spec: DelimitedSpec) -> str:
             checks.append((f"{c} IN ({', '.join(f'{d}.{o}' for o in roles[:i])})", "is used twice"))
         for cond, text in checks:
             cases += f" WHEN {cond} THEN concat('{spec.name}: header delimiters: delimiter \"', {c}, '\" {text}')"
-    return f"CASE{cases} END"
+    # the format's own delimiters need no tests
+    usual = f"concat({', '.join(f'{d}.{r}' for r in roles)}) = {sql_text(''.join(spec.defaults[r] for r in roles))}"
+    return f"CASE WHEN {usual} THEN NULL{cases} END"
 
 
 def _header_delims(head: str, spec: DelimitedSpec) -> str:
@@ -275,8 +277,8 @@ def parse_delimited(df: DataFrame, spec: DelimitedSpec, raw: str = "raw", out: s
     is_head = lambda line: f"substring({line}, 1, {n}) IN ({names})"
     df = df.withColumn(bw, F.expr(f"coalesce({bytewise}, false)"))
     df = df.withColumn(lines, F.expr(
-        f"filter(split(replace(coalesce(CASE WHEN {bw} THEN decode({source}, 'ISO-8859-1') ELSE {text} END, ''), "
-        f"'\\n', '\\r'), '\\r'), x -> x <> '')"))
+        f"array_remove(split(replace(coalesce(CASE WHEN {bw} THEN decode({source}, 'ISO-8859-1') ELSE {text} END, ''), "
+        f"'\\n', '\\r'), '\\r'), '')"))
     h = f"coalesce(get({lines}, 0), '')"
     headed = f"({is_head(h)} AND length({h}) > {n})"
     df = df.withColumn(dl, F.expr(_header_delims(h, spec)))
@@ -298,9 +300,13 @@ def parse_delimited(df: DataFrame, spec: DelimitedSpec, raw: str = "raw", out: s
                f"WHEN {is_head(line)} AND length({line}) > {n} THEN NULL "
                f"WHEN {is_head(line)} THEN concat({where}header segment ', {name}, ' has no field separator') "
                f"ELSE concat({where}expected \"', {sep}, '\" after segment name ', {name}) END")
+    # a header with encoding characters, then good names of no headers: nothing to look for
+    heads = "|".join(spec.headers)
+    plain = (f"array_join(transform({segs}, s -> s[0]), '\\r') RLIKE {sql_text(rf'^(?:{heads})(?:\r(?!(?:{heads})(?:\r|\z)){spec.name_pattern})*\z')} "
+             f"AND NOT (size(get({segs}, 0)) = 3 AND get(get({segs}, 0), 2) = '')")
     error = (f"CASE WHEN size({lines}) = 0 THEN '{spec.name}: empty message' "
              f"WHEN NOT {headed} THEN '{spec.name}: message must start with a header segment ({spec.header_hint})' "
-             f"WHEN {dx}.e IS NOT NULL THEN {dx}.e ELSE get(transform(array({bad_at}), b -> {seg_err}), 0) END")
+             f"WHEN {dx}.e IS NOT NULL THEN {dx}.e WHEN {plain} THEN NULL ELSE get(transform(array({bad_at}), b -> {seg_err}), 0) END")
     return materialise(df, out, F.expr(
         f"named_struct('error', {error}, 'bytewise', {bw}, 'd', {dx}.d, 'segs', {segs})"), given)
 
@@ -362,20 +368,38 @@ class _Sql:
         return found if raw else f"transform({found}, f -> {self.show('f')})"
 
     def get(self, p: Path) -> str:
-        if p.field <= self.spec.raw_fields(p.seg):
-            return f"get({self._all(p)[0]}, 0)"
+        if p.field <= self.spec.raw_fields(p.seg) or p.occ > 1:
+            return self._get_any(p)
+        # The first segment of the name decides in most messages.  It is found by its place among the names, which all
+        # reads of one projection share, in compiled code; all segments are searched only where it leaves a choice.
+        names = f"transform({self.c}.segs, s -> s[0])"
+        first = f"get({self.c}.segs, cast(array_position({names}, '{p.seg}') AS INT) - 1)"
+        field = f"get({first}, {p.field})"
+        value = self.nth(field, "rep", max(p.rep, 1))
+        for idx, sep in ((p.comp, "comp"), (p.sub, "sub")):
+            if idx:
+                value = self.nth(value, sep, idx)
+        more = [] if p.occ else [f"size({names}) - size(array_remove({names}, '{p.seg}')) > 1"]
+        if not p.rep and max(p.comp, p.sub) > 1:
+            more.append(f"contains({field}, {self.d}.rep)")
+        if more:
+            value = f"coalesce({value}, CASE WHEN {' OR '.join(more)} THEN {self._found(p)} END)"
+        return self.show(value)
+
+    def _get_any(self, p: Path) -> str:
+        return f"get({self._all(p)[0]}, 0)" if p.field <= self.spec.raw_fields(p.seg) else self.show(self._found(p))
+
+    def _found(self, p: Path) -> str:
+        """The first match in wire form, of all segments of the name."""
         if (p.comp <= 1 and p.sub <= 1 and p.rep <= 1) or (p.occ and p.rep):
-            # The first segment that has the field decides.  The search by name
-            # is the same expression for every field of a segment, so all
-            # reads of one projection share it.
             segs = self.segments(p.seg)
             seg = f"get({segs}, {p.occ - 1})" if p.occ else f"get(filter({segs}, s -> size(s) > {p.field}), 0)"
             value = self.nth(f"get({seg}, {p.field})", "rep", max(p.rep, 1))
             for idx, sep in ((p.comp, "comp"), (p.sub, "sub")):
                 if idx:
                     value = self.nth(value, sep, idx)
-            return self.show(value)
-        return self.show(f"get({self._all(p)[0]}, 0)")
+            return value
+        return f"get({self._all(p)[0]}, 0)"
 
 
 class Parsed:
@@ -632,12 +656,16 @@ class Parsed:
         def canon(f):
             return F.when(F.contains(f, d["esc"]) | f.rlike(CONTROL), self._rewrite(f, d)).otherwise(f)
 
+        def joined(fields):
+            """Tested as a whole; field by field only where the test finds something."""
+            return let(join_with(fields, sep), lambda t: F.when(
+                F.contains(t, d["esc"]) | t.rlike(CONTROL), join_with(F.transform(fields, canon), sep)).otherwise(t))
+
         def line(s):
             body = F.when(s[0].isin(*self.spec.headers), F.concat(
                 s[0], sep, F.coalesce(F.get(s, F.lit(2)), F.lit("")),
-                F.when(F.size(s) > 3, F.concat(sep, join_with(
-                    F.transform(F.slice(s, F.lit(4), F.size(s)), canon), sep))).otherwise(F.lit(""))))
-            return body.otherwise(join_with(F.transform(s, canon), sep))
+                F.when(F.size(s) > 3, F.concat(sep, joined(F.slice(s, F.lit(4), F.size(s))))).otherwise(F.lit(""))))
+            return body.otherwise(joined(s))
 
         return F.concat(F.array_join(F.transform(self.segs, line), "\r"), F.lit("\r"))
 

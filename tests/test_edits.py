@@ -329,3 +329,27 @@ def test_many_segments_are_linear(spark):
     df = parse_delimited(spark.createDataFrame([(0, raw)], "id int, raw string"), HL7V2)
     got = texts(df, Parsed("msg", HL7V2).each_segment("OBX", lambda s, i, all_: s.set("1", i + 7)).serialize())[0]
     assert got == re.sub(r"OBX\|(\d+)", lambda m: f"OBX|{int(m[1]) + 7}", raw)
+
+
+def test_reads_take_the_first_match_of_any_segment_or_repetition(spark):
+    head = "MSH|^~\\&|A||||||ADT^A01"
+    bodies = ["PID|1||~^^z||^g~h^i^k", "PID\rPID|1||3^4~5^6&7||f^g", "PID|1||a\rPID|2||b^c~^d&e||~~x^y^z", "ZZZ|1", "PID|1||a\\T\\b^c\\X41\\"]
+    df = spark.createDataFrame([(i, f"{head}\r{b}") for i, b in enumerate(bodies)], "id int, raw string").repartition(2)
+    df, m = parse_delimited(df, HL7V2), Parsed("msg", HL7V2)
+    paths = ["PID-3", "PID-3.1", "PID-3.2", "PID-3.3", "PID-3[2].1", "PID-3[2].2.2", "PID-5.2", "PID-5.3", "PID[1]-3.2", "PID[2]-3", "MSH-9.2"]
+    for r in df.select(*(m.get(p).alias(f"one_{i}") for i, p in enumerate(paths)), *(m.get_all(p).alias(f"all_{i}") for i, p in enumerate(paths))).collect():
+        for i, p in enumerate(paths):
+            assert r[f"one_{i}"] == next(iter(r[f"all_{i}"]), None), p
+    # the first segment of a name is found in compiled code: a search through all of them stands below a CASE only
+    plan = df.select(m.get("PID-3").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" in plan
+
+
+def test_serialised_fields_are_tested_a_segment_at_a_time(spark):
+    raws = ["MSH|^~\\&|a\\T\\b|c\rPID|1||x\\X41\\y^z\\Zq\\|\\E\\|t\rPV1||||", "MSH|^~\\&\rPID|1|2|3", "MSH|^~\\&||\rZZZ|\x02a|b\\X0D\\"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "id int, raw string").repartition(2)
+    df, m = parse_delimited(df, HL7V2), Parsed("msg", HL7V2)
+    df = df.select("id", m.serialize().alias("t"))
+    assert [r.t for r in df.orderBy("id").collect()] == [
+        "MSH|^~\\&|a\\T\\b|c\rPID|1||xAy^z\\Zq\\|\\E\\|t\rPV1||||\r", "MSH|^~\\&\rPID|1|2|3\r", "MSH|^~\\&||\rZZZ|\\X02\\a|b\\X0D\\\r"]
+    assert "array(array_join(" in df._jdf.queryExecution().optimizedPlan().toString()
