@@ -90,10 +90,16 @@ def rebuild(segments: DataFrame, keys: list[str], pos: str = "pos", text: str =
 
 def segment_rows(df: DataFrame, keys: list[str], spec: DelimitedSpec, msg: str = "msg",
                  name: str | None = None, outer: bool = False) -> DataFrame:
-    """One row per segment: keys, pos, fields (field n at index n)."""
+    """One row per segment: keys, pos, fields (field n at index n).
+
+    A key that is the message itself stays for ``Parsed.at`` alone: its segments are NULL, else each row would hold them
+    all and a message grow with the square of its length."""
     p = Parsed(msg, spec)
     segs = p.segs if name is None else p.segments(name)
     explode = F.posexplode_outer if outer else F.posexplode
+    if msg in keys:
+        df = df.withColumn("__segs", segs).withColumn(msg, p._with(segs=F.lit(None).cast("array<array<string>>")).col)
+        segs = F.col("__segs")
     # materialised, else the filter that an explode implies would search the message again
     return materialise(df, "__segs", segs, keys).select(*keys, explode("__segs").alias("pos", "fields"))
 

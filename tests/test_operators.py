@@ -587,3 +587,50 @@ def test_rendered_admissions_compile_to_short_methods(spark):
         "MSH|^~\\&|SIM|SIMNET|RCV|TEST|19700101003320||ADT^A03^ADT_A03|E2|T|2.5.1\rEVN|A03|19700101003320||||19700101003320\r"
         "PID|1||MAIN0000002^^^MAIN^MR~EID0000002^^^SIMNET^PI||FAM2^G^||19800101|F\r"
         "PV1|1|I|U0^R2^1^MAIN||||||||||||||||V000000002|||||||||||||||||||||||||19700101003320|19700101003320\r")
+
+
+def test_orders_move_once_and_meet_their_lines_as_text(spark, tmp_path):
+    """Both sides are dealt by order alone; a line's values are rendered outside the functions over arrays, which are interpreted."""
+    from segmenta.workload import feeds as work
+    orders = [(1, 7, "O", "1-URGENT"), (2, 8, "P", None), (None, 7, "F", "2-HIGH"), (3, 9, "F", "5-LOW")]
+    lines = [(1, 11, 2.0, 3.5, "2024-01-03 00:00:00"), (2, None, 1.0, None, None), (2, 12, None, 4.0, "2024-01-04 00:00:00")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string") \
+        .selectExpr("*", "timestamp'2024-01-02 03:04:05' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, "C7"), (8, "C8")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_shipdate string").coalesce(1) \
+        .selectExpr("* EXCEPT (l_shipdate)", "cast(l_shipdate AS timestamp) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = work.orders_hl7(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert ".l_shipdate" not in plan  # a value of a function's argument
+    assert "RoundRobin" not in df._jdf.queryExecution().executedPlan().toString()
+    head = lambda key, who, name: f"MSH|^~\\&|SIM||||20240102030405||ORM^O01|ORM{key}|P|2.5.1\rPID|1||{who}||{name}\r"
+    assert {r.msg_id: r.raw for r in df.collect()} == {
+        None: None, 3: head(3, 9, "") + "ORC|SC|3\r",
+        1: head(1, 7, "C7") + "ORC|NW|1\rOBR|1|1||11^^L|1-URGENT||20240103000000||2.00||||||||||||||3.50\r",
+        # missing values take their places with them
+        2: head(2, 8, "C8") + "ORC|CA|2\rOBR|1|2||^^L|||1.00|||||||||||||\rORC|CA|2\rOBR|1|2||12^^L||20240104000000|||||||||||||||4.00\r"}
+
+
+def test_segment_rows_do_not_hold_the_message(spark):
+    """A row a segment with all segments in each grows with the square of the message; what reads pieces stays."""
+    from segmenta.operators.leaves import segment_rows
+    df = parse_delimited(spark.createDataFrame([("MSH|^~\\&|A\rOBX|1|a\\S\\b\rOBX|2|c\r",)], "raw string"), HL7V2)
+    rows, m = segment_rows(df, ["msg"], HL7V2, name="OBX"), Parsed("msg", HL7V2)
+    got = rows.select("pos", m.at(F.col("fields"), "OBX", "2").alias("v"), "msg.segs", "msg.error").orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(0, "a^b", None, None), (1, "c", None, None)]
+
+
+def test_repeated_segments_decode_and_encode_as_a_whole(spark):
+    """Pieces with escapes, missing pieces and pieces that need encoding, as one column or in one text."""
+    from segmenta.plans import translators as tr
+    head = "MSH|^~\\&|LIS||||20240101\rPID|1||7\r"
+    raws = [head + "ORC|NW\rOBR|1|s1||t1^x|S||20240102\rORC|CA\rOBR|1|s\\F\\2||t\\S\\2\r", head + "ORC|NW\rOBR|1|a|\rOBR|1|b&c||d\rORC|C\\X41\\\r",
+            head + "ORC|NW\r", head]
+    df = parse_delimited(spark.createDataFrame(list(enumerate(raws)), "msg_id int, raw string"), HL7V2)
+    built = tr.order_to_astm(Parsed("msg", HL7V2))
+    got = [(r.one, r.two) for r in built.add_to(df.select("msg_id", "msg"), "two").withColumn("one", built.text()).orderBy("msg_id").collect()]
+    assert all(a == b for a, b in got)
+    assert [[s for s in a.split("\r") if s[:1] == "O"] for a, _ in got] == [
+        ["O|1|s1||^^^t1|S|20240102|||||N", "O|2|s&F&2||^^^t&S&2|R||||||C"], ["O|1|a||^^^|R||||||N", "O|2|b&E&c||^^^d|R||||||C"], [], []]
+    with pytest.raises(ValueError):
+        Parsed("msg", HL7V2).at_each(F.col("x"), lambda x: [(x, "MSH", "1")])
