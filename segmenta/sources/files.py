@@ -84,9 +84,11 @@ def write_append_csv(df: DataFrame, path: str) -> None:
 
 
 def corpus_manifest(df: DataFrame, order: str = "msg_id", part_rows: int = PART_ROWS) -> DataFrame:
-    """Add seq in one global order, and part, offset and length of each message within its part."""
+    """Add seq and start, the position in the whole corpus, in one global order, and part, offset and length of each
+    message within its part."""
     sized = df.withColumn("length", F.octet_length(F.col("raw"))).withColumn("part", id_chunk(F.col(order), part_rows))
-    out = running(sized, [], [order], id_chunk(F.col(order), part_rows), before=("sum", F.lit(1).cast("long")))
+    out = running(sized, [], [order], id_chunk(F.col(order), part_rows), before=("sum", F.lit(1).cast("long")),
+                  start=("sum", F.col("length").cast("long")))
     out = running(out, ["part"], [order], F.lit(0), offset=("sum", F.col("length").cast("long")))
     return out.withColumn("seq", F.col("before") + 1).drop("before")
 

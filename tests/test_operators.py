@@ -634,3 +634,24 @@ def test_repeated_segments_decode_and_encode_as_a_whole(spark):
         ["O|1|s1||^^^t1|S|20240102|||||N", "O|2|s&F&2||^^^t&S&2|R||||||C"], ["O|1|a||^^^|R||||||N", "O|2|b&E&c||^^^d|R||||||C"], [], []]
     with pytest.raises(ValueError):
         Parsed("msg", HL7V2).at_each(F.col("x"), lambda x: [(x, "MSH", "1")])
+
+
+def test_manifest_counts_bytes_of_the_whole_corpus(spark, tmp_path):
+    # parts of three values of the order, one of them without rows, another that ends with a text of several bytes a letter
+    texts = {0: "MSH|a\r", 1: "MSH|bb\r", 2: "MSH|é€\r", 3: "MSH|d\r", 9: "MSH|eeeee\r", 10: "MSH|f\r"}
+    df = spark.createDataFrame(list(texts.items()), "msg_id long, raw string").repartition(3)
+    got = files.corpus_manifest(df, "msg_id", 3).orderBy("msg_id").collect()
+    whole, of_part, want = 0, {}, []
+    for seq, (i, t) in enumerate(texts.items(), 1):
+        n = len(t.encode())
+        want.append((seq, i // 3, whole, of_part.get(i // 3, 0), n))
+        whole, of_part[i // 3] = whole + n, of_part.get(i // 3, 0) + n
+    assert [(r.seq, r.part, r.start, r.offset, r.length) for r in got] == want
+    # the query: positions go on beyond its parts of 200
+    rows = [(k, f"Customer#{k}", k % 25, ("BUILDING", "AUTOMOBILE")[k % 2]) for k in range(190, 411)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = QUERIES["corpus_offsets"](spark, str(tmp_path)).orderBy("msg_id").collect()
+    starts = [0]
+    for k, name, _, segment in rows:
+        starts.append(starts[-1] + 56 + 2 * len(str(k)) + len(name) + len(segment))
+    assert [(r.msg_id, r.start, r.start + r.length) for r in got] == [(r[0], a, b) for r, a, b in zip(rows, starts, starts[1:])]
